@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, neardup, packing, quality, tokens, toxicity
+from . import decontaminate, fingerprint, linededup, neardup, packing, quality, tokens, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_fingerprints, op4_toxicity, op6_token_counts, op7_near_duplicates, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_fingerprints, op4_toxicity, op6_token_counts, op7_near_duplicates, op8_line_dedup, op9_quality, op10_packing)}
 #: DuckDB SQL where it can express a query; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE_SQL}
