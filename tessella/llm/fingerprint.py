@@ -62,10 +62,10 @@ def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
-def packed(bits: np.ndarray, some: np.ndarray) -> list[str]:
-    """Hexadecimal text of the packed bits; "" for no shingles."""
+def packed(bits: np.ndarray, some: np.ndarray) -> list[bytes]:
+    """The packed bits; none for no shingles."""
     flat = np.unpackbits(bits[:, :, None], axis=2)[:, :, 8 - BITS :].reshape(len(bits), -1)
-    return [row.tobytes().hex() if s else "" for row, s in zip(np.packbits(flat, axis=1), some, strict=True)]
+    return [row.tobytes() if s else b"" for row, s in zip(np.packbits(flat, axis=1), some, strict=True)]
 
 
 def likeness(a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarray) -> np.ndarray:
@@ -92,22 +92,22 @@ def compare(texts: list[bytes], following: list[bytes]) -> dict:
     new = fingerprints(changed)
     one = own[0][: len(texts)], own[1][: len(texts)]
     return {
-        "n_chars": np.array(chars, np.int64), "edited_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
-        "fingerprint": pa.array(packed(*one), pa.string()), "edited_fingerprint": pa.array(packed(*new), pa.string()),
+        "n_chars": np.array(chars, np.int64), "edited_sha256": pa.array([hashlib.sha256(c).digest() for c in changed], pa.binary()),
+        "fingerprint": pa.array(packed(*one), pa.binary()), "edited_fingerprint": pa.array(packed(*new), pa.binary()),
         "near_edited": likeness(*one, *new), "near_next": likeness(*one, own[0][1:], own[1][1:]),
     }
 
 
-COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each document, without a shuffle."""
 
     def make():
-        return lambda texts, _rows: {"fingerprint": pa.array(packed(*fingerprints(texts)), pa.string())}
+        return lambda texts, _rows: {"fingerprint": pa.array(packed(*fingerprints(texts)), pa.binary())}
 
-    return map_texts(documents, make, "fingerprint string", ["doc_id"])
+    return map_texts(documents, make, "fingerprint binary", ["doc_id"]).withColumn("fingerprint", F.lower(F.hex("fingerprint")))
 
 
 def fingerprint_pairs(documents: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def fingerprint_pairs(documents: DataFrame) -> DataFrame:
 
         def rows(kind: str, ids: pa.Array, made: dict | None, text: list[bytes] | None) -> pa.RecordBatch:
             n = len(ids)
-            columns = [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c]) for c in names] if made else [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            columns = [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c]) for c in names] if made else [pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array([t.decode() for t in text], pa.string()) if text else pa.nulls(n, pa.string()), ids, *columns], names=["kind", "part", "text", "doc_id", *names])
 
         for batch in batches:
@@ -161,4 +161,5 @@ def fingerprint_pairs(documents: DataFrame) -> DataFrame:
         return work
 
     last = map_texts(tails, make, COLUMNS, ["doc_id", "next_text"]).drop("next_text")
-    return made.where("kind = 'row'").select("doc_id", *names).unionByName(last)
+    out = made.where("kind = 'row'").select("doc_id", *names).unionByName(last)
+    return out.select("doc_id", *[F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in out.dtypes[1:]])
