@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, linededup, lm, neardup, packing, quality, tokens, toxicity
+from . import decontaminate, fingerprint, linededup, lm, neardup, packing, quality, substrings, tokens, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_fingerprints, op4_toxicity, op6_token_counts, op7_near_duplicates, op8_line_dedup, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_fingerprints, op4_toxicity, op5_repeated_substrings, op6_token_counts, op7_near_duplicates, op8_line_dedup, op9_quality, op10_packing)}
 #: DuckDB SQL where it can express a query; the others are tested against brute force.
 ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE_SQL}
