@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 U64 = np.uint64
 #: Odd base of the polynomial hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -22,7 +24,8 @@ BATCH_ROWS = 1000
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches by rows, so that a batch of long texts fits in a Python worker."""
+    """Readies a session for work on texts in Python: ships the package, and bounds the rows of Arrow batches so that long texts fit in a worker."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
