@@ -18,7 +18,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Sub-batches of this many bytes of text bound the temporary arrays of a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch; whole texts may be long, so batches are small.
 BATCH_ROWS = 1000
 
