@@ -25,21 +25,25 @@ from .common import checkpointed
 LEADING, LEAST, SIMILAR_OF, SIMILAR = 3, 4, 4, 3
 #: Rows of a joined table that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
-_BLANK = r"[ \t\r\f\x0B]"
 _LAST = 9223372036854775807
 
 
-def masked(line: Column) -> Column:
-    """The line's words, variable fields masked, with one space between them."""
-    low = F.lower(line)
-    fields = F.when(low.rlike("[0-9]"), F.regexp_replace(low, rf"(?<!{_BLANK.replace('[', '[^', 1)})[^ \t\r\f\x0B0-9]*+[0-9][^ \t\r\f\x0B]*+", "<*>")).otherwise(low)
-    return F.trim(F.when(fields.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(fields, f"{_BLANK}+", " ")).otherwise(fields))
+def masked(documents: DataFrame) -> DataFrame:
+    """d, h and words: the text in lower case with variable fields masked and one space between the words of a line.
+
+    Each step is a column of its own, over whole texts before they are split, so that no step is evaluated twice.
+    """
+    low = documents.select(_document().alias("d"), F.xxhash64("text").alias("h"), F.lower("text").alias("t"))
+    field = r"(?<![^ \t\r\f\x0B\n])[^ \t\r\f\x0B\n0-9]*+[0-9][^ \t\r\f\x0B\n]*+"
+    fields = low.withColumn("t", F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", field, "<*>")).otherwise(F.col("t")))
+    single = fields.withColumn("t", F.when(F.col("t").rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace("t", r"[ \t\r\f\x0B]+", " ")).otherwise(F.col("t")))
+    trimmed = F.trim(F.replace(F.replace(F.col("t"), F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
+    return single.select("d", "h", trimmed.alias("words"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
     """A row for each line of LEAST words or more, with its leaf and a hash of its masked words."""
-    rows = documents.select(_document().alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = rows.select("d", "h", "pos", masked(F.col("line")).alias("words"))
+    words = masked(documents).select("d", "h", F.posexplode(F.split("words", "\n")).alias("pos", "words"))
     counted = words.withColumn("n", F.length("words") - F.length(F.replace(F.col("words"), F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= LEAST)
     return counted.withColumn("leaf", F.xxhash64("n", F.substring_index("words", " ", LEADING))).withColumn("key", F.xxhash64("words"))
 
