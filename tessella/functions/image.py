@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from . import codecs, predictors
+from . import codecs, jpeg, predictors  # jpeg adds its codecs
 
 # Fixed values of the format: photometric interpretations and kinds of extra samples.
 MINISWHITE, MINISBLACK, RGB, PALETTE, MASK, SEPARATED, YCBCR, CIELAB = 0, 1, 2, 3, 4, 5, 6, 8
@@ -113,6 +113,8 @@ def decode_bytes(raw: bytes, m: Meta, w: int, h: int, user: dict | None = None)
     """The decoded bytes of one chunk of one plane, in the file's byte order, with the predictor undone."""
     samples = 1 if m.planar == 2 else m.samples
     p = m.parameters(w, h, samples)
+    if m.planar == 2 and m.compression == codecs.JPEG and m.photometric == YCBCR:
+        p.photometric = MINISBLACK
     if is_subsampled(m):
         hs, vs = m.subsampling
         return codecs.decode(m.compression, raw, -(-w // hs) * -(-h // vs) * (hs * vs + 2), p, user)

@@ -205,8 +205,10 @@ def pages_of(data: bytes, numbers: list[int] | None = None, user: dict | None =
         a, m = arrays(data, f.directories.index(d), user)
         tags = [(t.tag, t.type, t.text if t.type == 2 else t.rationals if t.rationals else t.raw if t.type == 7 else t.nums) for t in d.tags.values() if t.tag in COPIED]
         res = (d.get(282), d.get(283)) if d.get(282) is not None and d.get(283) is not None else None
-        photometric = image.RGB if m.photometric == image.YCBCR and m.compression in (codecs.JPEG, codecs.OLD_JPEG) else m.photometric
-        out.append(Page(a, photometric, m.bits, m.sample_format, m.orientation, m.extra_samples, m.colormap, m.subsampling, res, tags))
+        photometric, sub = m.photometric, m.subsampling
+        if photometric == image.YCBCR and m.compression in (codecs.JPEG, codecs.OLD_JPEG):
+            a, photometric, sub = image.ycbcr_to_rgb(a, m.luma, m.black_white), image.RGB, (1, 1)
+        out.append(Page(a, photometric, m.bits, m.sample_format, m.orientation, m.extra_samples, m.colormap, sub, res, tags))
     return out
 
 
