@@ -303,10 +303,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
 
 def _with_spans(documents: DataFrame, texts_too: bool) -> DataFrame:
-    spans = written(repeated_spans(documents))
+    spans = repeated_spans(documents)
     own = _keyed(documents)
     renamed = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "a", "b")
-    renamed = F.broadcast(renamed) if spans.count() <= BROADCAST_ROWS // 10 else renamed
     joined = own.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", "a", "b")
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
