@@ -1,14 +1,14 @@
 """MinHash near-duplicates with odd sketches.
 
 A document's set: its distinct runs of n words (split at ASCII white space, A-Z lower-cased); with fewer words the whole
-sequence as one. Documents with equal sets are one class from the start. BANDS bands of ROWS MinHash values give the
-buckets; classes that share one are in one candidate group. All BANDS * ROWS samples of a set are folded into
+sequence as one. Documents with equal sets are one class from the start. Bands of MinHash values give the
+buckets; classes that share one are in one candidate group. All SAMPLES values of a set are folded into
 a parity bitmap of SKETCH_BITS bits (an odd sketch): the XOR of two bitmaps has the parity of the samples in which they differ,
 so its population count estimates a high similarity precisely. Within a group, pairs whose estimate isn't well
 below the threshold are confirmed on the full sets, unless they are connected already.
 
-A link of similarity 0.85 shares no bucket with probability (1 - 0.85^6)^32 = 3e-7, and the margin of the
-estimate is over five of its standard deviations.
+The bands have the most rows with which a link at the threshold t shares no bucket with probability (1 - t^rows)^bands of
+at most MISS; at 0.85 that is 32 bands of 6 rows and 3e-7. The margin of the estimate is over five of its standard deviations.
 
 Work is bounded: groups are cut into blocks by a hash of the class, and each pair of blocks is a task's unit of its own, so
 no task has more than two blocks. It returns at most a spanning forest of its links, never all pairs.
@@ -31,7 +31,7 @@ from .common import U64, Words, arrow_batches, checkpointed, distinct_by_text, e
 from .components import connected_components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 85, 100
-BANDS, ROWS, SKETCH_BITS = 32, 6, 512
+SAMPLES, MISS, SKETCH_BITS = 192, 1e-6, 512
 #: Classes and shingles of a block.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
 #: How far below the threshold an estimate may be.
@@ -40,30 +40,39 @@ MARGIN = 0.18
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_C = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_C = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+
+
+def band_rows(threshold: float) -> int:
+    """Rows of a band for links of at least this similarity."""
+    fit = [r for r in range(1, 25) if (1 - threshold**r) ** (SAMPLES // r) <= MISS]
+    if not fit:
+        raise ValueError(f"{SAMPLES} MinHash values don't find links of similarity {threshold}")
+    return max(fit)
 
 
 def minhashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """MinHash values of non-empty sets, a row for each."""
     x = (h >> U64(32)).astype(np.uint32)
-    out = np.empty((len(offsets) - 1, BANDS * ROWS), np.uint32)
+    out = np.empty((len(offsets) - 1, SAMPLES), np.uint32)
     step = 200_000
     begin = 0
     while begin < len(offsets) - 1:  # pieces that stay in the cache
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + step)) - 1)
         part, starts = x[offsets[begin] : offsets[end]], offsets[begin:end] - offsets[begin]
-        for i in range(BANDS * ROWS):
+        for i in range(SAMPLES):
             out[begin:end, i] = np.minimum.reduceat(part * _A[i] + _C[i], starts)
         begin = end
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
+def band_keys(m: np.ndarray, rows: int) -> np.ndarray:
     """A hash of each band and its number."""
-    v = m.reshape(len(m), BANDS, ROWS).astype(U64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=U64), (len(m), BANDS))
-    for r in range(ROWS):
+    bands = SAMPLES // rows
+    v = m[:, : bands * rows].reshape(len(m), bands, rows).astype(U64)
+    h = np.broadcast_to(np.arange(bands, dtype=U64), (len(m), bands))
+    for r in range(rows):
         h = mix(h * U64(0xC2B2AE3D27D4EB4F) + v[:, :, r])
     return h.view(np.int64)
 
@@ -81,7 +90,7 @@ def odd_sketches(m: np.ndarray) -> np.ndarray:
 def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Estimated similarities of one sketch and others."""
     z = np.bitwise_count(one ^ others).sum(1)
-    return 1 + SKETCH_BITS / (4 * BANDS * ROWS) * np.log(np.maximum(1e-9, 1 - 2 * z / SKETCH_BITS))
+    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * z / SKETCH_BITS))
 
 
 def set_columns(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +108,7 @@ def nodes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(documents: DataFrame, n: int) -> DataFrame:
+def signatures(documents: DataFrame, n: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (a hash of the set, null if empty) and the bands' keys."""
 
     def make():
@@ -110,7 +119,7 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
             keys = [None] * len(texts)
             node = nodes(h, offsets)
             if len(some):
-                bands = band_keys(minhashes(h, np.append(offsets[:-1][some], offsets[-1])))
+                bands = band_keys(minhashes(h, np.append(offsets[:-1][some], offsets[-1])), rows)
                 for i, b in zip(some, bands, strict=True):
                     keys[i] = b
             return {"n_shingles": size.astype(np.int64), "node": pa.array(node, pa.int64(), mask=size == 0), "bands": pa.array(keys, pa.list_(pa.int64()))}
@@ -230,9 +239,7 @@ def links(documents: DataFrame, classes: DataFrame, groups: DataFrame, n: int, n
 
 def near_duplicates(documents: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each document."""
-    if numerator < NUMERATOR * denominator / DENOMINATOR - 0.06 * denominator:
-        raise ValueError("the bands are made for thresholds of about 0.8 and more")
-    signed = checkpointed(signatures(documents, n))
+    signed = checkpointed(signatures(documents, n, band_rows(numerator / denominator)))
     some = signed.where("node is not null")
     classes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     members = some.select("node", F.explode("bands").alias("bucket"))

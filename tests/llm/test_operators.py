@@ -201,6 +201,8 @@ def test_near_duplicates(docs, pairs, none, monkeypatch, block):
     want = neardup.brute_force(pairs)
     assert same(got(neardup.near_duplicates(docs)), want)
     assert neardup.near_duplicates(none).count() == 0
+    five = neardup.brute_force(pairs, 5, 80, 100)
+    assert same(got(neardup.near_duplicates(docs, 5, 80, 100)), five)
     kept = neardup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in want if r[3]})
