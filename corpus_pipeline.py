@@ -22,8 +22,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: 0.8 or more of their runs of five words in common."""
+    return neardup.drop_near_duplicates(docs, 5, 80, 100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
