@@ -87,3 +87,43 @@ def reverse_bits(x: Column) -> Column:
     for i in range(8):
         out = out + F.shiftright(x, i).bitwiseAND(1) * (1 << (7 - i))
     return out
+
+
+def rgb_to_ycbcr(r: Column, g: Column, b: Column, luma: tuple[float, float, float] = (0.299, 0.587, 0.114)) -> tuple[Column, Column, Column]:
+    """Full-range YCbCr in fixed-point arithmetic, rounded."""
+    lr, lg, lb = luma
+    cb, cr = 2 - 2 * lb, 2 - 2 * lr
+    y = F.shiftright(r * fixed(lr) + g * fixed(lg) + b * fixed(lb) + 32768, 16)
+    blue = F.shiftright(r * fixed(-lr / cb) + g * fixed(-lg / cb) + b * 32768 + (128 << 16) + 32767, 16)
+    red = F.shiftright(r * 32768 + g * fixed(-lg / cr) + b * fixed(-lb / cr) + (128 << 16) + 32767, 16)
+    return clamp(y), clamp(blue), clamp(red)
+
+
+def cmyk_to_ycck(c: Column, m: Column, y: Column, k: Column) -> tuple[Column, Column, Column, Column]:
+    """YCbCr of the inverse of C, M and Y, with K as it is."""
+    return (*rgb_to_ycbcr(255 - c, 255 - m, 255 - y), k)
+
+
+def ycck_to_cmyk(y: Column, cb: Column, cr: Column, k: Column) -> tuple[Column, Column, Column, Column]:
+    r, g, b = ycbcr_to_rgb(y, cb, cr)
+    return 255 - r, 255 - g, 255 - b, k
+
+
+def rgb_to_grey(r: Column, g: Column, b: Column) -> Column:
+    return rgb_to_ycbcr(r, g, b)[0]
+
+
+def transfer_curve(bits: int) -> list[int]:
+    """The default transfer function, a gamma of 2.2 on the scale to 65,535."""
+    top = (1 << bits) - 1
+    return [int(65535 * (i / top) ** 2.2 + 0.5) for i in range(top + 1)]
+
+
+def rgba_to_rgb(c: Column, a: Column) -> Column:
+    """A colour multiplied by its alpha, over white."""
+    return clamp(c + 255 - a)
+
+
+def octal(x: Column) -> Column:
+    """A byte as a backslash and three octal digits."""
+    return F.concat(F.lit("\\"), F.lpad(F.conv(x.cast("string"), 10, 8), 3, "0"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color
-from ..operators import aggregates, geometry, pages, predictor, relayout, tags
+from ..functions import coerce, color
+from ..operators import aggregates, checks, geometry, pages, predictor, relayout, tags
 
 WIDTH = 64
 QUERIES: dict = {}
@@ -340,6 +340,26 @@ def byteswap16(spark, sf):
     return px(spark, sf).select("row", "col", color.byteswap(F.col("q") * 200, 2).alias("v"))
 
 
+_E = {k: color.fixed(v) for k, v in {"r": 0.299, "g": 0.587, "b": 0.114, "rb": -0.299 / 1.772, "gb": -0.587 / 1.772, "gr": -0.587 / 1.402, "br": -0.114 / 1.402}.items()}
+
+
+@_query(f"""SELECT row, p, (r * {_E["r"]} + g * {_E["g"]} + b * {_E["b"]} + 32768) >> 16 AS y, least(255, (r * {_E["rb"]} + g * {_E["gb"]} + b * 32768 + 8388608 + 32767) >> 16) AS cb,
+least(255, (r * 32768 + g * {_E["gr"]} + b * {_E["br"]} + 8388608 + 32767) >> 16) AS cr FROM rgb""")
+def rgb_to_ycbcr(spark, sf):
+    y, cb, cr = color.rgb_to_ycbcr(F.col("r"), F.col("g"), F.col("b"))
+    return groups(spark, sf, 3, "rgb").select("row", "p", y.alias("y"), cb.alias("cb"), cr.alias("cr"))
+
+
+@_query("SELECT row, p, least(255, c + 255 - k) AS r, least(255, m + 255 - k) AS g, least(255, y + 255 - k) AS b FROM quad")
+def rgba_over_white(spark, sf):
+    return groups(spark, sf, 4, "cmyk").select("row", "p", *[color.rgba_to_rgb(F.col(c), F.col("k")).alias(n) for c, n in zip("cmy", "rgb", strict=True)])
+
+
+@_query("SELECT row, col, chr(92) || (q // 64) || (q // 8 % 8) || (q % 8) AS v FROM px")
+def octal_escape(spark, sf):
+    return px(spark, sf).select("row", "col", color.octal(F.col("q")).alias("v"))
+
+
 # Pages
 
 
@@ -439,3 +459,31 @@ def paper_size(spark, sf):
 def corrupt_rows(spark, sf):
     bad = (F.col("value") < 2) | F.col("value").isNull() | F.col("props").isNull() | (F.length("props") < 3)
     return table(spark, sf, "events").where(bad).select("event_id", "event_type")
+
+
+@_query("SELECT row, col, CASE WHEN q > 127 THEN q - 256 ELSE q END AS signed, (q * 300) % 65536 AS wide, CASE WHEN q <= 100 THEN q END AS small FROM px")
+def coercions(spark, sf):
+    q = F.col("q")
+    return px(spark, sf).select("row", "col", coerce.signed(q, "byte").alias("signed"), coerce.unsigned(coerce.signed(q * 300, "short"), "short").alias("wide"), coerce.checked(q + 27, "byte").alias("small")).withColumn("small", F.col("small") - 27)
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size > 8 THEN 'an orientation is 1 to 8' END AS error FROM part")
+def field_check(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", checks.field_error(F.lit(274), F.col("p_size")).alias("error"))
+
+
+@_query("SELECT row, CAST(min(q) AS BIGINT) AS low, CAST(max(q) AS BIGINT) AS high, CAST(max(q) FILTER (col < 40) AS BIGINT) AS cut FROM px GROUP BY row")
+def trimmed_values(spark, sf):
+    cut = checks.trimmed_count(F.col("q"), F.lit(40))
+    return raster(spark, sf).select("row", F.array_min("q").alias("low"), F.array_max("q").alias("high"), F.array_max(cut).alias("cut"))
+
+
+@_query("SELECT o_orderkey, make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), hour(o_orderdate), minute(o_orderdate), second(o_orderdate)) AS parsed FROM orders")
+def date_parse(spark, sf):
+    text = F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
+    return table(spark, sf, "orders").select("o_orderkey", tags.parse_date(text).cast("timestamp_ntz").alias("parsed"))
+
+
+@_query("SELECT p_partkey, p_name || ' ' || chr(92) || '(' || p_size || chr(92) || ')' AS literal FROM part")
+def pdf_literal(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", tags.pdf_literal(F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))).alias("literal"))
