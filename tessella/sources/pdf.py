@@ -21,11 +21,86 @@ from ..shipping import ship_package
 from . import parse as P
 from .tiff import arrays, meta_of
 
-# Paper sizes in points (72 to an inch).
-PAPERS = {
-    "A0": (2384, 3370), "A1": (1684, 2384), "A2": (1191, 1684), "A3": (842, 1191), "A4": (595, 842), "A5": (420, 595), "A6": (298, 420), "A7": (210, 298), "A8": (147, 210), "B0": (2835, 4008), "B1": (2004, 2835), "B2": (1417, 2004),
-    "B3": (1001, 1417), "B4": (709, 1001), "B5": (499, 709), "LETTER": (612, 792), "LEGAL": (612, 1008), "LEDGER": (1224, 792), "TABLOID": (792, 1224), "EXECUTIVE": (522, 756), "FOLIO": (612, 936), "STATEMENT": (396, 612),
-}
+# Paper sizes, widths and heights in points (72 to an inch).
+PAPER_TEXT = """
+LETTER 612 792
+A4 595 842
+LEGAL 612 1008
+EXECUTIVE 522 756
+LEDGER 792 1224
+TABLOID 792 1224
+A 612 792
+B 792 1224
+C 1224 1584
+D 1584 2448
+E 2448 3168
+F 2016 2880
+G 792 6480
+H 2016 10296
+J 2448 12672
+K 2880 10296
+A10 74 105
+A9 105 147
+A8 147 210
+A7 210 298
+A6 298 420
+A5 420 595
+A3 842 1191
+A2 1191 1684
+A1 1684 2384
+A0 2384 3370
+2A0 3370 4768
+4A0 4768 6741
+2A 3370 4768
+4A 4768 6741
+B10 88 125
+B9 125 176
+B8 176 249
+B7 249 354
+B6 354 499
+B5 499 709
+B4 709 1001
+B3 1001 1417
+B2 1417 2004
+B1 2004 2835
+B0 2835 4008
+JISB10 91 128
+JISB9 128 181
+JISB8 181 258
+JISB7 258 363
+JISB6 363 516
+JISB5 516 729
+JISB4 729 1032
+JISB3 1032 1460
+JISB2 1460 2064
+JISB1 2064 2920
+JISB0 2920 4127
+C10 79 113
+C9 113 162
+C8 162 230
+C7 230 323
+C6 323 459
+C5 459 649
+C4 649 918
+C3 918 1298
+C2 1298 1837
+C1 1298 1837
+C0 2599 3677
+RA2 1219 1729
+RA1 1729 2438
+RA0 2438 3458
+SRA4 638 907
+SRA3 907 1276
+SRA2 1276 1814
+SRA1 1814 2551
+SRA0 2551 3628
+A3EXTRA 914 1262
+A4EXTRA 667 914
+STATEMENT 396 612
+FOLIO 612 936
+QUARTO 609 780
+"""
+PAPERS = {name: (int(w), int(h)) for name, w, h in map(str.split, PAPER_TEXT.strip().splitlines())}
 
 
 @dataclass

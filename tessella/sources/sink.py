@@ -18,8 +18,10 @@ from .registry import TYPE_SIZE
 
 _LETTERS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 STRIP_BYTES, TILE = 8192, 256
-#: Tags that a copy takes along besides the image's layout.
-COPIED = [254, 263, 269, 270, 271, 272, 280, 281, 282, 283, 285, 286, 287, 296, 297, 301, 305, 306, 315, 316, 318, 319, 321, 326, 327, 328, 332, 333, 334, 336, 337, 340, 341, 33432, 34675]
+# Tags that a copy takes along besides the image's layout.
+COPIED = [
+    254, 263, 269, 270, 271, 272, 280, 281, 282, 283, 285, 286, 287, 296, 297, 301, 305, 306, 315, 316, 318, 319, 321, 326, 327, 328, 332, 333, 334, 336, 337, 340, 341, 529, 531, 532, 34675, 34908, 34909, 34910, 37439,
+]
 
 
 @dataclass
