@@ -18,7 +18,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Sub-batches of this many bytes of text bound the temporary arrays of a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of an Arrow batch; whole texts may be long, so batches are small.
 BATCH_ROWS = 1000
 
@@ -77,11 +77,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans at once; data is uint8. Equal contents and lengths give equal hashes."""
-    up, down = powers(len(data) + 1)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the polynomial hash over the prefixes of some bytes, from which `hash_spans` works."""
+    up, _ = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
+    terms = data.astype(U64)
+    terms += U64(1)
+    terms *= up[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    return sums
+
+
+def hash_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many spans at once, from the data's prefix sums. Equal contents and lengths give equal hashes."""
+    _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
@@ -98,9 +107,9 @@ NOT_SPACE = ~_SPACE
 class Words:
     """Words of some texts: hashes, byte spans and the text that each belongs to."""
 
-    __slots__ = ("data", "end", "hash", "offsets", "start", "text")
+    __slots__ = ("data", "end", "hash", "offsets", "start", "sums", "text")
 
-    def __init__(self, texts: list[bytes], kind: np.ndarray = NOT_SPACE, hashes: bool = True):
+    def __init__(self, texts: list[bytes], kind: np.ndarray = NOT_SPACE):
         joined = b" ".join(texts) + b" "
         self.data = _LOWER[np.frombuffer(joined, np.uint8)]
         inside = kind[self.data]
@@ -111,7 +120,8 @@ class Words:
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))
         self.text = np.searchsorted(self.offsets, self.start, side="right") - 1
-        self.hash = hash_spans(self.data, self.start, self.end) if hashes else None
+        self.sums = prefix_sums(self.data)
+        self.hash = hash_spans(self.sums, self.start, self.end)
 
     def counts(self, n_texts: int) -> np.ndarray:
         return np.bincount(self.text, minlength=n_texts)

@@ -123,7 +123,7 @@ class PUNet:
 
 
 def all_features(texts: list[bytes]) -> np.ndarray:
-    parts = [features(texts[a:b]) for a, b in slices(texts, 1 << 20)]
+    parts = [features(texts[a:b]) for a, b in slices(texts, 1 << 19)]
     return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_batches, encoded, mix, powers, written
+from .common import U64, arrow_batches, encoded, mix, powers, prefix_sums, written
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, BLOCK = 400, 100, 16
@@ -38,13 +38,6 @@ BROADCAST_KEYS, BROADCAST_ROWS = 4_000_000, 500_000
 SYMBOLS = 200_000
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return sums
-
-
 def string_hashes(sums: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     _, down = powers(len(sums))
     return mix((sums[start + length] - sums[start]) * down[start])

@@ -34,7 +34,7 @@ def features(words: Words) -> np.ndarray:
     out = np.empty((len(size), 1 + len(PREFIXES)), np.int32)
     out[:, 0] = mix(words.hash) & U64(BUCKETS - 1)
     for i, k in enumerate(PREFIXES, 1):
-        h = hash_spans(words.data, words.start, words.start + np.minimum(size, k))
+        h = hash_spans(words.sums, words.start, words.start + np.minimum(size, k))
         out[:, i] = mix(h + U64(k)) & U64(BUCKETS - 1)
     return out
 
@@ -149,7 +149,7 @@ class TextCNN:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty(len(texts))
-        for a, b in slices(texts, 1 << 20):
+        for a, b in slices(texts, 1 << 18):
             words = Words(texts[a:b], ALNUM)
             pooled, _ = self.forward(features(words), words.text, b - a) if len(words.start) else (np.zeros((b - a, len(self.v)), np.float32), None)
             out[a:b] = 1 / (1 + np.exp(-np.clip(self.logits(pooled) + self.shift, -30, 30)))
