@@ -75,6 +75,24 @@ class Page:
     subsampling: tuple[int, int] = (1, 1)
     resolution: tuple[float, float] | None = None
     tags: list[tuple[int, int, object]] = field(default_factory=list)
+    #: Further directories by the tag that points to them, as Exif's 34665, each a list of tags.
+    linked: dict[int, list[tuple[int, int, object]]] = field(default_factory=dict)
+
+
+def directory_bytes(e: str, entries: dict[int, tuple[int, int, bytes]], at: int, big: bool) -> tuple[bytes, int]:
+    """A directory that lies at `at`, with the values that don't fit in it behind it, and the place of its link to the next one."""
+    inline, word = (8, "Q") if big else (4, "I")
+    payload = at + (8 if big else 2) + (20 if big else 12) * len(entries) + inline
+    table, tail = bytearray(struct.pack(e + ("Q" if big else "H"), len(entries))), bytearray()
+    for t in sorted(entries):
+        kind, count, raw = entries[t]
+        table += struct.pack(e + ("HHQ" if big else "HHI"), t, kind, count)
+        if len(raw) <= inline:
+            table += raw + bytes(inline - len(raw))
+        else:
+            table += struct.pack(e + word, payload + len(tail))
+            tail += raw + bytes(len(raw) & 1)
+    return bytes(table + struct.pack(e + word, 0) + tail), at + len(table)
 
 
 def tag_bytes(order: str, kind: int, values) -> tuple[int, bytes]:
@@ -148,22 +166,15 @@ def write_bytes(pages: list[Page], o: WriteOptions | None = None) -> bytes:
             offsets.append(len(out))
             out += raw
         entries = {t: (k, *tag_bytes(e, k, v)) for t, k, v in _tags(page, o, m, offsets, [len(c) for c in chunks], rows, big)}
+        for pointer, own in page.linked.items():
+            out += b"\0" * (len(out) & 1)
+            entries[pointer] = (16 if big else 4, *tag_bytes(e, 16 if big else 4, len(out)))
+            out += directory_bytes(e, {t: (k, *tag_bytes(e, k, v)) for t, k, v in own}, len(out), big)[0]
         out += b"\0" * (len(out) & 1)
         at = len(out)
         struct.pack_into(e + word, out, link, at)
-        size, inline = (20, 8) if big else (12, 4)
-        payload = at + (8 if big else 2) + size * len(entries) + (8 if big else 4)
-        table, tail = bytearray(struct.pack(e + ("Q" if big else "H"), len(entries))), bytearray()
-        for t in sorted(entries):
-            kind, count, raw = entries[t]
-            table += struct.pack(e + ("HHQ" if big else "HHI"), t, kind, count)
-            if len(raw) <= inline:
-                table += raw + bytes(inline - len(raw))
-            else:
-                table += struct.pack(e + word, payload + len(tail))
-                tail += raw + bytes(len(raw) & 1)
-        link = at + len(table)
-        out += table + struct.pack(e + word, 0) + tail
+        body, link = directory_bytes(e, entries, at, big)
+        out += body
     return bytes(out)
 
 
@@ -195,6 +206,10 @@ def _tags(page: Page, o: WriteOptions, m: image.Meta, offsets: list[int], sizes:
     yield from [t for t in page.tags if t[0] not in own]
 
 
+def _value(t: P.Tag):
+    return t.text if t.type == 2 else t.rationals if t.rationals else t.raw if t.type == 7 else t.nums
+
+
 def pages_of(data: bytes, numbers: list[int] | None = None, user: dict | None = None) -> list[Page]:
     """The images of a file in memory, with the tags that a copy takes along."""
     from .tiff import arrays
@@ -205,12 +220,17 @@ def pages_of(data: bytes, numbers: list[int] | None = None, user: dict | None =
         if numbers is not None and i not in numbers:
             continue
         a, m = arrays(data, f.directories.index(d), user)
-        tags = [(t.tag, t.type, t.text if t.type == 2 else t.rationals if t.rationals else t.raw if t.type == 7 else t.nums) for t in d.tags.values() if t.tag in COPIED]
+        tags = [(t.tag, t.type, _value(t)) for t in d.tags.values() if t.tag in COPIED]
         res = (d.get(282), d.get(283)) if d.get(282) is not None and d.get(283) is not None else None
         photometric, sub = m.photometric, m.subsampling
         if photometric == image.YCBCR and m.compression in (codecs.JPEG, codecs.OLD_JPEG):
             a, photometric, sub = image.ycbcr_to_rgb(a, m.luma, m.black_white), image.RGB, (1, 1)
-        out.append(Page(a, photometric, m.bits, m.sample_format, m.orientation, m.extra_samples, m.colormap, sub, res, tags))
+        linked = {}
+        for pointer, kind in P.LINKED.items():
+            for child in f.directories:
+                if kind != "sub" and child.kind == kind and child.offset in d.all(pointer):
+                    linked[pointer] = [(t.tag, t.type, _value(t)) for t in child.tags.values() if t.tag not in P.LINKED]
+        out.append(Page(a, photometric, m.bits, m.sample_format, m.orientation, m.extra_samples, m.colormap, sub, res, tags, linked))
     return out
 
 
@@ -236,6 +256,14 @@ def convert(contents: DataFrame, options: WriteOptions, pages: list[int] | None
     return contents.select("path", "content").mapInPandas(run, "path string, content binary, error string")
 
 
+def unlink(contents: DataFrame, number: int, options: WriteOptions | None = None) -> DataFrame:
+    """The files without one of their pages; the pages after it move up."""
+    from .tiff import Tiff
+
+    n = Tiff(contents).dirs().where("kind = 'main'").groupBy("path").count().agg(F.max("count")).first()[0] or 0
+    return convert(contents, options or WriteOptions(), [i for i in range(n) if i != number])
+
+
 def assemble(pages: DataFrame, options: WriteOptions) -> DataFrame:
     """path and content of files from (path, position, content), each content a file whose pages are joined in the order of position.
 

@@ -90,6 +90,13 @@ def _tag_rows(path: str, d: P.Directory) -> Iterator[dict]:
         }
 
 
+def batch_of(arrow: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of arrays and of single values, which are repeated; columns are in the schema's order."""
+    n = max(len(v) for v in columns.values() if isinstance(v, (pa.Array, np.ndarray)))
+    arrays = [v if isinstance(v, pa.Array) else pa.array(v) if isinstance(v, np.ndarray) else pa.array([v] * n, arrow.field(k).type) for k, v in columns.items()]
+    return pa.RecordBatch.from_arrays([a.cast(arrow.field(k).type) for k, a in zip(columns, arrays, strict=True)], schema=arrow)
+
+
 @dataclass
 class Scan:
     """What a task reads of a file: options, ranges of rows ("y") and columns ("x"), and directories."""
@@ -159,6 +166,9 @@ class Tiff:
                         f.directories = [d for d in f.directories if d.ifd in pages]
                     rows = []
                     for row in make(path, content, f):
+                        if isinstance(row, pa.RecordBatch):
+                            yield row
+                            continue
                         rows.append(row)
                         if len(rows) >= 256:
                             yield pa.RecordBatch.from_pylist(rows, arrow)
@@ -208,15 +218,17 @@ class Tiff:
 
     def rows(self) -> DataFrame:
         """Image rows, cut at tiles, with an array of samples for each pixel; a chunk that can't be read is one row with an error."""
-        scan = self.scan
+        scan, arrow = self.scan, to_arrow_schema(schema(ROWS))
 
         def make(path, data, f):
             for d, _, c, a, error in scan.arrays(data, f):
                 if a is None:
                     yield {"path": path, "ifd": d.ifd, "y0": c.y, "row": None, "x0": c.x, "samples": None, "error": error}
                     continue
-                for i, row in enumerate(a.astype(float)):
-                    yield {"path": path, "ifd": d.ifd, "y0": c.y, "row": c.y + i, "x0": c.x, "samples": row.tolist(), "error": None}
+                h, w, n = a.shape
+                pixels = pa.ListArray.from_arrays(pa.array(np.arange(0, h * w * n + 1, n, dtype=np.int32)), pa.array(np.ascontiguousarray(a, float).ravel()))
+                lines = pa.ListArray.from_arrays(pa.array(np.arange(0, h * w + 1, w, dtype=np.int32)), pixels)
+                yield batch_of(arrow, path=path, ifd=d.ifd, y0=c.y, row=np.arange(c.y, c.y + h, dtype=np.int32), x0=c.x, samples=lines, error=None)
 
         return self._map(ROWS, make)
 
@@ -232,7 +244,7 @@ class Tiff:
 
     def rgba(self, orient: bool = False) -> DataFrame:
         """Image rows of packed RGBA words, cut at tiles. orient moves them to the top-left origin; orientations that turn the image only flip it."""
-        scan = self.scan
+        scan, arrow = self.scan, to_arrow_schema(schema(PIXELS))
 
         def make(path, data, f):
             from ..operators.relayout import ORIENTATIONS
@@ -248,10 +260,10 @@ class Tiff:
                     yield {"path": path, "ifd": d.ifd, "row": None, "x0": c.x, "rgba": None, "error": error}
                     continue
                 up, left, _ = ORIENTATIONS.get(m.orientation, ORIENTATIONS[1]) if orient else (False, False, False)
-                x0 = m.width - c.x - words.shape[1] if left else c.x
-                for i, row in enumerate(words[:, ::-1] if left else words):
-                    y = c.y + i
-                    yield {"path": path, "ifd": d.ifd, "row": m.height - 1 - y if up else y, "x0": x0, "rgba": row.tolist(), "error": None}
+                h, w = words.shape
+                y = np.arange(c.y, c.y + h, dtype=np.int32)
+                lines = pa.ListArray.from_arrays(pa.array(np.arange(0, h * w + 1, w, dtype=np.int32)), pa.array(np.ascontiguousarray(words[:, ::-1] if left else words).ravel()))
+                yield batch_of(arrow, path=path, ifd=d.ifd, row=m.height - 1 - y if up else y, x0=m.width - c.x - w if left else c.x, rgba=lines, error=None)
 
         return self._map(PIXELS, make)
 
@@ -269,6 +281,26 @@ class Tiff:
         value = F.coalesce(F.col("str"), F.array_join(F.transform("nums", lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ", "), F.concat(F.lit("("), F.col("count").cast("string"), F.lit(" bytes)")))
         return T.print_directory(self.tags().select("path", "ifd", "tag", "name", value.alias("value")), ["path", "ifd"], F.col("name"))
 
+    def values(self, wanted: list[int]) -> DataFrame:
+        """path, ifd, tag, values and is_set of the wanted tags of each image; a tag that isn't set has the format's default, which may depend on others."""
+
+        def make(path, data, f):
+            for d in f.directories:
+                g = P.geometry(d) if d.kind in ("main", "sub") else None
+                if not g:
+                    continue
+                top = float((1 << g.bits) - 1)
+                derived = {
+                    281: [top] * g.samples, 318: [0.3457, 0.3585], 336: [0.0, top], 338: [], 529: [0.299, 0.587, 0.114], 530: [2.0, 2.0],
+                    532: [0.0, top, 0.0, top, 0.0, top] if g.photometric != 6 else [0.0, top, float(1 << (g.bits - 1)), top, float(1 << (g.bits - 1)), top],
+                }
+                for t in wanted:
+                    own = [float(x) for x in d.all(t)]
+                    default = derived.get(t, [float(DEFAULTS[t])] if t in DEFAULTS else None)
+                    yield {"path": path, "ifd": d.ifd, "tag": t, "values": own or default, "is_set": t in d.tags}
+
+        return self._map("path string, ifd int, tag int, values array<double>, is_set boolean", make)
+
     def with_defaults(self, wanted: list[int]) -> DataFrame:
         """path, ifd, tag and first value of the wanted tags of each directory, or the format's default."""
         spark = self.contents.sparkSession

@@ -279,25 +279,29 @@ def test_registry(spark):
 
 
 def test_linked_directories(spark):
-    e = "<"
-    main = sink.write_bytes([sink.Page(samples(8, 1))])
-    data = bytearray(main)
-    exif = len(data) + len(data) % 2
-    data += b"\0" * (exif - len(data))
-    data += word(e, "H", 2) + word(e, "HHI", 33434, 5, 1) + word(e, "I", exif + 30) + word(e, "HHI4s", 36864, 7, 4, b"0230") + word(e, "I", 0) + word(e, "II", 1, 250)
-    pages = sink.pages_of(bytes(main))
-    pages[0].tags.append((34665, 4, 0))
-    linked = bytearray(sink.write_bytes(pages))
-    f = parse.parse(bytes(linked))
-    entry = f.directories[0].offset + 2 + 12 * f.directories[0].tags[34665].pos
-    at = len(linked)
-    block = data[exif:]
-    struct.pack_into("<I", block, 10, at + 30)
-    struct.pack_into("<I", linked, entry + 8, at)
-    t = tiff.from_bytes(spark, [("x.tif", bytes(linked + block))])
-    tags = {r["name"]: r for r in t.tags().where("kind = 'exif'").collect()}
-    assert abs(tags["ExposureTime"]["nums"][0] - 1 / 250) < 1e-9
-    assert bytes(tags["ExifVersion"]["raw"]) == b"0230"
+    exif = [(33434, 5, [(1, 250)]), (36864, 7, b"0230"), (37510, 7, bytes(range(100)))]
+    for big in (False, True):
+        data = sink.write_bytes([sink.Page(samples(8, 1), linked={34665: exif})] * 2, sink.WriteOptions(big=big))
+        copied = sink.write_bytes(sink.pages_of(data), sink.WriteOptions(order=">"))
+        for own in (data, copied):
+            t = tiff.from_bytes(spark, [("x.tif", own)])
+            assert t.tags().where("kind = 'exif'").count() == 6
+            tags = {r["name"]: r for r in t.tags().where("kind = 'exif'").collect()}
+            assert abs(tags["ExposureTime"]["nums"][0] - 1 / 250) < 1e-9
+            assert bytes(tags["UserComment"]["raw"]) == bytes(range(100))
+            assert not parse.parse(own).errors and all(not d.errors for d in parse.parse(own).directories)
+
+
+def test_defaults_and_unlinking(spark):
+    data = sink.write_bytes([sink.Page(samples(4, 1), 1, 4), sink.Page(samples(8, 1), 0)])
+    found = {(r["ifd"], r["tag"]): (r["values"], r["is_set"]) for r in tiff.from_bytes(spark, [("x.tif", data)]).values([258, 281, 336, 529, 296, 254]).collect()}
+    assert found[0, 258] == ([4.0], True)
+    assert found[0, 281] == ([15.0], False)
+    assert found[1, 336] == ([0.0, 255.0], False)
+    assert found[0, 529] == ([0.299, 0.587, 0.114], False)
+    frame = spark.createDataFrame([("x.tif", data)], "path string, content binary")
+    left = parse.parse(bytes(sink.unlink(frame, 0).first()["content"]))
+    assert [d.get(262) for d in left.directories] == [0]
 
 
 def test_rationals():
