@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running_total
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x) if isinstance(x, (int, float)) else F.col(x)
@@ -54,10 +56,9 @@ def chop_strips(strips: DataFrame, size: str, target: int = 8192) -> DataFrame:
 
 
 def chunk_offsets(chunks: DataFrame, keys: list[str], order: str, size: str, first: int = 8) -> DataFrame:
-    """Offsets of chunks that lie one after another, each at an even place."""
-    even = F.col(size) + F.pmod(F.col(size), F.lit(2))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("chunk_offset", F.lit(first).cast("long") + F.coalesce(F.sum(even).over(w), F.lit(0)))
+    """Offsets of chunks that lie one after another, each at an even place; a file may have any number of chunks."""
+    even = chunks.withColumn("_even", F.col(size) + F.pmod(F.col(size), F.lit(2)))
+    return running_total(even, keys, order, "_even", "chunk_offset").withColumn("chunk_offset", F.col("chunk_offset") + first).drop("_even")
 
 
 def bytecount_looks_bad(first, offset, file_size, second=None, expected=None) -> Column:

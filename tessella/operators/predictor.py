@@ -30,10 +30,15 @@ def running_sum(samples: DataFrame, keys: list[str], column: str, value: str, bi
     return samples.withColumn(out, F.pmod(F.sum(value).over(w), F.lit(1 << bits)))
 
 
-def previous_row_difference(samples: DataFrame, keys: list[str], row: str, column: str, value: str, out: str = "d") -> DataFrame:
-    """Each value less the one above it; the first row stays."""
-    w = Window.partitionBy(*keys, column).orderBy(row)
-    return samples.withColumn(out, F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)))
+def previous_row_difference(rows: DataFrame, keys: list[str], row: str, values: str, out: str = "d") -> DataFrame:
+    """Each value less the one above it, for image rows that are arrays; a row without one above it stays.
+
+    Each row meets the one before it in a join by row number, so the work of one image spreads over all tasks.
+    """
+    above = rows.select(*keys, (F.col(row) + 1).alias(row), F.col(values).alias("_above"))
+    joined = rows.join(above, [*keys, row], "left")
+    difference = F.when(F.col("_above").isNull(), F.col(values)).otherwise(F.zip_with(values, "_above", lambda a, b: a - F.coalesce(b, F.lit(0))))
+    return joined.withColumn(out, difference).drop("_above")
 
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -89,7 +89,8 @@ def hordiff_roundtrip(spark, sf):
 
 @_query("SELECT row, col, q - coalesce(lag(q) OVER (PARTITION BY col ORDER BY row), 0) AS d FROM px")
 def prev_row_diff(spark, sf):
-    return predictor.previous_row_difference(px(spark, sf), [], "row", "col", "q").select("row", "col", "d")
+    found = predictor.previous_row_difference(raster(spark, sf), [], "row", "q")
+    return found.select("row", F.posexplode("d").alias("col", "d")).withColumn("col", F.col("col").cast("long"))
 
 
 @_query(""", e AS (SELECT user_id, event_type, ts, event_id, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
