@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, linededup, lm, neardup, packing, quality, substrings, tokens, toxicity
+from . import decontaminate, fingerprint, linededup, lm, neardup, oracles, packing, quality, substrings, tokens, toxicity
 from .common import table
 
 
@@ -50,4 +50,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_fingerprints, op4_toxicity, op5_repeated_substrings, op6_token_counts, op7_near_duplicates, op8_line_dedup, op9_quality, op10_packing)}
 #: DuckDB SQL where it can express a query; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": oracles.DECONTAMINATION, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_line_dedup": linededup.ORACLE_SQL}

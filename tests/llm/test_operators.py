@@ -282,3 +282,14 @@ def test_retrieval_prefers_neighbours():
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = connection.sql(ORACLES[name])
+    found = QUERIES[name](spark, sf).select(*want.columns)
+    assert same(got(found), want.fetchall())
