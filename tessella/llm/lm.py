@@ -106,19 +106,19 @@ class Corpus:
             if k > room:
                 break
             least, room = n, room - k
-        top = table.where(F.col("n") >= least).select("token", "suffix", "n", "c").toPandas()
-        h = top["token"].to_numpy(np.int64).view(np.uint64)
-        n = top["n"].to_numpy(np.int64)
+        top = table.where(F.col("n") >= least).select("token", "suffix", "n", "c").toArrow()
+        column = lambda name: top.column(name).to_numpy().astype(np.int64)
+        h, n = column("token").view(np.uint64), column("n")
         short = np.lexsort((h, -n))[:SHORT]
         order = np.argsort(h)
-        self.hash, self.count = h[order], top["c"].to_numpy(np.int64)[order]
+        self.hash, self.count = h[order], column("c")[order]
         own = np.full(len(h), -1, np.int16)
         own[short] = np.arange(len(short))
         self.own = own[order]
         rest = np.zeros((2, SUFFIXES))
         for r in table.where("c > 0").groupBy("suffix").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).collect():
             rest[:, r["suffix"]] = r["c"], r["k"]
-        c, s = top["c"].to_numpy(np.int64)[short], top["suffix"].to_numpy(np.int64)[short]
+        c, s = column("c")[short], column("suffix")[short]
         np.subtract.at(rest[0], s, c)
         np.subtract.at(rest[1], s, c > 0)
         self.divisor = rest.sum(0) + 1  # n + v + 1 of the suffix classes

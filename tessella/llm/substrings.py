@@ -121,7 +121,7 @@ def regions(documents: DataFrame) -> DataFrame:
     id_type = documents.schema["doc_id"].dataType.simpleString()
     small = keys.count() <= BROADCAST_KEYS
     if small:
-        shared = spark.sparkContext.broadcast(np.sort(keys.toPandas()["key"].to_numpy(np.int64)))
+        shared = spark.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()))
 
     def rows(batch: pa.RecordBatch, texts: list[bytes], found: Anchors, keep: np.ndarray) -> pa.RecordBatch:
         of, start, count = found.text[keep], found.start[keep], found.count[keep]
