@@ -374,7 +374,7 @@ def ccitt_decode(data: bytes, size: int, p: Parameters, scheme: int = CCITT_FAX3
                     continue
             break
         out[r, :width] = _pixels(reference, width)
-    return np.packbits(out, axis=1).tobytes()
+    return sized(np.packbits(out, axis=1).tobytes(), size)
 
 
 def _run_code(length: int, color: int) -> str:
