@@ -53,7 +53,7 @@ def written(df: DataFrame) -> DataFrame:
 
         folder = tempfile.mkdtemp(prefix="written-")
     path = f"{folder}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

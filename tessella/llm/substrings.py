@@ -29,7 +29,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, BLOCK = 400, 100, 16
 #: Bytes of text that are looked at together; longer texts are cut with an overlap.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Different regions of one anchor that meet in a task.
 HOT = 10_000
 #: Keys, and rows of joined tables, that are broadcast at most (8 and about 100 bytes each).
