@@ -467,6 +467,18 @@ def _decode_chunk(data: bytes, size: int, p: Parameters) -> bytes:
     return sized(out.tobytes(), size)
 
 
+def _decode_old_chunk(data: bytes, size: int, p: Parameters) -> bytes:
+    """A chunk that is a whole stream, or the bare data of a scan whose tables came apart from it and whose frame follows from the image."""
+    if data[:2] != b"\xff\xd8":
+        n = p.samples
+        h, v = p.subsampling if n == 3 else (1, 1)
+        frame = struct.pack(">BHHB", 8, p.height, p.width, n) + b"".join(bytes((i + 1, (h << 4 | v) if i == 0 else 0x11, i)) for i in range(n))
+        scan = bytes((n,)) + b"".join(bytes((i + 1, i << 4 | i)) for i in range(n)) + b"\0\x3f\0"
+        head = b"".join(struct.pack(">BBH", 255, mark, len(body) + 2) + body for mark, body in ((0xC0, frame), (0xDA, scan)))
+        data = b"\xff\xd8" + head + data + b"\xff\xd9"
+    return _decode_chunk(data, size, p)
+
+
 def _encode_chunk(data: bytes, p: Parameters) -> bytes:
     if p.bits != 8:
         raise CodecError("JPEG takes samples of 8 bits")
@@ -475,4 +487,4 @@ def _encode_chunk(data: bytes, p: Parameters) -> bytes:
 
 
 _BUILT_IN[JPEG] = (_decode_chunk, _encode_chunk)
-_BUILT_IN[OLD_JPEG] = (_decode_chunk, None)
+_BUILT_IN[OLD_JPEG] = (_decode_old_chunk, None)

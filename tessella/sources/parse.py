@@ -251,6 +251,22 @@ def geometry(d: Directory) -> Geometry | None:
     return g
 
 
+def old_jpeg_tables(d: Directory, data: bytes) -> bytes:
+    """The tables that an old-style directory points to, one for each component, as a stream of tables."""
+    out = bytearray(b"\xff\xd8")
+
+    def segment(mark: int, body: bytes) -> None:
+        out.extend(struct.pack(">BBH", 255, mark, len(body) + 2) + body)
+
+    for tag, mark, kind in ((519, 0xDB, 0), (520, 0xC4, 0), (521, 0xC4, 0x10)):
+        for i, at in enumerate(int(x) for x in d.all(tag)):
+            size = 64 if mark == 0xDB else 16 + sum(data[at : at + 16])
+            segment(mark, bytes((kind | i,)) + data[at : at + size])
+    if d.get(515):
+        segment(0xDD, struct.pack(">H", int(d.get(515))))
+    return bytes(out + b"\xff\xd9") if len(out) > 2 else b""
+
+
 @dataclass
 class Chunk:
     number: int
@@ -272,6 +288,12 @@ def chunks(d: Directory, g: Geometry, file_size: int, chop: int = 0) -> list[Chu
     offsets = [int(x) for x in d.all(324 if g.tiled else 273) or d.all(273 if g.tiled else 324)]
     counts = [int(x) for x in d.all(325 if g.tiled else 279) or d.all(279 if g.tiled else 325)]
     n = g.per_plane * g.planes
+    whole = d.get(513)
+    if g.compression == 6 and whole and whole < file_size:
+        # an old-style directory that points to one stream of the whole image
+        size = int(d.get(514, 0)) or file_size - int(whole)
+        g.per_plane = g.planes = 1
+        return [Chunk(0, 0, 0, 0, 0, g.width, g.height, int(whole), min(size, file_size - int(whole)))]
     if not offsets:
         d.errors.append(("missing", "the chunks' offsets are missing"))
         return []

@@ -178,7 +178,7 @@ def _image(data: bytes, f: P.TiffFile, d: P.Directory, o: PdfOptions) -> tuple[d
     g = P.geometry(d)
     if g is None:
         raise ValueError(str(d.errors))
-    m = meta_of(d, g, f.order)
+    m = meta_of(d, g, f.order, data)
     check(m)
     found = P.chunks(d, g, len(data))
     head = {b"Type": b"/XObject", b"Subtype": b"/Image", b"Width": b"%d" % m.width, b"Height": b"%d" % m.height}

@@ -38,15 +38,15 @@ def schema(text: str) -> StructType:
     return _parse_datatype_string(text)
 
 
-def meta_of(d: P.Directory, g: P.Geometry, order: str) -> image.Meta:
-    """What decoding needs of a directory."""
+def meta_of(d: P.Directory, g: P.Geometry, order: str, data: bytes = b"") -> image.Meta:
+    """What decoding needs of a directory; old-style JPEG tables are in the file's data."""
     cmap = [int(x) for x in d.all(320)]
     third = len(cmap) // 3
     luma = tuple(d.all(529)[:3]) if len(d.all(529)) >= 3 else (0.299, 0.587, 0.114)
     tables = d.tags.get(347)
     return image.Meta(
         g.width, g.height, g.bits, g.samples, g.sample_format, g.photometric, g.compression, g.planar, g.predictor, g.fill_order, g.orientation, order, g.subsampling if g.photometric == 6 else (1, 1),
-        [int(x) for x in d.all(338)], [cmap[:third], cmap[third : 2 * third], cmap[2 * third :]] if third else [], luma, [float(x) for x in d.all(532)], int(d.get(292, 0)), tables.raw if tables else b"",
+        [int(x) for x in d.all(338)], [cmap[:third], cmap[third : 2 * third], cmap[2 * third :]] if third else [], luma, [float(x) for x in d.all(532)], int(d.get(292, 0)), tables.raw if tables else P.old_jpeg_tables(d, data) if g.compression == codecs.OLD_JPEG else b"",
     )
 
 
@@ -118,7 +118,7 @@ class Scan:
     def arrays(self, data: bytes, f: P.TiffFile) -> Iterator[tuple]:
         """Directory, its needs, and for each place the samples within the image, or an error."""
         for d, g, found in self.images(data, f):
-            m = meta_of(d, g, f.order)
+            m = meta_of(d, g, f.order, data)
             places: dict[int, list[P.Chunk]] = {}
             for c in found:
                 places.setdefault(c.number - c.plane * g.per_plane, []).append(c)
@@ -205,7 +205,7 @@ class Tiff:
 
         def make(path, data, f):
             for d, g, found in scan.images(data, f):
-                m = meta_of(d, g, f.order)
+                m = meta_of(d, g, f.order, data)
                 for c in filter(scan.wanted, found):
                     out, error = None, None
                     try:
@@ -334,7 +334,7 @@ def arrays(data: bytes, page: int = 0, user: dict | None = None) -> tuple[np.nda
     g = P.geometry(d)
     if g is None:
         raise ValueError(str(d.errors))
-    m = meta_of(d, g, f.order)
+    m = meta_of(d, g, f.order, data)
     out = None
     places: dict[int, list[P.Chunk]] = {}
     for c in P.chunks(d, g, len(data)):

@@ -169,3 +169,31 @@ def test_old_jpeg():
     at = f.directories[0].offset + 2 + 12 * f.directories[0].tags[259].pos
     struct.pack_into("<H", raw, at + 8, codecs.OLD_JPEG)
     assert (tiff.arrays(bytes(raw))[0] == tiff.arrays(data)[0]).all()
+
+
+def test_old_jpeg_with_tables_apart_and_whole_streams():
+    a = smooth(16, 24, 1)
+    stream = jpeg.encode(a, 90)
+    at, quantisation, huffman = 2, b"", {}
+    while stream[at + 1] != 0xDA:
+        size = struct.unpack_from(">H", stream, at + 2)[0]
+        body = stream[at + 4 : at + 2 + size]
+        if stream[at + 1] == 0xDB:
+            quantisation = body[1:]
+        elif stream[at + 1] == 0xC4:
+            huffman[body[0]] = body[1:]
+        at += 2 + size
+    scan = stream[at + 2 + struct.unpack_from(">H", stream, at + 2)[0] : -2]
+    want = jpeg.decode(stream)
+    for whole in (False, True):
+        tags = [(513, 4, 0), (514, 4, len(stream))] if whole else [(519, 4, 0), (520, 4, 0), (521, 4, 0)]
+        raw = bytearray(sink.write_bytes([sink.Page(a, tags=tags)], sink.WriteOptions(rows_per_strip=16)))
+        d = parse.parse(bytes(raw)).directories[0]
+        entry = lambda tag: d.offset + 2 + 12 * d.tags[tag].pos + 8
+        struct.pack_into("<H", raw, entry(259), codecs.OLD_JPEG)
+        for tag, block in ([(513, stream)] if whole else [(519, quantisation), (520, huffman[0]), (521, huffman[0x10]), (273, scan)]):
+            struct.pack_into("<I", raw, entry(tag), len(raw))
+            raw += block
+        if not whole:
+            struct.pack_into("<I", raw, entry(279), len(scan))
+        assert (tiff.arrays(bytes(raw))[0] == want).all()
