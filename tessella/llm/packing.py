@@ -3,7 +3,7 @@
 A shard is a run of documents of one input partition, of at most SHARD_TOKENS tokens (or one longer document).
 Each document is cut into whole windows, which are sequences of their own, and a rest. The rests of a shard are put into
 an inverted index. The longest unused rest is the seed of a sequence; the index returns its unused neighbours in
-order of their BM25 score, and they fill the window greedily. Documents without a word in common with the seed follow,
+order of their BM25 score, and they fill the window greedily. All terms count; copies are one text of the index. Documents without a word in common with the seed follow,
 longest first. What doesn't fit is cut off and begins a next sequence as its seed. So all sequences but the last of a shard are full; the last is
 split at powers of two, which take no padding.
 
@@ -30,49 +30,72 @@ END = 1
 SHARD_TOKENS = 6_000_000
 #: BM25's parameters.
 K1, B = 1.2, 0.75
-#: Terms in more than this share of a shard's documents don't tell them apart and have no postings.
+#: Terms in more than this share of a shard's texts have a row of weights over all of them in place of postings.
 COMMON = 0.1
+#: Neighbours that are put in order at once; more follow until the window is full.
+NEAREST = 64
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Index:
-    """An inverted index over the documents of one shard, with weights of BM25."""
+    """An inverted index over the documents of one shard, with weights of BM25.
+
+    Every term counts. Those in more than `common` of the texts have a row of weights over all texts, the others postings.
+    Copies are one text with several members, all of the same score.
+    """
 
     def __init__(self, ids: list[np.ndarray], k1: float = K1, b: float = B, common: float = COMMON):
         n = len(ids)
+        first: dict[bytes, int] = {}
+        self.text = np.array([first.setdefault(x.tobytes(), len(first)) for x in ids], np.int64)
+        members = np.bincount(self.text, minlength=len(first))
+        some = np.unique(self.text, return_index=True)[1]
         self.terms, counts = [], []
-        for x in ids:
-            t, c = np.unique(x, return_counts=True)
+        for i in some:
+            t, c = np.unique(ids[i], return_counts=True)
             self.terms.append(t)
             counts.append(c)
-        length = np.array([len(x) for x in ids], np.float32)
-        sizes = np.array([len(t) for t in self.terms])
-        term = np.concatenate(self.terms) if n else np.zeros(0, np.uint32)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        length = np.array([len(ids[i]) for i in some], np.float32)
+        sizes = np.array([len(t) for t in self.terms], np.int64)
+        term = np.concatenate(self.terms).astype(np.int64) if n else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
         tf = (np.concatenate(counts) if n else np.zeros(0)).astype(np.float32)
-        df = np.bincount(term, minlength=1)
-        keep = df[term] <= max(8, common * n)
-        order = np.argsort(term[keep], kind="stable")
-        self.doc = doc[keep][order]
-        norm = k1 * (1 - b + b * length / max(float(length.mean()) if n else 1.0, 1.0))
+        df = np.bincount(term, weights=members[text], minlength=1)
+        norm = k1 * (1 - b + b * length / max(float((length * members).sum() / n) if n else 1.0, 1.0))
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        self.weight = (idf[term] * tf * (k1 + 1) / (tf + norm[doc]))[keep][order]
-        kept = np.where(df <= max(8, common * n), df, 0)
-        self.at = np.concatenate(([0], np.cumsum(kept)))
-        self.n = n
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first; ties go to the lower number."""
-        t = self.terms[seed]
-        a, size = self.at[t], self.at[t + 1] - self.at[t]
-        some = size > 1
-        a, size = a[some], size[some]
-        if not len(a):
-            return np.zeros(0, np.int64)
-        place = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        score = np.bincount(self.doc[place], weights=self.weight[place], minlength=self.n)
+        weight = (idf[term] * tf * (k1 + 1) / (tf + norm[text])).astype(np.float32)
+        posted = np.bincount(term, minlength=1)
+        dense = np.flatnonzero(posted > max(8, common * len(some)))
+        self.row = np.full(len(posted), -1, np.int64)
+        self.row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), len(some)), np.float32)
+        rare = self.row[term] < 0
+        self.dense[self.row[term[~rare]], text[~rare]] = weight[~rare]
+        order = np.argsort(term[rare], kind="stable")
+        self.posting, self.weight = text[rare][order], weight[rare][order]
+        self.at = np.concatenate(([0], np.cumsum(np.where(self.row < 0, posted, 0))))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Scores of all texts under the terms of the seed's."""
+        t = self.terms[self.text[seed]]
+        row = self.row[t]
+        out = np.zeros(self.dense.shape[1], np.float32)
+        for r in row[row >= 0]:
+            out += self.dense[r]
+        t = t[row < 0]
+        if len(t):
+            a, size = self.at[t], self.at[t + 1] - self.at[t]
+            place = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            out += np.bincount(self.posting[place], weights=self.weight[place], minlength=len(out)).astype(np.float32)
+        return out
+
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Unused documents that share a term with the seed, best first; ties go to the lower number. `most` and those equal to the last of them, or all."""
+        score = self.scores(seed)[self.text]
         score[~unused] = 0
         found = np.flatnonzero(score)
+        if most is not None and len(found) > most:
+            found = found[score[found] >= -np.partition(-score[found], most - 1)[most - 1]]
         return found[np.argsort(-score[found], kind="stable")]
 
 
@@ -116,8 +139,11 @@ def pack(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, in
                 break
             seed = queue[at]
         full = put(seed)
-        if not full:
-            for r in index.neighbours(seed, unused):
+        while not full:
+            near = index.neighbours(seed, unused, NEAREST)
+            if not len(near):
+                break
+            for r in near:
                 full = put(r)
                 if full:
                     break

@@ -279,6 +279,25 @@ def test_retrieval_prefers_neighbours():
     assert index.neighbours(1, np.array([True, False, True, True])).tolist() == [3]
 
 
+def test_retrieval_of_common_terms_and_copies():
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(i * 50, i * 50 + 60, 700).astype(np.uint32) for i in range(60)]
+    copy = rng.integers(5000, 5200, 700).astype(np.uint32)
+    for i in range(0, 60, 3):
+        ids[i] = copy.copy()
+    index = packing.Index(ids)
+    unused = np.ones(60, bool)
+    unused[0] = False
+    assert index.neighbours(0, unused).tolist() == list(range(3, 60, 3))
+    assert index.neighbours(0, unused, 4).tolist() == list(range(3, 60, 3))
+    windows = [{d % 3 == 0 for d, _, _ in sequence} for sequence in packing.pack(ids) if len(sequence) > 1]
+    assert sum(len(w) == 1 for w in windows) >= len(windows) - 2
+    # terms of all documents count, too
+    shared = [np.concatenate((np.full(5 + 20 * (i % 2), 7), np.arange(100 + i * 40, 140 + i * 40))).astype(np.uint32) for i in range(30)]
+    index = packing.Index(shared)
+    assert len(index.neighbours(0, np.arange(30) > 0)) == 29
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
