@@ -1,8 +1,8 @@
 """Lexical retrieval packing: documents share a sequence with their nearest neighbours under BM25.
 
-A shard is a run of documents of one input partition, of at most SHARD_TOKENS tokens (or one longer document).
-Each document is cut into whole windows, which are sequences of their own, and a rest. The rests of a shard are put into
-an inverted index. The longest unused rest is the seed of a sequence; the index returns its unused neighbours in
+Documents are dealt to shards of at most SHARD_TOKENS tokens (or one longer document) by their content, wherever they are stored: by a
+weighted MinHash that prefers rare terms. Frequencies of terms and the mean length are those of all documents. Each document is cut into whole windows, which are sequences of their own, and a rest. The documents of a shard that have a rest are put into
+an inverted index, with all their terms. The longest unused rest is the seed of a sequence; the index returns its unused neighbours in
 order of their BM25 score, and they fill the window greedily. All terms count; copies are one text of the index. Documents without a word in common with the seed follow,
 longest first. What doesn't fit is cut off and begins a next sequence as its seed. So all sequences but the last of a shard are full; the last is
 split at powers of two, which take no padding.
@@ -13,16 +13,16 @@ No text is dropped, and no two sequences share an id.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, encoded
+from .common import arrow_batches, encoded, written
 from .tokens import default_path, vocabulary_for
 
 WINDOW = 2048
@@ -37,6 +37,14 @@ NEAREST = 64
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Statistics:
+    """Documents, tokens and documents with each term of a corpus."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.n, self.tokens = n, tokens
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
 class Index:
     """An inverted index over the documents of one shard, with weights of BM25.
 
@@ -44,7 +52,7 @@ class Index:
     Copies are one text with several members, all of the same score.
     """
 
-    def __init__(self, ids: list[np.ndarray], k1: float = K1, b: float = B, common: float = COMMON):
+    def __init__(self, ids: list[np.ndarray], k1: float = K1, b: float = B, common: float = COMMON, corpus: Statistics | None = None):
         n = len(ids)
         first: dict[bytes, int] = {}
         self.text = np.array([first.setdefault(x.tobytes(), len(first)) for x in ids], np.int64)
@@ -60,10 +68,10 @@ class Index:
         term = np.concatenate(self.terms).astype(np.int64) if n else np.zeros(0, np.int64)
         text = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
         tf = (np.concatenate(counts) if n else np.zeros(0)).astype(np.float32)
-        df = np.bincount(term, weights=members[text], minlength=1)
-        norm = k1 * (1 - b + b * length / max(float((length * members).sum() / n) if n else 1.0, 1.0))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        weight = (idf[term] * tf * (k1 + 1) / (tf + norm[text])).astype(np.float32)
+        if corpus is None:
+            corpus = Statistics(n, int((length * members).sum()), np.bincount(term, weights=members[text], minlength=1))
+        norm = k1 * (1 - b + b * length / max(corpus.tokens / max(corpus.n, 1), 1.0))
+        weight = (corpus.idf[term] * tf * (k1 + 1) / (tf + norm[text])).astype(np.float32)
         posted = np.bincount(term, minlength=1)
         dense = np.flatnonzero(posted > max(8, common * len(some)))
         self.row = np.full(len(posted), -1, np.int64)
@@ -99,7 +107,7 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack(ids: list[np.ndarray], window: int = WINDOW, corpus: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold each token of ids once."""
     out: list[list[tuple[int, int, int]]] = []
     rests, starts = [], []
@@ -109,7 +117,7 @@ def pack(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, in
         if whole < len(x):
             rests.append(d)
             starts.append(whole)
-    index = Index([ids[d][s:] for d, s in zip(rests, starts, strict=True)])
+    index = Index([ids[d] for d in rests], corpus=corpus)
     unused = np.ones(len(rests), bool)
     begin = np.array(starts, np.int64)
     size = np.array([len(ids[d]) for d in rests], np.int64) - begin
@@ -178,32 +186,124 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
+def ranks(corpus: Statistics, seed: int) -> np.ndarray:
+    """An order of all terms in which rare ones tend to be early: exponential variates with rates of idf^2.
+
+    Two documents have the same first term with a probability of their common share of these weights (a weighted MinHash).
+    """
+    u = np.random.default_rng(seed).random(len(corpus.idf))
+    return -np.log1p(-u) / np.maximum(corpus.idf.astype(float), 1e-6) ** 2
+
+
+def tokenised(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (four bytes each), n and content (a hash of the ids) of each document; df, the documents with each term, in a row of its own for each task."""
+    key = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_for(path)
+        df, type_of = np.zeros(1, np.int64), None
+        names = ["doc_id", "ids", "n", "content", "df"]
+        for batch in batches:
+            type_of = batch.column("doc_id").type
+            raw, n, content = [], [], []
+            for text in encoded(batch.column("text")):
+                x = np.append(vocabulary.ids(text.decode()), np.uint32(END))
+                t = np.unique(x)
+                if t[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(t[-1]) + 1 - len(df), np.int64))
+                df[t] += 1
+                raw.append(x.astype("<u4").tobytes())
+                n.append(len(x))
+                content.append(int.from_bytes(hashlib.blake2b(raw[-1], digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), pa.array(content, pa.int64()), pa.nulls(len(n), pa.list_(pa.int64()))], names=names)
+        if type_of is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_of), *(pa.nulls(1, t) for t in (pa.binary(), pa.int64(), pa.int64())), pa.array([df], pa.list_(pa.int64()))], names=names)
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, ids binary, n long, content long, df array<long>")
+
+
+def statistics(table: DataFrame) -> Statistics:
+    """Of a table of tokenised documents; an array over the vocabulary is all that reaches the driver."""
+    total = table.where("ids IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    found = table.where("df IS NOT NULL").select(F.posexplode("df").alias("term", "c")).where("c > 0").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
+    term, c = found.column("term").to_numpy(), found.column("c").to_numpy()
+    df = np.zeros(int(term.max()) + 1 if len(term) else 1)
+    df[term] = c
+    return Statistics(total["n"], total["tokens"], df)
+
+
+def dealt(table: DataFrame, corpus: Statistics, shard_tokens: int) -> tuple[DataFrame, int]:
+    """The documents with their shard, and the number of shards.
+
+    Documents go by their first term in an order of `ranks`, and neighbours in this order fill a shard. A term with more tokens than a shard
+    takes several, by the content of the documents; a content of more tokens than a shard is dealt by doc_id, too.
+    """
+    rank = table.sparkSession.sparkContext.broadcast(ranks(corpus, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("ids").to_pylist()
+            if not raw:
+                continue
+            x = np.frombuffer(b"".join(raw), "<u4")
+            begin = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw])[:-1]))
+            r = rank.value[x]
+            least = np.minimum.reduceat(r, begin)
+            at = np.flatnonzero(r == np.repeat(least, np.diff(np.append(begin, len(x)))))
+            first = x[at[np.searchsorted(at, begin)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.astype(np.int64))], names=[*batch.schema.names, "term"])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.drop("df").schema)
+    documents = table.where("ids IS NOT NULL").drop("df").mapInArrow(run, f"{kept}, term long")
+    sizes = {r["term"]: r["n"] for r in documents.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    shard, shards, room = {}, 0, 0
+    for term in sorted(sizes, key=lambda t: rank.value[t]):
+        if sizes[term] > shard_tokens:
+            pieces = -(-sizes[term] // shard_tokens)
+            shard[term] = shards, pieces
+            shards, room = shards + pieces, 0
+            continue
+        if sizes[term] > room:
+            shards, room = shards + 1, shard_tokens
+        shard[term] = shards - 1, 1
+        room -= sizes[term]
+    spark = table.sparkSession
+    places = spark.createDataFrame([(t, s, p) for t, (s, p) in shard.items()], "term long, first long, pieces long")
+    # at most one content for each shard_tokens of the corpus
+    heavy = [r["content"] for r in table.where("ids IS NOT NULL").groupBy("content").agg(F.sum("n").alias("n")).where(F.col("n") > shard_tokens).collect()] if any(p > 1 for _, p in shard.values()) else []
+    alone = spark.createDataFrame([(c,) for c in heavy], "content long").withColumn("heavy", F.lit(True))
+    out = documents.join(F.broadcast(places), "term").join(F.broadcast(alone), "content", "left")
+    salt = F.when(F.col("heavy"), F.xxhash64("doc_id")).otherwise(F.col("content"))
+    return out.select("doc_id", "ids", (F.col("first") + F.pmod(F.xxhash64(salt), F.col("pieces"))).alias("shard")), shards
+
+
 def pack_documents(documents: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """For each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids.
 
-    No shuffle: a shard lies within an input partition, and sequence_id has the partition in its upper bits.
+    The rows and sequence_id, which has the shard in its upper bits, don't depend on the partitions of the documents.
     """
-    path = tokenizer or default_path()
     arrow_batches(documents.sparkSession)
     key = documents.schema["doc_id"].dataType.simpleString()
+    table = written(tokenised(documents, tokenizer or default_path()))
+    shared = statistics(table)
+    shards, n = dealt(table, shared, shard_tokens)
+    shared = documents.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_for(path)
-        sequence_id = TaskContext.get().partitionId() << 40
-        names, ids, total = [], [], 0
+        names, ids, total, current, sequence_id = [], [], 0, None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequence_id, names, ids, total
             doc, rows = [], []
-            raw = [x.astype("<u4").tobytes() for x in ids]
             pieces = []
-            for sequence in pack(ids, window):
+            for sequence in pack(ids, window, shared.value):
                 offset = 0
                 for d, start, length in sequence:
+                    part = ids[d][start : start + length]
                     doc.append(names[d])
-                    rows.append((start, length, zlib.crc32(raw[d][4 * start : 4 * (start + length)]), len(ids[d]), sequence_id, offset))
+                    rows.append((start, length, zlib.crc32(part.tobytes()), len(ids[d]), sequence_id, offset))
                     if with_ids:
-                        pieces.append(ids[d][start : start + length].astype(np.int32))
+                        pieces.append(part.astype(np.int32))
                     offset += length
                 sequence_id += 1
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
@@ -212,14 +312,17 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, window: i
 
         for batch in batches:
             type_of = batch.column("doc_id").type
-            for name, text in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text")), strict=True):
-                x = np.append(vocabulary.ids(text.decode()), np.uint32(END))
-                if ids and total + len(x) > shard_tokens:
+            for name, raw, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "shard")), strict=True):
+                x = np.frombuffer(raw, "<u4")
+                if ids and (shard != current or total + len(x) > shard_tokens):
                     yield from flush()
+                if shard != current:
+                    current, sequence_id = shard, shard << 32
                 names.append(name)
                 ids.append(x)
                 total += len(x)
         if ids:
             yield from flush()
 
-    return documents.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {key}, {SCHEMA}" + ", ids array<int>" * with_ids)
+    together = shards.repartition(max(1, n), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    return together.mapInArrow(run, f"doc_id {key}, {SCHEMA}" + ", ids array<int>" * with_ids)

@@ -298,6 +298,23 @@ def test_retrieval_of_common_terms_and_copies():
     assert len(index.neighbours(0, np.arange(30) > 0)) == 29
 
 
+def test_packing_brings_together_what_lies_apart(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bcdfghklmnprstaeiou") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    groups = [[rng.choice(words) for _ in range(250)] for _ in range(40)]
+    pairs = [(i * 40 + g, " ".join(w)) for g, w in enumerate(groups) for i in range(3)]
+    found = []
+    for order in (pairs, sorted(pairs, reverse=True)):
+        table = packing.pack_documents(spark.createDataFrame(order, "doc_id long, text string").repartitionByRange(6, "doc_id"), shard_tokens=20_000)
+        found.append(got(table))
+    assert found[0] == found[1]
+    windows = {}
+    for r in found[0]:
+        windows.setdefault(r[0] % 40, []).append((r[0], r[5]))
+    together = sum(len({s for d, s in w if d // 40 == 0} & {s for d, s in w if d // 40 == 1}) > 0 for w in windows.values())
+    assert together >= 30
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
