@@ -9,8 +9,8 @@ products. Within a class a word has (c + 1) / (n + v + 1), with c its count, n a
 distinct tokens in the training rows; the 1 in the divisor is for words that aren't there.
 
 Counts are exact and cover all rows. The TOP most frequent tokens are broadcast (16 bytes each). All others go through a join by
-token, in which no token is frequent. The network alone is fitted on a bounded sample, SAMPLE training documents of the lowest
-hashes.
+token, in which no token is frequent. The network starts from a fit on SAMPLE training documents, those of the lowest hashes. From there each
+partition makes one pass over all its training rows, and the parameters are averaged; so they depend on the partitions a little.
 
 Defined results: a null or empty text is the end alone. Rows without doc_id are for training. Repeated rows count
 as often as they occur and each get a row. Without training rows the base score is 0 a token.
@@ -18,6 +18,7 @@ as often as they occur and each get a row. Without training rows the base score
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_batches, encoded, mix, slices, written
+from .common import U64, Words, arrow_batches, checkpointed, encoded, mix, slices, written
 
 FOLDS, HELD_OUT = 7, 2
 SHORT, SUFFIXES, TOP, SAMPLE = 256, 64, 1 << 18, 1500
 CLASSES = SHORT + SUFFIXES
 CONTEXT, DIM, NOISE, EPOCHS, BATCH, RATE = 3, 32, 128, 4, 1024, 0.05
+#: The share of RATE in the pass over all rows.
+LAST = 0.2
 #: The hash of the end token; words have it with probability 2^-64.
 END = U64(0x51ED270B7F4A7C15)
 #: Local counts that a task of the counting pass holds before it passes them on.
@@ -145,6 +148,16 @@ def contexts(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
+def summed(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each of n classes."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    order = np.argsort(of.astype(np.int16), kind="stable")
+    sorted_of = of[order]
+    first = np.flatnonzero(np.append(True, sorted_of[1:] != sorted_of[:-1]))
+    out[sorted_of[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class LogBilinear:
     def __init__(self, frequency: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -153,6 +166,7 @@ class LogBilinear:
         self.m = [(np.eye(DIM) * 0.5 + rng.normal(0, 0.02, (DIM, DIM))).astype(np.float32) for _ in range(CONTEXT)]
         self.b = np.log(frequency).astype(np.float32)
         self.noise = frequency
+        self.squares = [np.full_like(p, 1e-3) for p in self.parameters()]
 
     def predictions(self, context: np.ndarray) -> np.ndarray:
         """The context's sum, from tables of each place's products."""
@@ -163,40 +177,52 @@ class LogBilinear:
         return out
 
     def fit(self, ids: np.ndarray, context: np.ndarray, seed: int = 4) -> LogBilinear:
-        """Noise-contrastive estimation with noise that a batch shares, by Adagrad."""
+        """EPOCHS passes over a sample."""
         rng = np.random.default_rng(seed)
-        parameters = [self.r, self.q, self.b, *self.m]
-        squares = [np.full_like(p, 1e-3) for p in parameters]
-        eye_r, eye_q = np.eye(CLASSES + 1, dtype=np.float32), np.eye(CLASSES, dtype=np.float32)
-        log_noise = np.log(self.noise * NOISE).astype(np.float32)
         for epoch in range(EPOCHS):
-            rate = RATE * (1 - 0.8 * epoch / EPOCHS)
-            order = rng.permutation(len(ids))
-            for s in range(0, len(ids), BATCH):
-                pick = order[s : s + BATCH]
-                y, x = ids[pick], context[pick]
-                noise = rng.choice(CLASSES, NOISE, p=self.noise)
-                vectors = [self.r[x[:, k]] for k in range(CONTEXT)]
-                p = sum(v @ m for v, m in zip(vectors, self.m, strict=True))
-                good = (p * self.q[y]).sum(1) + self.b[y] - log_noise[y]
-                bad = p @ self.q[noise].T + self.b[noise] - log_noise[noise]
-                d_good = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / len(y)
-                d_bad = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / len(y)
-                d_p = d_good[:, None] * self.q[y] + d_bad @ self.q[noise]
-                hot = eye_q[y]
-                g_q, g_b = hot.T @ (d_good[:, None] * p), hot.T @ d_good
-                np.add.at(g_q, noise, d_bad.T @ p)
-                np.add.at(g_b, noise, d_bad.sum(0))
-                g_r = np.zeros_like(self.r)
-                g_m = []
-                for k in range(CONTEXT):
-                    g_r += eye_r[x[:, k]].T @ (d_p @ self.m[k].T)
-                    g_m.append(vectors[k].T @ d_p)
-                for w, g, sq in zip(parameters, (g_r, g_q, g_b, *g_m), squares, strict=True):
-                    sq += g * g
-                    w -= (rate * g / np.sqrt(sq)).astype(np.float32)
+            self.step_through(ids, context, RATE * (1 - 0.8 * epoch / EPOCHS), rng)
         return self
 
+    def step_through(self, ids: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        """One pass of noise-contrastive estimation with noise that a batch shares, by Adagrad."""
+        parameters = self.parameters()
+        log_noise = np.log(self.noise * NOISE).astype(np.float32)
+        cumulated = np.cumsum(self.noise)
+        order = rng.permutation(len(ids))
+        for s in range(0, len(ids), BATCH):
+            pick = order[s : s + BATCH]
+            y, x = ids[pick], context[pick]
+            noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE), side="right"), CLASSES - 1)
+            p = self.predictions(x)
+            q = self.q[y]
+            good = np.einsum("ij,ij->i", p, q) + self.b[y] - log_noise[y]
+            bad = p @ self.q[noise].T
+            bad += self.b[noise] - log_noise[noise]
+            size = np.float32(len(y))
+            d_good = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / size
+            np.clip(bad, -30, 30, out=bad)
+            np.negative(bad, out=bad)
+            np.exp(bad, out=bad)
+            bad += 1
+            bad *= size
+            d_bad = np.reciprocal(bad, out=bad)
+            d_p = d_good[:, None] * q + d_bad @ self.q[noise]
+            g_q, g_b = summed(y, d_good[:, None] * p, CLASSES), np.bincount(y, d_good, CLASSES).astype(np.float32)
+            np.add.at(g_q, noise, d_bad.T @ p)
+            np.add.at(g_b, noise, d_bad.sum(0))
+            g_r = np.zeros_like(self.r)
+            g_m = []
+            for k in range(CONTEXT):
+                by_class = summed(x[:, k], d_p, CLASSES + 1)
+                g_r += by_class @ self.m[k].T
+                g_m.append(self.r.T @ by_class)
+            for w, g, sq in zip(parameters, (g_r, g_q, g_b, *g_m), self.squares, strict=True):
+                sq += g * g
+                w -= (rate * g / np.sqrt(sq)).astype(np.float32)
+
+    def parameters(self) -> list[np.ndarray]:
+        return [self.r, self.q, self.b, *self.m]
+
     def log10(self, ids: np.ndarray, context: np.ndarray, batch: int = 4096) -> np.ndarray:
         """Normalised log10 probabilities of classes after their contexts."""
         out = np.empty(len(ids), np.float32)
@@ -214,17 +240,50 @@ class LogBilinear:
 
 
 def train(documents: DataFrame, corpus: Corpus, most: int = SAMPLE) -> LogBilinear:
-    """Fits the network on at most `most` training documents, those whose ids have the lowest hashes."""
+    """Fits the network: first on at most `most` training documents, those whose ids have the lowest hashes, and from there on all of them."""
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     own = documents.select("doc_id", "text").where(~held_out())
     ids = own.select("doc_id").orderBy(*order).limit(most).distinct()
     rows = sorted((r["doc_id"], r["text"] or "") for r in own.join(F.broadcast(ids), "doc_id").limit(2 * most).collect())
     model = LogBilinear(corpus.frequency)
-    if not rows:
-        return model
-    h, s, of = tokens([t.encode() for _, t in rows])
-    classes, _ = corpus.classes(h, s)
-    return model.fit(classes, contexts(classes, of))
+    if rows:
+        h, s, of = tokens([t.encode() for _, t in rows])
+        classes, _ = corpus.classes(h, s)
+        model.fit(classes, contexts(classes, of))
+    return averaged(own, corpus, model)
+
+
+def averaged(documents: DataFrame, corpus: Corpus, start: LogBilinear) -> LogBilinear:
+    """The mean, by tokens, of what one pass over each partition makes of the model; every document has its part in it."""
+    arrow_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast((corpus, start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus, start = shared.value
+        model, rng, n = copy.deepcopy(start), np.random.default_rng(5), 0
+        for batch in batches:
+            texts = encoded(batch.column("text"))
+            for a, b in slices(texts, 1 << 20):
+                h, s, of = tokens(texts[a:b])
+                classes, _ = corpus.classes(h, s)
+                model.step_through(classes, contexts(classes, of), RATE * LAST, rng)
+                n += len(classes)
+        if n:
+            flat = np.concatenate([p.ravel() for p in model.parameters()]).astype(float) * n
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], names=["n", "sums"])
+
+    passed = checkpointed(documents.select("text").mapInArrow(run, "n long, sums array<double>"))
+    total = passed.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return start
+    found = passed.select(F.posexplode("sums").alias("place", "value")).groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    flat = np.empty(found.num_rows)
+    flat[found.column("place").to_numpy()] = found.column("value").to_numpy() / total
+    model, at = copy.deepcopy(start), 0
+    for p in model.parameters():
+        p[:] = flat[at : at + p.size].reshape(p.shape)
+        at += p.size
+    return model
 
 
 def score(documents: DataFrame) -> DataFrame:

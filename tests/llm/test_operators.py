@@ -88,6 +88,18 @@ def test_language_model(docs, pairs, none, monkeypatch):
     assert lm.score(none).count() == 0
 
 
+def test_network_learns_from_all_rows(spark):
+    ids = spark.range(4000).where(~F.expr("crc32(cast(id as string)) % 7 = 2")).orderBy(F.xxhash64(F.col("id").cast("string")), "id")
+    order = [r["id"] for r in ids.collect()]
+    rows = [(d, "aa bb cc dd " * 15 if i < 5 else "pp qq " * 30) for i, d in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    corpus = lm.Corpus(lm.counts(docs))
+    model = lm.train(docs, corpus, most=5)
+    h, s, of = lm.tokens([rows[-1][1].encode()])
+    classes, _ = corpus.classes(h, s)
+    assert model.log10(classes, lm.contexts(classes, of))[3:-1].mean() > np.log10(0.8)
+
+
 def test_network_is_normalised():
     rng = np.random.default_rng(0)
     model = lm.LogBilinear(np.full(lm.CLASSES, 1 / lm.CLASSES))
