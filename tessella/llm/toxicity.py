@@ -4,7 +4,8 @@ Words (runs of ASCII digits, letters and characters that are not ASCII; A-Z lowe
 4, 5 and 6 bytes, so that forms of one stem are alike. Filters over 1, 2 and 3 words are max-pooled over the whole text and a
 logistic unit gives the score. The first coordinate of an embedding starts at its feature's log-odds of
 presence in toxic documents. The fit takes a bounded sample of labelled rows: PER_CLASS documents of each label.
-Thresholds by language turn scores into decisions; the language isn't an input of a score.
+Thresholds by language turn scores into decisions; the language isn't an input of a score. They come from counts over all labelled rows
+that the fit didn't use, with those of all languages as a prior.
 
 Defined results: a text without words, null or empty has the score of the bias alone. Without labels of both
 classes every score is the share of toxic labels, or 0 without any. A language without labelled rows has the
@@ -26,6 +27,8 @@ BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 18, 8, 8, (1, 2, 3), (4, 5, 6)
 EPOCHS, BATCH, RATE = 6, 64, 0.08
 #: Steps at least, within 60 passes, where there are few rows.
 STEPS = 400
+#: Thresholds to choose from, and the rows that all languages together count as in a language's choice.
+CUTS, PRIOR = np.linspace(0.05, 0.95, 91), 40
 
 
 def features(words: Words) -> np.ndarray:
@@ -171,38 +174,58 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_cla
     labelled = training_labels(labels, label)
     total = labelled.agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("s")).first()
     share = total["s"] / total["n"] if total["n"] else 0.0
-    rows = sample(documents, labelled, per_class, ("text", "lang"))
+    rows = sample(documents, labelled, per_class, ("text", "doc_id"))
     if len({r[0] for r in rows}) < 2:
         return Constant(share), {"": 0.5}
     y = np.array([r[0] for r in rows], np.float32)
     texts = [(r[1] or "").encode() for r in rows]
-    fold = np.arange(len(rows)) % 5 == 4  # for the thresholds
+    fold = np.arange(len(rows)) % 5 == 4  # left to the thresholds
     if len(set(y[~fold])) < 2 or len(set(y[fold])) < 2:
         fold[:] = False
     model = TextCNN().fit([t for t, f in zip(texts, fold, strict=True) if not f], y[~fold], share)
-    thresholds = {"": 0.5}
-    if fold.any():
-        score = model.scores([t for t, f in zip(texts, fold, strict=True) if f])
-        weight = np.where(y[fold] == 1, share / max(1e-9, (y == 1).mean()), (1 - share) / max(1e-9, (y == 0).mean()))
-        of = np.array([r[2] or "" for r, f in zip(rows, fold, strict=True) if f])
-        thresholds[""] = threshold(score, y[fold], weight)
-        for lang in sorted(set(of) - {""}):
-            own = of == lang
-            if len(set(y[fold][own])) == 2 and own.sum() >= 40:
-                thresholds[lang] = threshold(score[own], y[fold][own], weight[own])
-    return model, thresholds
-
-
-def threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The cut of the best weighted F1; of equal ones the middle."""
-    cuts = np.linspace(0.05, 0.95, 91)
-    f1 = []
-    for c in cuts:
-        hit = score >= c
-        tp = weight[hit & (y == 1)].sum()
-        f1.append(2 * tp / max(1e-9, 2 * tp + weight[hit & (y == 0)].sum() + weight[~hit & (y == 1)].sum()))
-    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    return float(cuts[best[len(best) // 2]])
+    fitted = [r[-1] for r, f in zip(rows, fold, strict=True) if not f]
+    return model, thresholds_by_language(calibration(documents, labelled, fitted, model), share)
+
+
+def calibration(documents: DataFrame, labelled: DataFrame, fitted: list, model: TextCNN) -> dict[str, np.ndarray]:
+    """By language, the documents of each label (rows) and number of CUTS that the score reaches (columns), over all labelled documents that the fit didn't use."""
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def make():
+        return lambda texts, _rows: {"bin": pa.array(np.searchsorted(CUTS, shared.value.scores(texts), side="right").astype(np.int32), pa.int32())}
+
+    used = F.broadcast(spark.createDataFrame([(i,) for i in set(fitted)], labelled.select("doc_id").schema))
+    rest = documents.where(remainder() != 0).select("doc_id", "text", "lang").join(used, "doc_id", "left_anti")
+    bins = map_texts(rest, make, "bin int", ["doc_id", "lang"])
+    out: dict[str, np.ndarray] = {}
+    for r in bins.join(labelled, "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "bin", "y").agg(F.count(F.lit(1)).alias("n")).collect():
+        out.setdefault(r["lang"], np.zeros((2, len(CUTS) + 1)))[r["y"], r["bin"]] += r["n"]
+    return out
+
+
+def thresholds_by_language(counts: dict[str, np.ndarray], share: float) -> dict[str, float]:
+    """The threshold of each language with labelled rows, and "" for all others.
+
+    A label's rows weigh as much as its share of all labelled rows, since the fit took more of one label. Each language's counts
+    have those of all languages added, as PRIOR rows: they decide where a language has few rows, and hardly count where it has many.
+    """
+    total = sum(counts.values(), np.zeros((2, len(CUTS) + 1)))
+    of_label = total.sum(1)
+    if not of_label.all():
+        return {"": 0.5}
+    weight = np.array([1 - share, share]) / (of_label / of_label.sum())
+    total = total * weight[:, None]
+    prior = total * (PRIOR / total.sum())
+    return {lang: threshold(own * weight[:, None] + prior) for lang, own in counts.items() if lang} | {"": threshold(total)}
+
+
+def threshold(counts: np.ndarray) -> float:
+    """The cut of the best F1; of equal ones the middle."""
+    reached = counts[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+    f1 = 2 * reached[1] / np.maximum(1e-9, reached.sum(0) + counts[1].sum())
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    return float(CUTS[best[len(best) // 2]])
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), per_class: int = PER_CLASS, source: DataFrame | None = None) -> DataFrame:

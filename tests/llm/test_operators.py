@@ -155,6 +155,19 @@ def test_classifiers_on_held_out_rows(spark, query, label, least):
     assert held_out_accuracy({"labels": labels, "rows": table}, label) >= least
 
 
+def test_thresholds_cover_all_labelled_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, ("vile rotten " if i % 2 else "fine sunny ") + " ".join(rng.choice("abcdefgh") for _ in range(6)), "xx" if i % 50 < 2 else "en", i % 2) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    labels = table.select("doc_id", "toxic")
+    model, thresholds = toxicity.train(table, labels, per_class=300)
+    assert set(thresholds) == {"", "en", "xx"}  # 4 % of the rows: fewer than 40 of them in a fifth of the sample
+    fitted = [1, 2]
+    counts = toxicity.calibration(table, toxicity.training_labels(labels, "toxic"), fitted, model)
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and r[0] not in fitted]
+    assert {k: v.sum(1).tolist() for k, v in counts.items()} == {k: [sum(r[2] == k and r[3] == y for r in used) for y in (0, 1)] for k in ("en", "xx")}
+
+
 def test_classifiers_on_odd_rows(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, None), (None, 1, 1), (3, 1, 0), (3, 1, 1), (4, 0, 0), (6, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
