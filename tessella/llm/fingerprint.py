@@ -2,9 +2,9 @@
 
 A document's shingles (five words split at ASCII white space, A-Z lower-cased; fewer words are one shingle)
 are hashed once. The upper bits of a hash name its bin, and a bin keeps its least hash. An empty bin
-copies that of a bin which a universal hash of its own number picks, again and again until one has a value. Of each
-bin BITS low-order bits are kept. Two bins agree by chance with probability 2^-BITS, so the share of agreeing bins
-is corrected to (share - 2^-BITS) / (1 - 2^-BITS), at least 0.
+copies that of a bin which a universal hash of its own number picks, again and again until one has a value. Each bin's value
+is hashed with the bin's number, so copies of one value keep bits of their own, and BITS low-order bits are kept. Two bins
+of different values agree by chance with probability 2^-BITS, so the share of agreeing bins is corrected to (share - 2^-BITS) / (1 - 2^-BITS), at least 0.
 
 Defined results: a text without words, null or empty has the empty fingerprint, which is like another empty one (1)
 and unlike all others (0). Order is by doc_id, null ids first, ties by text; the next document of the last is the first.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import U64, Words, arrow_batches, checkpointed, distinct_by_text, encoded, map_texts, mix, parts_for, shingles, slices, total_bytes
 
 BINS, BITS, SHINGLE = 512, 4, 5
-PART_BYTES = 24 << 20
+#: Bytes of a range of documents, and ranges at most: a number for each of them reaches the driver.
+PART_BYTES, MOST_PARTS = 24 << 20, 100_000
 _SHIFT = U64(64 - (BINS - 1).bit_length())
 
 
@@ -44,6 +45,12 @@ def densify(values: np.ndarray, full: np.ndarray) -> np.ndarray:
     return values
 
 
+def kept_bits(values: np.ndarray) -> np.ndarray:
+    """The low-order bits of each bin's value, hashed with the bin's number."""
+    number = mix(np.arange(values.shape[1], dtype=U64) + U64(0x632BE59BD9B4E019))
+    return (mix(values ^ number) & U64((1 << BITS) - 1)).astype(np.uint8)
+
+
 def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The kept bits of each bin, a row for each text, and whether the text has shingles."""
     n = len(texts)
@@ -57,7 +64,7 @@ def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         first[1:] = (bins[1:] != bins[:-1]) | (row[1:] != row[:-1])
         values[row[first], bins[first]] = h[first]
         full[row[first], bins[first]] = True
-        out[a:b] = (mix(densify(values, full)) & U64((1 << BITS) - 1)).astype(np.uint8)
+        out[a:b] = kept_bits(densify(values, full))
         some[a:b] = np.diff(offsets) > 0
     return out, some
 
@@ -119,7 +126,7 @@ def fingerprint_pairs(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     arrow_batches(spark)
     _, size = total_bytes(documents, "text")
-    parts = parts_for(size, PART_BYTES, 2)
+    parts = min(MOST_PARTS, parts_for(size, PART_BYTES, 2))
     key = documents.schema["doc_id"].dataType.simpleString()
     ranged = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     names = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -148,7 +155,7 @@ def fingerprint_pairs(documents: DataFrame) -> DataFrame:
             yield rows("tail", ids, None, texts)
 
     made = checkpointed(ranged.mapInArrow(run, f"kind string, part int, text string, doc_id {key}, {COLUMNS}"))
-    found = sorted(r["part"] for r in made.where("kind = 'head'").select("part").collect())  # numbers of ranges, two at least
+    found = sorted(r["part"] for r in made.where("kind = 'head'").select("part").collect())  # numbers of ranges, MOST_PARTS at most
     following = spark.createDataFrame(list(zip(found, found[1:] + found[:1], strict=True)), "part int, next_part int")
     heads = made.where("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     tails = made.where("kind = 'tail'").select("doc_id", "text", "part").join(following, "part").join(heads, "next_part")
@@ -163,3 +170,24 @@ def fingerprint_pairs(documents: DataFrame) -> DataFrame:
     last = map_texts(tails, make, COLUMNS, ["doc_id", "next_text"]).drop("next_text")
     out = made.where("kind = 'row'").select("doc_id", *names).unionByName(last)
     return out.select("doc_id", *[F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in out.dtypes[1:]])
+
+
+def brute_force(text: str | None) -> list[int]:
+    """The kept bits of one text, bin by bin with plain loops; for tests."""
+    words = Words([(text or "").encode()])
+    h, _ = shingles(words, 1, SHINGLE)
+    bins: dict[int, int] = {}
+    for x in h.tolist():
+        k = x >> int(_SHIFT)
+        bins[k] = min(x, bins.get(k, x))
+    if not bins:
+        return []
+    one = lambda x: int(mix(np.array([x & 0xFFFFFFFFFFFFFFFF], U64))[0])
+    out = []
+    for k in range(BINS):
+        source, attempt = k, 0
+        while source not in bins:
+            attempt += 1
+            source = one(k * 0x9E3779B97F4A7C15 + attempt * 0xD1B54A32D192ED03) % BINS
+        out.append(one(bins[source] ^ one(k + 0x632BE59BD9B4E019)) & (1 << BITS) - 1)
+    return out
