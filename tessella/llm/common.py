@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,40 +20,47 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Sub-batches of this many bytes of text bound the temporary arrays of a Python worker.
 SLICE_BYTES = 1 << 19
-#: Rows of an Arrow batch; whole texts may be long, so batches are small.
-BATCH_ROWS = 1000
+#: Bytes and rows of an Arrow batch. Texts may be long, so the bytes are what bounds a worker's memory; one longer text is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Readies a session for work on texts in Python: ships the package, and bounds the rows of Arrow batches so that long texts fit in a worker."""
+    """Readies a session for work on texts in Python: ships the package, and bounds Arrow batches so that long texts fit in a worker.
+
+    Plans read these settings when they run, after this function, so they stay lowered in the session; values that are lower already are kept.
+    """
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, most in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "2147483647", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, default).lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only in a session of one process, as in tests, an unset one is a new temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="shared-")
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the session names."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:  # only where no cluster names a shared folder, as in tests
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder that the session names: smaller than a checkpoint, and read by columns."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="written-")
-    path = f"{folder}/{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
