@@ -109,7 +109,7 @@ def nodes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, n: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set, null if empty) and the bands' keys."""
+    """The columns but the text, n_shingles, node (a hash of the set, null if empty) and the bands' keys."""
 
     def make():
         def work(texts: list[bytes], _rows: pa.RecordBatch) -> dict:
@@ -126,7 +126,7 @@ def signatures(documents: DataFrame, n: int, rows: int) -> DataFrame:
 
         return work
 
-    return map_texts(documents, make, "n_shingles long, node long, bands array<long>", ["doc_id"])
+    return map_texts(documents, make, "n_shingles long, node long, bands array<long>", [c for c in documents.columns if c != "text"])
 
 
 class Forest:
@@ -237,8 +237,8 @@ def links(documents: DataFrame, classes: DataFrame, groups: DataFrame, n: int, n
     return units.repartition("unit").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each document."""
+def _components(documents: DataFrame, n: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' signatures, without bands, and (node, component) of the classes that are linked with another."""
     signed = checkpointed(signatures(documents, n, band_rows(numerator / denominator)))
     some = signed.where("node is not null")
     classes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
@@ -246,7 +246,13 @@ def near_duplicates(documents: DataFrame, n: int = SHINGLE, numerator: int = NUM
     buckets = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("bucket", "pivot")
     edges = members.join(buckets, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     groups = connected_components(edges)
-    found = connected_components(links(documents, classes, groups, n, numerator, denominator))
+    return signed.drop("bands"), connected_components(links(documents, classes, groups, n, numerator, denominator))
+
+
+def near_duplicates(documents: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each document."""
+    signed, found = _components(documents.select("doc_id", "text"), n, numerator, denominator)
+    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(least, "component").select("node", "component_id")
@@ -256,21 +262,27 @@ def near_duplicates(documents: DataFrame, n: int = SHINGLE, numerator: int = NUM
 
 
 def drop_near_duplicates(documents: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """One document of each component, with all its columns: that of the least doc_id; of repeated rows of it, one.
+    """One row of each component, with all its columns; rows without words all stay.
 
-    A row without doc_id stays: no other can name it.
+    Rows are told apart by doc_id and text, so a doc_id may stand for several texts, of which each stays or goes by its own component. The row of the
+    least doc_id stays (a null one counts after all others), of equal ids that of the least hash of its text, and one of repeated rows of it.
     """
-    found = checkpointed(near_duplicates(documents, n, numerator, denominator).where("doc_id is not null"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    out = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = checkpointed(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
-    if not repeated.isEmpty():
-        twice = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
-        once = out.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-        out = once.unionByName(out.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+    text = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    signed, found = _components(text, n, numerator, denominator)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    some = signed.where("node is not null").join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), rank.alias("row"))
+    first = some.groupBy("component").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # of each component of several rows: how often each of them occurs, and whether it stays
+    counted = some.join(first, "component").groupBy("row").agg(F.count(F.lit(1)).alias("times"), F.min(F.col("row") == F.col("first")).alias("stays"))
+    others = checkpointed(counted.where("not stays or times > 1").select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"), "stays"))
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_document"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_text"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h"))
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    out = whole.join(sized(others), same, "left_anti")
+    twice = others.where("stays")
+    if not twice.isEmpty():
+        out = out.unionByName(whole.join(sized(twice), same, "left_semi").dropDuplicates(["_own", "_text"]))
+    return out.select("_document.*")
 
 
 def brute_force(documents: list[tuple], n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> list[tuple]:
@@ -290,3 +302,13 @@ def brute_force(documents: list[tuple], n: int = SHINGLE, numerator: int = NUMER
     for (doc_id, _), r in zip(documents, roots.tolist(), strict=True):
         least[r] = min(least.get(r, doc_id), doc_id)
     return [(doc_id, len(s), least[r], doc_id == least[r]) for (doc_id, _), s, r in zip(documents, sets, roots.tolist(), strict=True)]
+
+
+def brute_force_kept(documents: list[tuple], n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> list[tuple]:
+    """The (doc_id, text) that stay of a list without null ids, where one text of a component has its least doc_id; for tests."""
+    numbered = [(i, text) for i, (_, text) in enumerate(documents)]
+    found = brute_force(numbered, n, numerator, denominator)
+    best: dict = {}
+    for (doc_id, _), (i, _, component, _) in zip(documents, found, strict=True):
+        best[component] = min(best.get(component, (doc_id, i)), (doc_id, i))
+    return [documents[i] for _, i in best.values()]

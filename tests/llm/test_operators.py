@@ -138,6 +138,28 @@ def test_fingerprint_likeness():
     assert fingerprint.likeness(bits[:1], some[:1], bits[2:], some[2:])[0] == 0
 
 
+def test_fingerprints_against_brute_force():
+    rng = random.Random(8)
+    words = list({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(150)})
+    texts = ["", "one", "a b c d e f g h", " ".join(words), *(" ".join(rng.sample(words, k)) for k in (1, 4, 5, 6, 30))]
+    bits, some = fingerprint.fingerprints([t.encode() for t in texts])
+    assert [b.tolist() if s else [] for b, s in zip(bits, some, strict=True)] == [fingerprint.brute_force(t) for t in texts]
+    # unrelated short texts, whose bins are all copies of one value
+    bits, some = fingerprint.fingerprints([w.encode() for w in words])
+    n = len(words)
+    assert max(fingerprint.likeness(np.repeat(bits[i : i + 1], n - 1 - i, 0), some[i + 1 :], bits[i + 1 :], some[i + 1 :]).max() for i in range(n - 1)) < 0.1
+    errors = []
+    for size in (1, 3, 6, 12, 100, 800):
+        for share in (0.3, 0.6, 0.9, 1):
+            a = [str(rng.random()) for _ in range(size)]
+            b = a[: int(size * share)] + [str(rng.random()) for _ in range(size - int(size * share))]
+            one, two = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b))
+            bits, some = fingerprint.fingerprints([" ".join(a).encode(), " ".join(b).encode()])
+            errors.append(abs(fingerprint.likeness(bits[:1], some[:1], bits[1:], some[1:])[0] - len(one & two) / len(one | two)))
+    assert max(errors) < 0.1
+    assert np.mean(errors) < 0.02
+
+
 def held_out_accuracy(found, label):
     y = {r["doc_id"]: r[label] for r in found["labels"]}
     own = [(r["predicted"], y[r["doc_id"]]) for r in found["rows"] if r["held_out"] and r["doc_id"] in y]
@@ -230,7 +252,23 @@ def test_near_duplicates(docs, pairs, none, monkeypatch, block):
     assert same(got(neardup.near_duplicates(docs, 5, 80, 100)), five)
     kept = neardup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in want if r[3]})
+    wordy = [p for p in pairs if (p[1] or "").encode().split()]
+    assert same([tuple(r) for r in kept.select("doc_id", "text").collect()], [*neardup.brute_force_kept(wordy), *(p for p in pairs if p not in wordy)])
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(300)]
+    a, b = " ".join(words[:80]), " ".join(words[100:180])
+    pairs = [(1, a), (5, a), (5, b), (7, b + " more"), (8, a + " x"), (3, None), (3, ""), (3, ""), (9, "unique words here"), (1, a), (2, a[:40])]
+    table = spark.createDataFrame([(i, t, "s", 1, 2, 3) for i, t in pairs], "doc_id long, text string, h string, node int, row int, stays int")
+    kept = neardup.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    want = neardup.brute_force_kept([p for p in pairs if p[1]])
+    assert same([tuple(r) for r in kept.select("doc_id", "text").collect()], [*want, *(p for p in pairs if not p[1])])
+    assert (5, b) in want
+    none = spark.createDataFrame([(None, a), (None, b), (4, a), (None, b)], "doc_id long, text string")
+    assert same([tuple(r) for r in neardup.drop_near_duplicates(none).collect()], [(4, a), (None, b)])
 
 
 def test_odd_sketches_estimate_high_similarities():
