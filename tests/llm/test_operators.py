@@ -70,11 +70,12 @@ def test_decontamination(spark, docs, pairs, none, block):
     assert decontaminate.digest(none, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench).columns == docs.columns
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
-    clean = decontaminate.decontaminate(docs, bench, remove="spans")
+    clean = decontaminate.decontaminate(docs, bench, remove="spans", block_bytes=block)
     assert clean.count() == docs.count()
     assert clean.columns == docs.columns
     again = decontaminate.brute_force([tuple(r) for r in clean.select("doc_id", "text").collect()], [(3, "Two words")])
     assert not any(r[2] for r in again)
+    assert same(got(clean), got(decontaminate.decontaminate(docs, bench, remove="spans")))
 
 
 def test_language_model(docs, pairs, none, monkeypatch):
