@@ -1,6 +1,6 @@
 """The data source "tiff" for spark.read.format and spark.readStream.format.
 
-Options: table is files, dirs (default), tags, chunks or rows; columns that a query doesn't ask for are still parsed. Its files are listed and read
+Options: table is files, dirs (default), tags, chunks or rows; late_seconds is how late a stream's file may come; columns that a query doesn't ask for are still parsed. Its files are listed and read
 through pyarrow, a partition for each `files_per_task` files.
 """
 
@@ -15,7 +15,9 @@ from pyspark.sql.types import StructType
 from ..shipping import ship_package
 from . import tiff
 
-TABLES = {"files": tiff.FILES, "dirs": tiff.DIRS, "tags": tiff.TAGS, "chunks": tiff.CHUNKS}
+TABLES = {"files": tiff.FILES, "dirs": tiff.DIRS, "tags": tiff.TAGS, "chunks": tiff.CHUNKS, "rows": tiff.ROWS}
+#: Seconds that a file may come late: one whose time of change is older than the newest file's by more isn't looked for any more.
+LATE_SECONDS = 7 * 86400
 
 
 def _system(path: str):
@@ -24,14 +26,20 @@ def _system(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def list_files(path: str) -> list[str]:
+def timed_files(path: str) -> list[tuple[int, str]]:
+    """The time of change (nanoseconds, 0 if unknown) and the name of each file."""
     from pyarrow import fs
 
     system, base = _system(path)
-    if system.get_file_info(base).type == fs.FileType.File:
-        return [base]
+    one = system.get_file_info(base)
+    if one.type == fs.FileType.File:
+        return [(one.mtime_ns or 0, base)]
     found = system.get_file_info(fs.FileSelector(base, recursive=True))
-    return sorted(x.path for x in found if x.type == fs.FileType.File and x.base_name.lower().endswith((".tif", ".tiff")))
+    return sorted((x.mtime_ns or 0, x.path) for x in found if x.type == fs.FileType.File and x.base_name.lower().endswith((".tif", ".tiff")))
+
+
+def list_files(path: str) -> list[str]:
+    return sorted(name for _, name in timed_files(path))
 
 
 def rows_of(path: str, data: bytes, table: str) -> Iterator[dict]:
@@ -39,6 +47,11 @@ def rows_of(path: str, data: bytes, table: str) -> Iterator[dict]:
     if table == "files":
         yield tiff._file_row(path, data, f)
         return
+    if table == "rows":
+        for d, _, c, a, error in tiff.Scan(tiff.Options(user=tiff.codecs.registered())).arrays(data, f):
+            for k in range(len(a) if a is not None else 1):
+                yield {"path": path, "ifd": d.ifd, "y0": c.y, "row": c.y + k if a is not None else None, "x0": c.x, "samples": a[k].astype(float).tolist() if a is not None else None, "error": error}
+        return
     for d in f.directories:
         if table == "dirs":
             yield tiff._dir_row(path, d, f, len(data))
@@ -85,19 +98,28 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """New files in the order of their names; the offset is the last name. The driver lists files, the executors read them."""
+    """New files by their time of change, whatever their names. The driver lists files, the executors read them.
+
+    An offset is the newest time and the names of all files that aren't older than it by more than `late_seconds`; so a file that arrives later with
+    a smaller name, or with an older time within that span, is still new. Its size is that of so many names.
+    """
 
     def __init__(self, schema: StructType, options: dict):
         self.files = _Reader(schema, options)
+        self.late = int(float(options.get("late_seconds", LATE_SECONDS)) * 1e9)
 
     def initialOffset(self) -> dict:
-        return {"last": ""}
+        return {"time": -1, "names": []}
 
     def latestOffset(self) -> dict:
-        return {"last": max(list_files(self.files.path), default="")}
+        found = timed_files(self.files.path)
+        newest = max((t for t, _ in found), default=-1)
+        return {"time": newest, "names": sorted(name for t, name in found if t >= newest - self.late)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        names = [n for n in list_files(self.files.path) if start["last"] < n <= end["last"]]
+        old, new = set(start["names"]), set(end["names"])
+        # what is too old for the end's names, but not for the start's, is new as well: all of it in the first batch
+        names = sorted(name for t, name in timed_files(self.files.path) if name not in old and (name in new or (start["time"] - self.late <= t < end["time"] - self.late if start["time"] >= 0 else t < end["time"] - self.late)))
         return [_Files(names[i : i + self.files.step]) for i in range(0, len(names), self.files.step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,6 +41,8 @@ class WriteOptions:
     level: int = -1
     quality: int = 75
     group3_options: int = 0
+    #: Strips, tiles and planes stay as they are in the source; chunks are copied one by one.
+    keep_layout: bool = False
 
     @staticmethod
     def parse(text: str) -> WriteOptions:
@@ -135,7 +138,7 @@ def layout(page: Page, o: WriteOptions) -> tuple[image.Meta, list[tuple[int, int
     return m, [(0, y, w, min(rows, h - y)) for y in range(0, h, rows)]
 
 
-def encode_page(page: Page, o: WriteOptions) -> tuple[image.Meta, list[bytes], int]:
+def encode_page(page: Page, o: WriteOptions, user: dict | None = None) -> tuple[image.Meta, list[bytes], int]:
     """The encoded chunks in file order and the rows of a strip (or 0 for tiles); tiles over the edge are filled with the last samples."""
     m, places = layout(page, o)
     planes: list[list[bytes]] = [[] for _ in range(page.array.shape[2] if m.planar == 2 else 1)]
@@ -144,32 +147,37 @@ def encode_page(page: Page, o: WriteOptions) -> tuple[image.Meta, list[bytes], i
         part = page.array[y : y + h, x : x + w]
         if o.tile_width:
             part = np.pad(part, ((0, h - part.shape[0]), (0, w - part.shape[1]), (0, 0)), mode="edge")
-        for plane, raw in zip(planes, image.encode_chunk(part, m, o.level, o.quality, y_res), strict=True):
+        for plane, raw in zip(planes, image.encode_chunk(part, m, o.level, o.quality, y_res, user), strict=True):
             plane.append(raw)
     return m, [raw for plane in planes for raw in plane], 0 if o.tile_width else places[0][3]
 
 
-def write_bytes(pages: list[Page], o: WriteOptions | None = None) -> bytes:
-    """A whole file. BigTIFF is chosen where offsets could pass 2^32."""
+def write_bytes(pages: list[Page], o: WriteOptions | None = None, user: dict | None = None) -> bytes:
+    """A whole file. BigTIFF is chosen where offsets could pass 2^32. `user` holds codecs that go before the built-in ones."""
     o = o or WriteOptions()
-    encoded = [encode_page(p, o) for p in pages]
-    big = o.big or sum(len(raw) for _, chunks, _ in encoded for raw in chunks) + 65536 * len(pages) >= 1 << 32
+    user = codecs.registered() if user is None else user
+    return _write([(p, o, *encode_page(p, o, user)) for p in pages], o)
+
+
+def _write(pages: list[tuple[Page, WriteOptions, image.Meta, list[bytes], int]], o: WriteOptions) -> bytes:
+    """A file of pages with their encoded chunks and the rows of a strip; o has the container's form."""
+    big = o.big or sum(len(raw) for _, _, _, chunks, _ in pages for raw in chunks) + 65536 * len(pages) >= 1 << 32
     e = o.order
     out = bytearray(struct.pack(e + "HHHQ", 43, 8, 0, 0) if big else struct.pack(e + "HI", 42, 0))
     out[:0] = b"II" if e == "<" else b"MM"
     link = 8 if big else 4
     word = "Q" if big else "I"
-    for page, (m, chunks, rows) in zip(pages, encoded, strict=True):
+    for page, own, m, chunks, rows in pages:
         offsets = []
         for raw in chunks:
             out += b"\0" * (len(out) & 1)
             offsets.append(len(out))
             out += raw
-        entries = {t: (k, *tag_bytes(e, k, v)) for t, k, v in _tags(page, o, m, offsets, [len(c) for c in chunks], rows, big)}
-        for pointer, own in page.linked.items():
+        entries = {t: (k, *tag_bytes(e, k, v)) for t, k, v in _tags(page, own, m, offsets, [len(c) for c in chunks], rows, big)}
+        for pointer, further in page.linked.items():
             out += b"\0" * (len(out) & 1)
             entries[pointer] = (16 if big else 4, *tag_bytes(e, 16 if big else 4, len(out)))
-            out += directory_bytes(e, {t: (k, *tag_bytes(e, k, v)) for t, k, v in own}, len(out), big)[0]
+            out += directory_bytes(e, {t: (k, *tag_bytes(e, k, v)) for t, k, v in further}, len(out), big)[0]
         out += b"\0" * (len(out) & 1)
         at = len(out)
         struct.pack_into(e + word, out, link, at)
@@ -210,45 +218,100 @@ def _value(t: P.Tag):
     return t.text if t.type == 2 else t.rationals if t.rationals else t.raw if t.type == 7 else t.nums
 
 
-def pages_of(data: bytes, numbers: list[int] | None = None, user: dict | None = None) -> list[Page]:
-    """The images of a file in memory, with the tags that a copy takes along."""
+def _page(d: P.Directory, f: P.TiffFile, m: image.Meta, array: np.ndarray) -> Page:
+    """A page with what a copy takes along of its directory."""
+    tags = [(t.tag, t.type, _value(t)) for t in d.tags.values() if t.tag in COPIED]
+    res = (d.get(282), d.get(283)) if d.get(282) is not None and d.get(283) is not None else None
+    linked = {}
+    for pointer, kind in P.LINKED.items():
+        for child in f.directories:
+            if kind != "sub" and child.kind == kind and child.offset in d.all(pointer):
+                linked[pointer] = [(t.tag, t.type, _value(t)) for t in child.tags.values() if t.tag not in P.LINKED]
+    return Page(array, m.photometric, m.bits, m.sample_format, m.orientation, m.extra_samples, m.colormap, m.subsampling, res, tags, linked)
+
+
+def _chosen(f: P.TiffFile, numbers: list[int] | None) -> list[P.Directory]:
+    return [d for i, d in enumerate(x for x in f.directories if x.kind == "main") if numbers is None or i in numbers]
+
+
+def pages_of(data: bytes, numbers: list[int] | None = None, user: dict | None = None, ignore: bool = False) -> list[Page]:
+    """The images of a file in memory, with the tags that a copy takes along. With `ignore`, chunks that can't be read are zeros."""
     from .tiff import arrays
 
     f = P.parse(data)
     out = []
-    for i, d in enumerate(x for x in f.directories if x.kind == "main"):
-        if numbers is not None and i not in numbers:
-            continue
-        a, m = arrays(data, f.directories.index(d), user)
-        tags = [(t.tag, t.type, _value(t)) for t in d.tags.values() if t.tag in COPIED]
-        res = (d.get(282), d.get(283)) if d.get(282) is not None and d.get(283) is not None else None
-        photometric, sub = m.photometric, m.subsampling
-        if photometric == image.YCBCR and m.compression in (codecs.JPEG, codecs.OLD_JPEG):
-            a, photometric, sub = image.ycbcr_to_rgb(a, m.luma, m.black_white), image.RGB, (1, 1)
-        linked = {}
-        for pointer, kind in P.LINKED.items():
-            for child in f.directories:
-                if kind != "sub" and child.kind == kind and child.offset in d.all(pointer):
-                    linked[pointer] = [(t.tag, t.type, _value(t)) for t in child.tags.values() if t.tag not in P.LINKED]
-        out.append(Page(a, photometric, m.bits, m.sample_format, m.orientation, m.extra_samples, m.colormap, sub, res, tags, linked))
+    for d in _chosen(f, numbers):
+        a, m = arrays(data, f.directories.index(d), user, ignore)
+        page = _page(d, f, m, a)
+        if m.photometric == image.YCBCR and m.compression in (codecs.JPEG, codecs.OLD_JPEG):
+            page.array, page.photometric, page.subsampling = image.ycbcr_to_rgb(a, m.luma, m.black_white), image.RGB, (1, 1)
+        out.append(page)
     return out
 
 
-def convert(contents: DataFrame, options: WriteOptions, pages: list[int] | None = None, change=None) -> DataFrame:
+def rechunked(data: bytes, o: WriteOptions, numbers: list[int] | None = None, user: dict | None = None, ignore: bool = False) -> bytes:
+    """A file whose chunks keep their places. One chunk is decoded at a time, and none whose encoded bytes can be stored as they are."""
+    from .tiff import meta_of
+
+    f = P.parse(data)
+    out = []
+    for d in _chosen(f, numbers):
+        g = P.geometry(d)
+        if g is None:
+            raise ValueError(str(d.errors))
+        m = meta_of(d, g, f.order, data)
+        predicted = (codecs.LZW, codecs.DEFLATE, codecs.ADOBE_DEFLATE)
+        predictor = m.predictor if m.compression in predicted else 1
+        wanted = o.predictor if o.compression in predicted else 1
+        same = m.compression == o.compression and predictor == wanted and m.fill_order == o.fill_order and (m.order == o.order or m.bits <= 8 or m.compression == codecs.JPEG)
+        if not same and (codecs.JPEG in (m.compression, o.compression) or m.compression == codecs.OLD_JPEG or image.is_subsampled(m)):
+            raise ValueError("these chunks can't be encoded anew one by one")
+        one = dataclasses.replace(m, samples=1, planar=1) if m.planar == 2 else m
+        to = dataclasses.replace(one, compression=o.compression, predictor=wanted, fill_order=o.fill_order, order=o.order, group3_options=o.group3_options)
+        y_res = float(d.get(283) or 0)
+        chunks = []
+        for c in P.chunks(d, g, len(data)):
+            raw = data[c.offset : c.offset + c.size]
+            if not same:
+                try:
+                    a = image.decode_chunk([raw], one, c.w, c.h, user)
+                except (ValueError, IndexError):
+                    if not ignore:
+                        raise
+                    a = np.zeros((c.h, c.w, one.samples), np.int64)
+                raw = image.encode_chunk(a, to, o.level, o.quality, y_res, user)[0]
+            chunks.append(raw)
+        page = _page(d, f, m, np.zeros((0, 0, m.samples)))
+        if same and m.jpeg_tables and m.compression == codecs.JPEG:
+            page.tags.append((347, 7, m.jpeg_tables))
+        own = dataclasses.replace(o, predictor=wanted, tile_width=g.tile_width if g.tiled else 0, tile_length=g.tile_length if g.tiled else 0, group3_options=m.group3_options if same else o.group3_options)
+        out.append((page, own, dataclasses.replace(m, compression=o.compression), chunks, 0 if g.tiled else g.rows_per_strip))
+    return _write(out, o)
+
+
+def convert(contents: DataFrame, options: WriteOptions, pages: list[int] | None = None, change=None, ignore: bool = False) -> DataFrame:
     """path, content and error of the files (path, content) copied with another layout or compression, page by page.
 
-    `change` takes a Page and gives another. Files are converted where they are read; there is no shuffle.
+    `change` takes a Page and gives another. With options.keep_layout and no change, chunks are copied one by one where their codecs allow it, so a page
+    isn't in memory as a whole. Files are converted where they are read; there is no shuffle.
     """
     ship_package(contents.sparkSession)
     user = codecs.registered()
 
+    def made(content: bytes) -> bytes:
+        if options.keep_layout and not change:
+            try:
+                return rechunked(content, options, pages, user, ignore)
+            except ValueError:
+                pass  # page by page
+        return write_bytes([change(p) if change else p for p in pages_of(content, pages, user, ignore)], options, user)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    found = pages_of(bytes(content), pages, user)
-                    rows.append((path, write_bytes([change(p) if change else p for p in found], options), None))
+                    rows.append((path, made(bytes(content)), None))
                 except (ValueError, IndexError, struct.error) as e:
                     rows.append((path, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "content", "error"])
@@ -264,10 +327,10 @@ def unlink(contents: DataFrame, number: int, options: WriteOptions | None = None
     return convert(contents, options or WriteOptions(), [i for i in range(n) if i != number])
 
 
-def assemble(pages: DataFrame, options: WriteOptions) -> DataFrame:
+def assemble(pages: DataFrame, options: WriteOptions, renumber: bool = False) -> DataFrame:
     """path and content of files from (path, position, content), each content a file whose pages are joined in the order of position.
 
-    One group is one output file, which must fit in memory as any file does.
+    `renumber` numbers all pages anew (PageNumber). One group is one output file, which must fit in memory as any file does.
     """
     ship_package(pages.sparkSession)
     user = codecs.registered()
@@ -275,25 +338,42 @@ def assemble(pages: DataFrame, options: WriteOptions) -> DataFrame:
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("position")
         found = [p for content in frame["content"] for p in pages_of(bytes(content), None, user)]
-        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [write_bytes(found, options)]})
+        if renumber:
+            for i, p in enumerate(found):
+                p.tags = [t for t in p.tags if t[0] != 297] + [(297, 3, [i, len(found)])]
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [write_bytes(found, options, user)]})
 
     return pages.select("path", "position", "content").groupBy("path").applyInPandas(build, "path string, content binary")
 
 
-def from_samples(rows: DataFrame, options: WriteOptions, photometric: int = 1, bits: int = 8, sample_format: int = 1) -> DataFrame:
-    """path and content of files made of image rows (path, ifd, row, samples: an array for each pixel)."""
+def from_samples(rows: DataFrame, options: WriteOptions, photometric: int = 1, bits: int = 8, sample_format: int = 1, **page) -> DataFrame:
+    """path and content of files made of image rows (path, ifd, row, samples: an array for each pixel); `page` has further fields of each Page."""
     ship_package(rows.sparkSession)
+    user = codecs.registered()
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         pages = []
         for _, own in frame.sort_values(["ifd", "row"]).groupby("ifd"):
             a = np.array([np.stack(s) for s in own["samples"]])
-            pages.append(Page(a, photometric, bits, sample_format))
-        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [write_bytes(pages, options)]})
+            pages.append(Page(a, photometric, bits, sample_format, **page))
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [write_bytes(pages, options, user)]})
 
     return rows.select("path", "ifd", "row", "samples").groupBy("path").applyInPandas(build, "path string, content binary")
 
 
+def from_records(rows: DataFrame, make, options: WriteOptions | None = None) -> DataFrame:
+    """path and content of one file for each row: make(row as a dict, which has `path`) gives its Pages."""
+    ship_package(rows.sparkSession)
+    options = options or WriteOptions()
+    user = codecs.registered()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "content": [write_bytes(make(r), options, user) for r in frame.to_dict("records")]})
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
 def save(contents: DataFrame, folder: str, suffix: str = "") -> DataFrame:
     """Writes each (path, content) under its base name into a folder; gives path and bytes. Rows must have different base names.
 

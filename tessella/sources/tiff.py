@@ -327,8 +327,8 @@ def meta_dict(m: image.Meta) -> dict:
     return asdict(m)
 
 
-def arrays(data: bytes, page: int = 0, user: dict | None = None) -> tuple[np.ndarray, image.Meta]:
-    """One whole image of a file in memory, without Spark: for small files and tests."""
+def arrays(data: bytes, page: int = 0, user: dict | None = None, ignore: bool = False) -> tuple[np.ndarray, image.Meta]:
+    """One whole image of a file in memory, without Spark. With `ignore`, a chunk that can't be read is zeros."""
     f = P.parse(data)
     d = f.directories[page]
     g = P.geometry(d)
@@ -341,7 +341,12 @@ def arrays(data: bytes, page: int = 0, user: dict | None = None) -> tuple[np.nda
         places.setdefault(c.number - c.plane * g.per_plane, []).append(c)
     for own in places.values():
         c = own[0]
-        a = image.decode_chunk([data[k.offset : k.offset + k.size] for k in own], m, c.w, c.h, user)[: g.height - c.y, : g.width - c.x]
+        try:
+            a = image.decode_chunk([data[k.offset : k.offset + k.size] for k in own], m, c.w, c.h, user)[: g.height - c.y, : g.width - c.x]
+        except (ValueError, IndexError):
+            if not ignore:
+                raise
+            a = np.zeros((min(c.h, g.height - c.y), min(c.w, g.width - c.x), g.samples), np.int64)
         if out is None:
             out = np.zeros((g.height, g.width, a.shape[2]), a.dtype)
         out[c.y : c.y + a.shape[0], c.x : c.x + a.shape[1]] = a

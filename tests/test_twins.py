@@ -1,9 +1,9 @@
-"""Every registered twin against its SQL."""
+"""Every registered query over ordinary tables and over files against its SQL."""
 
 import duckdb
 import pytest
 
-from tessella.plans import twins
+from tessella.plans import files, twins
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,10 +17,13 @@ def oracle(sf):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(twins.QUERIES))
+QUERIES, ORACLES = twins.QUERIES | files.QUERIES, twins.ORACLES | files.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_twin(spark, sf, oracle, name):
-    found = twins.QUERIES[name](spark, sf)
-    want = oracle.sql(twins.ORACLES[name])
+    found = QUERIES[name](spark, sf)
+    want = oracle.sql(ORACLES[name])
     assert sorted(found.columns) == sorted(want.columns)
     order = sorted(found.columns)
     a = sorted((tuple(r[c] for c in order) for r in found.collect()), key=str)
