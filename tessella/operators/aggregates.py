@@ -31,3 +31,8 @@ def adler32(values: Column) -> Column:
 def spread_within(values: Column, most: int) -> Column:
     """Whether an array's values differ by at most `most`."""
     return F.array_max(values) - F.array_min(values) <= most
+
+
+def stream_size(chunks: DataFrame, keys: list[str], size: str, trimmed: int = 4, head: int = 2) -> DataFrame:
+    """Bytes of a stream that joins chunks, each without its first and last marks, after a head: keys and total."""
+    return chunks.groupBy(*keys).agg((F.sum(F.greatest(F.col(size) - trimmed, F.lit(0))) + head).alias("total"))

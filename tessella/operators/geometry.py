@@ -68,3 +68,27 @@ def bytecount_looks_bad(first, offset, file_size, second=None, expected=None) ->
         bad = bad | ((_c(second) == 0) & (_c(first) != 0))
     bad = bad | (_c(first) > _c(file_size) - _c(offset))
     return bad if expected is None else bad | (_c(first) < _c(expected))
+
+
+def checked_product(a, b) -> Column:
+    """A product of whole numbers of 32 bits, or 0 where it doesn't fit in 32 bits."""
+    product = _c(a).cast("long") * _c(b).cast("long")
+    return F.when(product.between(-(1 << 31), (1 << 31) - 1), product).otherwise(F.lit(0).cast("long"))
+
+
+def packed_scanline_bytes(width, samples, bits, horizontal, vertical) -> Column:
+    """The older rule's and the newer rule's bytes of a row, as a struct (old, new).
+
+    The old one counts all samples of a row. The new one is the bytes of a pack of chroma-sharing rows over their number. Overflows are 0.
+    """
+    old = ceil_div(checked_product(checked_product(bits, width), samples), 8)
+    pack = ceil_div(ceil_div(width, horizontal) * (_c(horizontal) * _c(vertical) + 2) * _c(bits), 8)
+    return F.struct(old.alias("old"), div(pack, vertical).alias("new"))
+
+
+def tile_edges(tile, width, height, tile_width: int, tile_height: int) -> Column:
+    """Whether a tile of one plane lies over the right and the bottom edge, and its width and height within the image: a struct (right, bottom, w, h)."""
+    across = ceil_div(width, tile_width)
+    x, y = F.pmod(_c(tile), across), div(tile, across)
+    w, h = F.least(F.lit(tile_width).cast("long"), _c(width) - x * tile_width), F.least(F.lit(tile_height).cast("long"), _c(height) - y * tile_height)
+    return F.struct((w < tile_width).alias("right"), (h < tile_height).alias("bottom"), w.alias("w"), h.alias("h"))

@@ -47,6 +47,33 @@ def palette(pixels: DataFrame, wanted: int = 256) -> list[tuple[int, int, int]]:
     return [tuple(map(int, c)) for c in median_cut(rows[["r", "g", "b"]].to_numpy(int), rows["n"].to_numpy(float), wanted)]
 
 
+def component_levels(most: int, components: int = 3, order: tuple[int, ...] = (1, 0, 2)) -> list[int]:
+    """Levels of each component of a colour grid of at most `most` colours.
+
+    All begin with the same number, the largest that fits. Then each in `order` (green, red, blue) gets one more while that fits, pass after pass.
+    """
+    base = 1
+    while (base + 1) ** components <= most:
+        base += 1
+    if base < 2:
+        raise ValueError(f"a grid of {components} components needs {2**components} colours")
+    levels = [base] * components
+    grown = True
+    while grown:
+        grown = False
+        for k in order[:components]:
+            more = int(np.prod(levels)) // levels[k] * (levels[k] + 1)
+            if more > most:
+                break
+            levels[k], grown = levels[k] + 1, True
+    return levels
+
+
+def grid_color(value: Column, levels: int) -> Column:
+    """The nearest of `levels` evenly spread steps from 0 to 255, as the step's number."""
+    return F.floor((value * (levels - 1) * 2 + 255) / 510).cast("int")
+
+
 def nearest(r: Column, g: Column, b: Column, colors: list[tuple[int, int, int]]) -> Column:
     """The number of the nearest colour of a palette, of equally near ones the lowest."""
     distance = lambda c: (r - c[0]) * (r - c[0]) + (g - c[1]) * (g - c[1]) + (b - c[2]) * (b - c[2])

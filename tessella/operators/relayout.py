@@ -73,9 +73,9 @@ def from_tiles(tiles: DataFrame, width: Column, tile_width: int, tile_height: in
     return cells.select(*(keys or []), row.alias("row"), col.alias("col"), "value").where(F.col("col") < width)
 
 
-def subtract_bias(image: DataFrame, bias: DataFrame, bits: int, keys: list[str], value: str = "q") -> DataFrame:
-    """The image less the bias image, modulo 2^bits. Spark picks the join; a bias below its broadcast threshold isn't shuffled."""
-    return image.join(bias.select(*keys, F.col(value).alias("bias")), keys).select(*keys, F.pmod(F.col(value) - F.col("bias"), F.lit(1 << bits)).alias(value))
+def subtract_bias(image: DataFrame, bias: DataFrame, bits: int, keys: list[str], value: str = "q", keep: list[str] | None = None) -> DataFrame:
+    """The image less the bias image, modulo 2^bits, with `keep` (by default the keys). Spark picks the join; a bias below its broadcast threshold isn't shuffled."""
+    return image.join(bias.select(*keys, F.col(value).alias("bias")), keys).select(*(keep or keys), F.pmod(F.col(value) - F.col("bias"), F.lit(1 << bits)).alias(value))
 
 
 def downsample(samples: DataFrame, keys: list[str], value: str = "q", vertical: int = 2, horizontal: int = 2) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, color
-from ..operators import aggregates, checks, geometry, pages, predictor, relayout, tags
+from ..operators import aggregates, checks, geometry, pages, predictor, quantize, relayout, tags
+from ..sources.pdf import PAPERS
 
 WIDTH = 64
 QUERIES: dict = {}
@@ -171,7 +172,7 @@ def adler_like(spark, sf):
 
 @_query("SELECT source, CAST(sum(greatest(n_chars - 4, 0)) + 2 AS BIGINT) AS total FROM documents GROUP BY source")
 def jpeg_stream_size(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg((F.sum(F.greatest(F.col("n_chars") - 4, F.lit(0))) + 2).alias("total"))
+    return aggregates.stream_size(table(spark, sf, "documents"), ["source"], "n_chars")
 
 
 # Planes, tiles and movement
@@ -204,7 +205,7 @@ def tiles_to_strips(spark, sf):
 def bias_subtract(spark, sf):
     image = px(spark, sf)
     frame = image.where("row = 0").select("col", F.col("q"))  # one image row
-    return image.join(F.broadcast(frame.withColumnRenamed("q", "bias")), "col").select("row", "col", F.pmod(F.col("q") - F.col("bias"), F.lit(256)).alias("q"))
+    return relayout.subtract_bias(image, F.broadcast(frame), 8, ["col"], keep=["row", "col"])
 
 
 @_query(", b AS (SELECT row + 1 AS row, col, q FROM px) SELECT a.row, a.col, ((a.q - b.q) % 256 + 256) % 256 AS q FROM px a JOIN b ON a.row = b.row AND a.col = b.col")
@@ -244,9 +245,12 @@ def flip_v(spark, sf):
 
 @_query(", o AS (SELECT row % 8 + 1 AS o, row, col, q FROM px) SELECT row, CASE WHEN o IN (2, 3, 6, 7) THEN 63 - col ELSE col END AS col, q FROM o")
 def orientation_flip(spark, sf):
-    left = [o for o, (_, mirrored, _) in relayout.ORIENTATIONS.items() if mirrored]
-    tag = F.pmod(F.col("row"), F.lit(8)) + 1
-    return px(spark, sf).withColumn("col", F.when(tag.isin(left), WIDTH - 1 - F.col("col")).otherwise(F.col("col"))).select("row", "col", "q")
+    own = px(spark, sf).withColumn("first", F.col("row")).withColumn("row", F.lit(0).cast("long"))  # each row is an image of its own
+    out = None
+    for o in relayout.ORIENTATIONS:
+        part = relayout.orient(own.where(F.pmod(F.col("first"), F.lit(8)) + 1 == o), o, F.lit(WIDTH), F.lit(1))
+        out = part if out is None else out.unionByName(part)
+    return out.select((F.col("first") + F.col("row")).alias("row"), "col", "q")
 
 
 @_query("SELECT row - 10 AS row, col - 8 AS col, q FROM px WHERE row BETWEEN 10 AND 109 AND col BETWEEN 8 AND 39")
@@ -414,10 +418,12 @@ def tag_defaults(spark, sf):
     return tags.with_defaults(found, wanted, defaults, ["p_partkey"])
 
 
-@_query("SELECT event_id, user_id AS tag FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@_query("SELECT event_id, user_id % 65536 AS tag FROM events WHERE user_id % 65536 NOT IN (SELECT c_custkey % 65536 FROM customer WHERE c_custkey % 2 = 0)")
 def tag_unknown(spark, sf):
-    registry = table(spark, sf, "customer").where(F.pmod(F.col("c_custkey"), F.lit(2)) == 0).select(F.col("c_custkey").alias("tag"))
-    return table(spark, sf, "events").select("event_id", F.col("user_id").alias("tag")).join(registry, "tag", "left_anti").select("event_id", "tag")
+    """Tags have 16 bits, so the registry has at most 65,536 of them."""
+    short = lambda c: F.pmod(F.col(c), F.lit(65536)).alias("tag")
+    registry = table(spark, sf, "customer").where(F.pmod(F.col("c_custkey"), F.lit(2)) == 0).select(short("c_custkey"))
+    return tags.unknown(table(spark, sf, "events").select("event_id", short("user_id")), registry).select("event_id", "tag")
 
 
 @_query("SELECT p_partkey, CAST(270 AS BIGINT) AS tag, length(p_name) AS value FROM part")
@@ -448,11 +454,10 @@ def rational(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", tags.rational(F.col("l_quantity"), F.col("l_linenumber") - 3).alias("value"))
 
 
-@_query("SELECT p_partkey, w.width, w.height FROM part JOIN (VALUES ('A4', 595, 842), ('LETTER', 612, 792), ('LEGAL', 612, 1008)) w(name, width, height) ON upper(CASE p_size % 4 WHEN 0 THEN 'a4' WHEN 1 THEN 'Letter' WHEN 2 THEN 'legal' ELSE 'none' END) = w.name")
+@_query("SELECT p_partkey, w.width, w.height FROM part JOIN (VALUES ('A4', 595, 842), ('LETTER', 612, 792), ('LEGAL', 612, 1008), ('JISB5', 516, 729), ('RA2', 1219, 1729), ('A10', 74, 105), ('QUARTO', 609, 780)) w(name, width, height) ON upper(CASE p_size % 8 WHEN 0 THEN 'a4' WHEN 1 THEN 'Letter' WHEN 2 THEN 'legal' WHEN 3 THEN 'jisb5' WHEN 4 THEN 'Ra2' WHEN 5 THEN 'a10' WHEN 6 THEN 'QUARTO' ELSE 'none' END) = w.name")
 def paper_size(spark, sf):
-    sizes = spark.createDataFrame([("A4", 595, 842), ("LETTER", 612, 792), ("LEGAL", 612, 1008)], "name string, width int, height int")
-    size = F.pmod(F.col("p_size"), F.lit(4))
-    asked = F.when(size == 0, "a4").when(size == 1, "Letter").when(size == 2, "legal").otherwise("none")
+    sizes = spark.createDataFrame([(name, w, h) for name, (w, h) in PAPERS.items()], "name string, width int, height int")
+    asked = F.get(F.array(*[F.lit(x) for x in ("a4", "Letter", "legal", "jisb5", "Ra2", "a10", "QUARTO", "none")]), F.pmod(F.col("p_size"), F.lit(8)).cast("int"))
     return table(spark, sf, "part").select("p_partkey", F.upper(asked).alias("name")).join(F.broadcast(sizes), "name").select("p_partkey", "width", "height")
 
 
@@ -468,9 +473,266 @@ def coercions(spark, sf):
     return px(spark, sf).select("row", "col", coerce.signed(q, "byte").alias("signed"), coerce.unsigned(coerce.signed(q * 300, "short"), "short").alias("wide"), coerce.checked(q + 27, "byte").alias("small")).withColumn("small", F.col("small") - 27)
 
 
-@_query("SELECT p_partkey, CASE WHEN p_size > 8 THEN 'an orientation is 1 to 8' END AS error FROM part")
+@_query("""SELECT p_partkey, CAST(t.tag AS BIGINT) AS tag, CASE WHEN t.tag = 274 AND p_size NOT BETWEEN 1 AND 8 THEN 'an orientation is 1 to 8' WHEN t.tag = 266 AND p_size NOT IN (1, 2) THEN 'a fill order is 1 or 2'
+WHEN t.tag = 284 AND p_size NOT IN (1, 2) THEN 'a planar configuration is 1 or 2' WHEN t.tag IN (322, 323) AND p_size % 16 <> 0 THEN 'the sides of a tile are multiples of 16' WHEN t.tag IN (277, 278) AND p_size = 0 THEN 'the value can''t be 0'
+WHEN t.tag = 296 AND p_size NOT BETWEEN 1 AND 3 THEN 'a resolution unit is 1 to 3' WHEN t.tag = 339 AND p_size NOT BETWEEN 1 AND 6 THEN 'a sample format is 1 to 6' WHEN t.tag = 317 AND p_size NOT BETWEEN 1 AND 3 THEN 'a predictor is 1 to 3' END AS error
+FROM (SELECT p_partkey, p_size % 33 AS p_size FROM part), (VALUES (274), (266), (284), (322), (323), (277), (278), (296), (339), (317), (256)) t(tag)""")
 def field_check(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", checks.field_error(F.lit(274), F.col("p_size")).alias("error"))
+    """All rules, for sizes from 0 to 32."""
+    values = F.array(*[F.lit(t).cast("long") for t in (274, 266, 284, 322, 323, 277, 278, 296, 339, 317, 256)])
+    own = table(spark, sf, "part").select("p_partkey", F.pmod(F.col("p_size"), F.lit(33)).alias("value"), F.explode(values).alias("tag"))
+    return own.select("p_partkey", "tag", checks.field_error(F.col("tag"), F.col("value")).alias("error"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 3 + 1 <= p_size % 4 THEN '2' || repeat(',1', CAST(p_size % 3 AS INTEGER)) END AS extra FROM part")
+def extra_samples(spark, sf):
+    """The faulty 999 counts as unassociated alpha; more extra samples than samples are none."""
+    extra = F.concat(F.array(F.lit(999)), F.array_repeat(F.lit(1), F.pmod(F.col("p_size"), F.lit(3)).cast("int")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(checks.valid_extra_samples(extra, F.pmod(F.col("p_size"), F.lit(4))), lambda x: x.cast("string")), ",").alias("extra"))
+
+
+@_query("SELECT p_partkey, len(string_split(p_name, ' ')) = p_size % 6 AS valid FROM part")
+def ink_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", checks.valid_ink_names(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("\0")), F.lit("\0")), F.pmod(F.col("p_size"), F.lit(6))).alias("valid"))
+
+
+@_query("SELECT p_partkey, p_partkey * 1000 >= 65536 AS pseudo, p_size % 2 = 0 AND p_size % 3 = 0 AS old_jpeg FROM part")
+def tag_kinds(spark, sf):
+    """Pseudo tags, and JPEG data of the old style by its tags."""
+    size = F.col("p_size")
+    scheme = F.when(F.pmod(size, F.lit(2)) == 0, 7).otherwise(6)
+    own = F.when(F.pmod(size, F.lit(3)) == 0, F.array(F.lit(256), F.lit(519))).otherwise(F.array(F.lit(256), F.lit(347)))
+    return table(spark, sf, "part").select("p_partkey", checks.is_pseudo(F.col("p_partkey") * 1000).alias("pseudo"), checks.is_old_jpeg(scheme, own).alias("old_jpeg"))
+
+
+@_query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN CAST(p_size * 8 + 4 AS BIGINT) ELSE 0 END AS numerator, CAST(CASE p_size % 3 WHEN 1 THEN 8 ELSE 1 END AS BIGINT) AS denominator FROM part")
+def to_rational(spark, sf):
+    """Whole numbers, halves and negative numbers as rationals."""
+    kind, size = F.pmod(F.col("p_size"), F.lit(3)), F.col("p_size").cast("double")
+    found = tags.to_rational(F.when(kind == 0, size).when(kind == 1, size + 0.5).otherwise(-size))
+    return table(spark, sf, "part").select("p_partkey", found["numerator"].alias("numerator"), found["denominator"].alias("denominator"))
+
+
+@_query("SELECT p_partkey, p_name || chr(92) || '011' || p_brand || chr(92) || '012' AS shown FROM part")
+def printable_text(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", tags.printable(F.concat("p_name", F.lit("\t"), "p_brand", F.lit("\n"))).alias("shown"))
+
+
+@_query("SELECT p_partkey, CAST(p_size AS BIGINT) + 256 * (p_size + 1) AS little, CAST(p_size AS BIGINT) * 256 + p_size + 1 AS big, CAST(NULL AS BIGINT) AS odd FROM part")
+def regrouped_bytes(spark, sf):
+    """Bytes as whole numbers of two bytes; a length that isn't a multiple gives none."""
+    raw = F.unhex(F.concat(F.lpad(F.hex("p_size"), 2, "0"), F.lpad(F.hex(F.col("p_size") + 1), 2, "0")))
+    three = F.concat(raw, F.unhex(F.lit("00")))
+    return table(spark, sf, "part").select("p_partkey", coerce.regroup(raw, 2)[0].alias("little"), coerce.regroup(raw, 2, True)[0].alias("big"), coerce.regroup(three, 2)[0].alias("odd"))
+
+
+@_query("SELECT p_partkey, CAST(p_size AS BIGINT) AS first, CASE WHEN p_size * 10 <= 127 THEN CAST(p_size * 10 AS BIGINT) END AS second FROM part")
+def array_coercion(spark, sf):
+    """Arrays cast element by element; what doesn't fit is null."""
+    found = coerce.array_to(F.array(F.col("p_size").cast("long"), F.col("p_size").cast("long") * 10), "tinyint")
+    return table(spark, sf, "part").select("p_partkey", found[0].cast("long").alias("first"), found[1].cast("long").alias("second"))
+
+
+@_query("SELECT p_partkey, CASE WHEN CAST(p_partkey AS BIGINT) * p_size * 1000000 <= 2147483647 THEN CAST(p_partkey AS BIGINT) * p_size * 1000000 ELSE 0 END AS product FROM part")
+def checked_product(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", geometry.checked_product(F.col("p_partkey") * F.col("p_size"), F.lit(1000000)).alias("product"))
+
+
+@_query("SELECT p_partkey, (p_size * 3 * 8 + 7) // 8 AS old, (((p_size + 1) // 2 * 6 * 8 + 7) // 8) // 2 AS new FROM part")
+def packed_scanlines(spark, sf):
+    found = geometry.packed_scanline_bytes("p_size", 3, 8, 2, 2)
+    return table(spark, sf, "part").select("p_partkey", found["old"].alias("old"), found["new"].alias("new"))
+
+
+@_query(", t AS (SELECT p_partkey, p_partkey % 12 AS tile, 50 AS w, 40 AS h FROM part) SELECT p_partkey, (tile % 4 = 3) AS right, (tile // 4 = 2) AS bottom, least(16, w - tile % 4 * 16) AS w, least(16, h - tile // 4 * 16) AS h FROM t")
+def edge_tiles(spark, sf):
+    found = geometry.tile_edges(F.pmod(F.col("p_partkey"), F.lit(12)), 50, 40, 16, 16)
+    return table(spark, sf, "part").select("p_partkey", *[found[c].alias(c) for c in ("right", "bottom", "w", "h")])
+
+
+@_query("""SELECT p_partkey, n.r, n.g, n.b FROM (SELECT p_partkey, p_size + 8 AS m FROM part) o JOIN (WITH RECURSIVE k AS (SELECT CAST(m AS BIGINT) AS m, CAST(floor(pow(m, 1.0 / 3) + 0.000001) AS BIGINT) AS k FROM range(8, 60) t(m)),
+l AS (SELECT m, k AS r, k AS g, k AS b FROM k UNION SELECT m, CASE WHEN up >= 2 THEN r + 1 ELSE r END, CASE WHEN up >= 1 THEN g + 1 ELSE g END, CASE WHEN up = 3 THEN b + 1 ELSE b END
+FROM (SELECT *, CASE WHEN r * (g + 1) * b > m THEN 0 WHEN (r + 1) * (g + 1) * b > m THEN 1 WHEN (r + 1) * (g + 1) * (b + 1) > m THEN 2 ELSE 3 END AS up FROM l))
+SELECT m, max_by(r, r * g * b) AS r, max_by(g, r * g * b) AS g, max_by(b, r * g * b) AS b FROM l GROUP BY m) n ON n.m = o.m""")
+def component_levels(spark, sf):
+    """Levels of red, green and blue in a grid of p_size + 8 colours."""
+    grids = spark.createDataFrame([(m, *quantize.component_levels(m)) for m in range(8, 60)], "m long, r long, g long, b long")  # sizes are 1 to 50
+    return table(spark, sf, "part").select("p_partkey", (F.col("p_size") + 8).cast("long").alias("m")).join(F.broadcast(grids), "m").select("p_partkey", "r", "g", "b")
+
+
+@_query(", d AS (SELECT row, col, q, (VALUES_[(row % 2) * 2 + col % 2 + 1]) AS t FROM (SELECT row, col, q, [0, 2, 3, 1] AS VALUES_ FROM px)) SELECT row, col, CAST((q * 3 * 4 + t * 255 + 127) // (255 * 4) AS BIGINT) AS level FROM d")
+def ordered_dither(spark, sf):
+    return px(spark, sf).select("row", "col", quantize.ordered_dither(F.col("q"), F.col("row"), F.col("col"), 4, 2).cast("long").alias("level"))
+
+
+@_query("SELECT row, col, CAST((q * 5 * 2 + 255) // 510 AS BIGINT) AS level FROM px")
+def grid_levels(spark, sf):
+    return px(spark, sf).select("row", "col", quantize.grid_color(F.col("q"), 6).cast("long").alias("level"))
+
+
+@_query(", p3 AS (SELECT row, p, r, g, b FROM rgb), d AS (SELECT row, p, i, (r - c1) * (r - c1) + (g - c2) * (g - c2) + (b - c3) * (b - c3) AS d FROM p3, (VALUES (0, 0, 0, 0), (1, 255, 255, 255), (2, 128, 128, 128), (3, 150, 110, 128), (4, 110, 150, 128)) c(i, c1, c2, c3)) SELECT row, p, CAST(arg_min(i, d * 8 + i) AS BIGINT) AS color FROM d GROUP BY row, p")
+def nearest_color(spark, sf):
+    colors = [(0, 0, 0), (255, 255, 255), (128, 128, 128), (150, 110, 128), (110, 150, 128)]
+    return groups(spark, sf, 3, "rgb").select("row", "p", quantize.nearest(F.col("r"), F.col("g"), F.col("b"), colors).cast("long").alias("color"))
+
+
+@_query("SELECT r >> 3 AS r, g >> 3 AS g, b >> 3 AS b, count(*) AS n FROM rgb GROUP BY 1, 2, 3")
+def color_histogram(spark, sf):
+    return quantize.color_histogram(groups(spark, sf, 3, "rgb"))
+
+
+@_query("SELECT q AS symbol, count(*) AS n FROM px GROUP BY 1")
+def symbol_counts(spark, sf):
+    return quantize.symbol_counts(px(spark, sf).select(F.col("q").alias("symbol")), "symbol")
+
+
+@_query("SELECT true AS complete, true AS ordered FROM (SELECT count(*) AS n FROM px)")
+def huffman_code(spark, sf):
+    """A code of lengths whose shares add up to 1 less the one reserved word, and no more frequent symbol has a longer word."""
+    own = px(spark, sf).select(F.col("q").alias("symbol"))
+    both = quantize.huffman_lengths(own, "symbol").join(quantize.symbol_counts(own, "symbol"), "symbol")
+    by_length = both.groupBy("length").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    shares = both.agg((F.sum(F.pow(F.lit(2.0), -F.col("length"))) + F.pow(F.lit(2.0), -F.max("length")) == 1).alias("complete"), F.lit(1).alias("k"))
+    lengths = by_length.agg(F.array_sort(F.collect_list(F.struct("length", "least", "most"))).alias("l"), F.lit(1).alias("k"))  # at most 16 lengths
+    steps = F.zip_with(F.slice("l", F.lit(1), F.size("l") - 1), F.slice("l", F.lit(2), F.size("l") - 1), lambda a, b: a["least"] >= b["most"])
+    return shares.join(lengths, "k").select("complete", F.forall(steps, lambda x: x).alias("ordered"))
+
+
+@_query("SELECT event_id, event_type FROM events WHERE value < 2 OR value IS NULL OR props IS NULL OR length(props) < 3")
+def corrupt_rows(spark, sf):
+    bad = (F.col("value") < 2) | F.col("value").isNull() | F.col("props").isNull() | (F.length("props") < 3)
+    return table(spark, sf, "events").where(bad).select("event_id", "event_type")
+
+
+@_query("SELECT row, col, CASE WHEN q > 127 THEN q - 256 ELSE q END AS signed, (q * 300) % 65536 AS wide, CASE WHEN q <= 100 THEN q END AS small FROM px")
+def coercions(spark, sf):
+    q = F.col("q")
+    return px(spark, sf).select("row", "col", coerce.signed(q, "byte").alias("signed"), coerce.unsigned(coerce.signed(q * 300, "short"), "short").alias("wide"), coerce.checked(q + 27, "byte").alias("small")).withColumn("small", F.col("small") - 27)
+
+
+@_query("""SELECT p_partkey, CAST(t.tag AS BIGINT) AS tag, CASE WHEN t.tag = 274 AND p_size NOT BETWEEN 1 AND 8 THEN 'an orientation is 1 to 8' WHEN t.tag = 266 AND p_size NOT IN (1, 2) THEN 'a fill order is 1 or 2'
+WHEN t.tag = 284 AND p_size NOT IN (1, 2) THEN 'a planar configuration is 1 or 2' WHEN t.tag IN (322, 323) AND p_size % 16 <> 0 THEN 'the sides of a tile are multiples of 16' WHEN t.tag IN (277, 278) AND p_size = 0 THEN 'the value can''t be 0'
+WHEN t.tag = 296 AND p_size NOT BETWEEN 1 AND 3 THEN 'a resolution unit is 1 to 3' WHEN t.tag = 339 AND p_size NOT BETWEEN 1 AND 6 THEN 'a sample format is 1 to 6' WHEN t.tag = 317 AND p_size NOT BETWEEN 1 AND 3 THEN 'a predictor is 1 to 3' END AS error
+FROM (SELECT p_partkey, p_size % 33 AS p_size FROM part), (VALUES (274), (266), (284), (322), (323), (277), (278), (296), (339), (317), (256)) t(tag)""")
+def field_check(spark, sf):
+    """All rules, for sizes from 0 to 32."""
+    values = F.array(*[F.lit(t).cast("long") for t in (274, 266, 284, 322, 323, 277, 278, 296, 339, 317, 256)])
+    own = table(spark, sf, "part").select("p_partkey", F.pmod(F.col("p_size"), F.lit(33)).alias("value"), F.explode(values).alias("tag"))
+    return own.select("p_partkey", "tag", checks.field_error(F.col("tag"), F.col("value")).alias("error"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 3 + 1 <= p_size % 4 THEN '2' || repeat(',1', CAST(p_size % 3 AS INTEGER)) END AS extra FROM part")
+def extra_samples(spark, sf):
+    """The faulty 999 counts as unassociated alpha; more extra samples than samples are none."""
+    extra = F.concat(F.array(F.lit(999)), F.array_repeat(F.lit(1), F.pmod(F.col("p_size"), F.lit(3)).cast("int")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(checks.valid_extra_samples(extra, F.pmod(F.col("p_size"), F.lit(4))), lambda x: x.cast("string")), ",").alias("extra"))
+
+
+@_query("SELECT p_partkey, len(string_split(p_name, ' ')) = p_size % 6 AS valid FROM part")
+def ink_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", checks.valid_ink_names(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("\0")), F.lit("\0")), F.pmod(F.col("p_size"), F.lit(6))).alias("valid"))
+
+
+@_query("SELECT p_partkey, p_partkey * 1000 >= 65536 AS pseudo, p_size % 2 = 0 AND p_size % 3 = 0 AS old_jpeg FROM part")
+def tag_kinds(spark, sf):
+    """Pseudo tags, and JPEG data of the old style by its tags."""
+    size = F.col("p_size")
+    scheme = F.when(F.pmod(size, F.lit(2)) == 0, 7).otherwise(6)
+    own = F.when(F.pmod(size, F.lit(3)) == 0, F.array(F.lit(256), F.lit(519))).otherwise(F.array(F.lit(256), F.lit(347)))
+    return table(spark, sf, "part").select("p_partkey", checks.is_pseudo(F.col("p_partkey") * 1000).alias("pseudo"), checks.is_old_jpeg(scheme, own).alias("old_jpeg"))
+
+
+@_query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN CAST(p_size * 8 + 4 AS BIGINT) ELSE 0 END AS numerator, CAST(CASE p_size % 3 WHEN 1 THEN 8 ELSE 1 END AS BIGINT) AS denominator FROM part")
+def to_rational(spark, sf):
+    """Whole numbers, halves and negative numbers as rationals."""
+    kind, size = F.pmod(F.col("p_size"), F.lit(3)), F.col("p_size").cast("double")
+    found = tags.to_rational(F.when(kind == 0, size).when(kind == 1, size + 0.5).otherwise(-size))
+    return table(spark, sf, "part").select("p_partkey", found["numerator"].alias("numerator"), found["denominator"].alias("denominator"))
+
+
+@_query("SELECT p_partkey, p_name || chr(92) || '011' || p_brand || chr(92) || '012' AS shown FROM part")
+def printable_text(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", tags.printable(F.concat("p_name", F.lit("\t"), "p_brand", F.lit("\n"))).alias("shown"))
+
+
+@_query("SELECT p_partkey, CAST(p_size AS BIGINT) + 256 * (p_size + 1) AS little, CAST(p_size AS BIGINT) * 256 + p_size + 1 AS big, CAST(NULL AS BIGINT) AS odd FROM part")
+def regrouped_bytes(spark, sf):
+    """Bytes as whole numbers of two bytes; a length that isn't a multiple gives none."""
+    raw = F.unhex(F.concat(F.lpad(F.hex("p_size"), 2, "0"), F.lpad(F.hex(F.col("p_size") + 1), 2, "0")))
+    three = F.concat(raw, F.unhex(F.lit("00")))
+    return table(spark, sf, "part").select("p_partkey", coerce.regroup(raw, 2)[0].alias("little"), coerce.regroup(raw, 2, True)[0].alias("big"), coerce.regroup(three, 2)[0].alias("odd"))
+
+
+@_query("SELECT p_partkey, CAST(p_size AS BIGINT) AS first, CASE WHEN p_size * 10 <= 127 THEN CAST(p_size * 10 AS BIGINT) END AS second FROM part")
+def array_coercion(spark, sf):
+    """Arrays cast element by element; what doesn't fit is null."""
+    found = coerce.array_to(F.array(F.col("p_size").cast("long"), F.col("p_size").cast("long") * 10), "tinyint")
+    return table(spark, sf, "part").select("p_partkey", found[0].cast("long").alias("first"), found[1].cast("long").alias("second"))
+
+
+@_query("SELECT p_partkey, CASE WHEN CAST(p_partkey AS BIGINT) * p_size * 1000000 <= 2147483647 THEN CAST(p_partkey AS BIGINT) * p_size * 1000000 ELSE 0 END AS product FROM part")
+def checked_product(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", geometry.checked_product(F.col("p_partkey") * F.col("p_size"), F.lit(1000000)).alias("product"))
+
+
+@_query("SELECT p_partkey, (p_size * 3 * 8 + 7) // 8 AS old, (((p_size + 1) // 2 * 6 * 8 + 7) // 8) // 2 AS new FROM part")
+def packed_scanlines(spark, sf):
+    found = geometry.packed_scanline_bytes("p_size", 3, 8, 2, 2)
+    return table(spark, sf, "part").select("p_partkey", found["old"].alias("old"), found["new"].alias("new"))
+
+
+@_query(", t AS (SELECT p_partkey, p_partkey % 12 AS tile, 50 AS w, 40 AS h FROM part) SELECT p_partkey, (tile % 4 = 3) AS right, (tile // 4 = 2) AS bottom, least(16, w - tile % 4 * 16) AS w, least(16, h - tile // 4 * 16) AS h FROM t")
+def edge_tiles(spark, sf):
+    found = geometry.tile_edges(F.pmod(F.col("p_partkey"), F.lit(12)), 50, 40, 16, 16)
+    return table(spark, sf, "part").select("p_partkey", *[found[c].alias(c) for c in ("right", "bottom", "w", "h")])
+
+
+@_query("""SELECT p_partkey, n.r, n.g, n.b FROM (SELECT p_partkey, p_size + 8 AS m FROM part) o JOIN (WITH RECURSIVE k AS (SELECT CAST(m AS BIGINT) AS m, CAST(floor(pow(m, 1.0 / 3) + 0.000001) AS BIGINT) AS k FROM range(8, 60) t(m)),
+l AS (SELECT m, k AS r, k AS g, k AS b FROM k UNION SELECT m, CASE WHEN up >= 2 THEN r + 1 ELSE r END, CASE WHEN up >= 1 THEN g + 1 ELSE g END, CASE WHEN up = 3 THEN b + 1 ELSE b END
+FROM (SELECT *, CASE WHEN r * (g + 1) * b > m THEN 0 WHEN (r + 1) * (g + 1) * b > m THEN 1 WHEN (r + 1) * (g + 1) * (b + 1) > m THEN 2 ELSE 3 END AS up FROM l))
+SELECT m, max_by(r, r * g * b) AS r, max_by(g, r * g * b) AS g, max_by(b, r * g * b) AS b FROM l GROUP BY m) n ON n.m = o.m""")
+def component_levels(spark, sf):
+    """Levels of red, green and blue in a grid of p_size + 8 colours."""
+    grids = spark.createDataFrame([(m, *quantize.component_levels(m)) for m in range(8, 60)], "m long, r long, g long, b long")  # sizes are 1 to 50
+    return table(spark, sf, "part").select("p_partkey", (F.col("p_size") + 8).cast("long").alias("m")).join(F.broadcast(grids), "m").select("p_partkey", "r", "g", "b")
+
+
+@_query(", d AS (SELECT row, col, q, (VALUES_[(row % 2) * 2 + col % 2 + 1]) AS t FROM (SELECT row, col, q, [0, 2, 3, 1] AS VALUES_ FROM px)) SELECT row, col, CAST((q * 3 * 4 + t * 255 + 127) // (255 * 4) AS BIGINT) AS level FROM d")
+def ordered_dither(spark, sf):
+    return px(spark, sf).select("row", "col", quantize.ordered_dither(F.col("q"), F.col("row"), F.col("col"), 4, 2).cast("long").alias("level"))
+
+
+@_query("SELECT row, col, CAST((q * 5 * 2 + 255) // 510 AS BIGINT) AS level FROM px")
+def grid_levels(spark, sf):
+    return px(spark, sf).select("row", "col", quantize.grid_color(F.col("q"), 6).cast("long").alias("level"))
+
+
+@_query(", p3 AS (SELECT row, p, r, g, b FROM rgb), d AS (SELECT row, p, i, (r - c1) * (r - c1) + (g - c2) * (g - c2) + (b - c3) * (b - c3) AS d FROM p3, (VALUES (0, 0, 0, 0), (1, 255, 255, 255), (2, 128, 128, 128), (3, 150, 110, 128), (4, 110, 150, 128)) c(i, c1, c2, c3)) SELECT row, p, CAST(arg_min(i, d * 8 + i) AS BIGINT) AS color FROM d GROUP BY row, p")
+def nearest_color(spark, sf):
+    colors = [(0, 0, 0), (255, 255, 255), (128, 128, 128), (150, 110, 128), (110, 150, 128)]
+    return groups(spark, sf, 3, "rgb").select("row", "p", quantize.nearest(F.col("r"), F.col("g"), F.col("b"), colors).cast("long").alias("color"))
+
+
+@_query("SELECT r >> 3 AS r, g >> 3 AS g, b >> 3 AS b, count(*) AS n FROM rgb GROUP BY 1, 2, 3")
+def color_histogram(spark, sf):
+    return quantize.color_histogram(groups(spark, sf, 3, "rgb"))
+
+
+@_query("SELECT q AS symbol, count(*) AS n FROM px GROUP BY 1")
+def symbol_counts(spark, sf):
+    return quantize.symbol_counts(px(spark, sf).select(F.col("q").alias("symbol")), "symbol")
+
+
+@_query("SELECT true AS complete, true AS ordered FROM (SELECT count(*) AS n FROM px)")
+def huffman_code(spark, sf):
+    """A code of lengths whose shares add up to 1 less the one reserved word, and no more frequent symbol has a longer word."""
+    own = px(spark, sf).select(F.col("q").alias("symbol"))
+    both = quantize.huffman_lengths(own, "symbol").join(quantize.symbol_counts(own, "symbol"), "symbol")
+    by_length = both.groupBy("length").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum(F.pow(F.lit(2.0), -F.col("length"))).alias("share"))
+    longer = by_length.select(F.col("length").alias("other"), F.col("most").alias("other_most"))
+    ordered = by_length.join(longer, F.col("other") > F.col("length"), "left").agg(F.coalesce(F.min(F.col("least") >= F.coalesce("other_most", F.lit(0))), F.lit(True)).alias("ordered"))
+    share = by_length.agg((F.sum("share") + F.pow(F.lit(2.0), -F.max("length")) == 1).alias("complete"))
+    return share.join(ordered, F.lit(True))
 
 
 @_query("SELECT row, CAST(min(q) AS BIGINT) AS low, CAST(max(q) AS BIGINT) AS high, CAST(max(q) FILTER (col < 40) AS BIGINT) AS cut FROM px GROUP BY row")
