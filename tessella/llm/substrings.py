@@ -1,17 +1,19 @@
 """Exact removal of repeated substrings with a suffix array by linear grouping.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. Candidates come first: in each string of LENGTH
-bytes the k-gram of the least hash is its anchor, so equal strings have equal anchors at equal places. Anchors whose k-gram occurs
-once are left out. A region is the run of strings that have one anchor. Equal regions of an anchor are counted, so only different ones
-meet: their blocks of BLOCK bytes, counted from the anchor, are the symbols of a sequence whose suffix array shows which runs of blocks occur
-in another region. Strings whose blocks all lie in such a run are confirmed by their hashes.
+A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. Repeats of SHORT bytes, about 50 words, are reported, too. Candidates
+come first: in each string of SHORT bytes the k-gram of the least hash is its anchor, so equal strings have equal anchors at equal places. Anchors whose k-gram
+occurs once are left out. A region is the run of strings that have one anchor, with LENGTH bytes from each of their starts. Equal regions are one with a
+count, so only different ones of an anchor meet. Their blocks of BLOCK bytes, counted from the anchor, are the symbols of a sequence, each
+with its place and content as they are. The common prefixes of its suffix array decide: two strings are equal if their whole blocks
+are a common prefix and the bytes before and behind these blocks are the same. No string is compared by a hash.
 
-All regions of an anchor meet in one task, unless there are more than HOT different ones. Then the hashes of
-their strings are counted by an aggregate, which no single anchor can fill.
+All regions of an anchor meet in one task, unless there are more than HOT different ones. Then the strings are dealt by halves of their places
+before the anchor; the strings of a half have more bytes in common, which are their longer anchor. That goes on until an anchor has few
+regions, or a region is one string, so no task has more than HOT different regions of an anchor.
 
 Defined results: a null or empty text has no bytes and keeps none; a text of fewer than LENGTH bytes is kept whole.
 Repeated rows are occurrences of their own, so repeated rows of LENGTH bytes or more are removed whole. Rows are told
-apart by doc_id and text.
+apart by doc_id and text. Very long texts are whole; they are looked at in overlapping segments. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from pyspark.sql import functions as F
 from .common import U64, arrow_batches, encoded, mix, powers, prefix_sums, written
 from .suffix_array import common_prefixes, suffix_array
 
-LENGTH, GRAM, BLOCK = 400, 100, 16
+LENGTH, SHORT, GRAM, BLOCK = 400, 256, 64, 32
 #: Bytes of text that are looked at together; longer texts are cut with an overlap.
 SEGMENT = 1 << 19
 #: Different regions of one anchor that meet in a task.
-HOT = 10_000
-#: Keys, and rows of joined tables, that are broadcast at most (8 and about 100 bytes each).
-BROADCAST_KEYS, BROADCAST_ROWS = 4_000_000, 500_000
-#: Symbols of one suffix array.
-SYMBOLS = 200_000
+HOT = 500
+#: Keys that are broadcast at most (8 bytes each).
+BROADCAST_KEYS = 4_000_000
+#: Bytes of regions in one suffix array, if they aren't of one anchor.
+ARRAY_BYTES = 3 << 20
+#: Region hashes that a task remembers at most, so that it sends the bytes of equal regions once.
+SEEN = 200_000
 
 
 def string_hashes(sums: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
@@ -56,7 +60,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Anchors of some texts: key, text, first string, number of strings and the anchor's own place, in bytes of the text."""
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, texts: list[bytes], length: int = SHORT, gram: int = GRAM):
         parts = []
         batch: list[tuple[int, int, bytes]] = []
         size = 0
@@ -112,8 +116,13 @@ def repeated_keys(documents: DataFrame) -> DataFrame:
 REGION = "key long, region_hash long, start long, n_strings int, anchor int, region binary"
 
 
+def _digest(piece: bytes, anchor: int, n_strings: int) -> int:
+    """A name of 64 bits for a region; equal regions have equal ones."""
+    return int.from_bytes(hashlib.blake2b(piece + anchor.to_bytes(4, "little") + n_strings.to_bytes(4, "little"), digest_size=8).digest(), "little", signed=True)
+
+
 def regions(documents: DataFrame) -> DataFrame:
-    """doc_id, h and the regions of anchors that occur more than once; `anchor` counts from the region's start."""
+    """doc_id, h and the regions of anchors that occur more than once; `anchor` counts from the region's start. Of equal regions of a task some have no bytes."""
     spark = documents.sparkSession
     arrow_batches(spark)
     keyed = _keyed(documents)
@@ -123,30 +132,37 @@ def regions(documents: DataFrame) -> DataFrame:
     if small:
         shared = spark.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()))
 
-    def rows(batch: pa.RecordBatch, texts: list[bytes], found: Anchors, keep: np.ndarray) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, texts: list[bytes], found: Anchors, keep: np.ndarray, seen: set[int]) -> pa.RecordBatch:
         of, start, count = found.text[keep], found.start[keep], found.count[keep]
-        pieces = [texts[i][s : s + c + LENGTH - 1] for i, s, c in zip(of.tolist(), start.tolist(), count.tolist(), strict=True)]
-        anchor = (found.anchor[keep] - start).astype(np.int32)
-        hashes = [int.from_bytes(hashlib.blake2b(x + a.to_bytes(4, "little", signed=True), digest_size=8).digest(), "little", signed=True) for x, a in zip(pieces, anchor.tolist(), strict=True)]
+        anchor = found.anchor[keep] - start
+        pieces, hashes = [], []
+        for i, s, c, a in zip(of.tolist(), start.tolist(), count.tolist(), anchor.tolist(), strict=True):
+            piece = texts[i][s : s + c + LENGTH - 1]
+            h = _digest(piece, a, c)
+            hashes.append(h)
+            pieces.append(None if h in seen else piece)
+            if len(seen) < SEEN:
+                seen.add(h)
         pick = pa.array(of)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pick), batch.column("h").take(pick), pa.array(found.key[keep]), pa.array(hashes, pa.int64()), pa.array(start), pa.array(count.astype(np.int32)), pa.array(anchor), pa.array(pieces, pa.binary())], names=["doc_id", "h", *(c.split()[0] for c in REGION.split(", "))])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pick), batch.column("h").take(pick), pa.array(found.key[keep]), pa.array(hashes, pa.int64()), pa.array(start), pa.array(count.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "h", *(c.split()[0] for c in REGION.split(", "))])
 
     def broadcasted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, seen = shared.value, set()
         for batch in batches:
             texts = encoded(batch.column("text"))
             found = Anchors(texts)
             if len(known) and len(found.key):
                 at = np.minimum(np.searchsorted(known, found.key), len(known) - 1)
-                yield rows(batch, texts, found, known[at] == found.key)
+                yield rows(batch, texts, found, known[at] == found.key, seen)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             texts, own = encoded(batch.column("text")), batch.column("keys").to_pylist()
             found = Anchors(texts)
             wanted = [set(k) for k in own]
             keep = np.fromiter((k in wanted[i] for k, i in zip(found.key.tolist(), found.text.tolist(), strict=True)), bool, len(found.key))
-            yield rows(batch, texts, found, keep)
+            yield rows(batch, texts, found, keep, seen)
 
     schema = f"doc_id {id_type}, h long, {REGION}"
     if small:
@@ -165,48 +181,88 @@ def regions(documents: DataFrame) -> DataFrame:
     return joined.mapInArrow(listed, schema)
 
 
-def repeated_strings(pieces: list[bytes], counts: list[int], anchors: list[int], n_strings: list[int], keys: list[int], length: int = LENGTH, block: int = BLOCK) -> list[np.ndarray]:
-    """For each region a mask of its strings that occur more than once; regions of one key meet."""
-    many = [np.full(n, c > 1) for n, c in zip(n_strings, counts, strict=True)]
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    begin = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)
-    sums = prefix_sums(data)
-    # blocks in line with the anchor: symbols of the content, the block's number and the key
-    lead = np.array(anchors) % block
-    n_blocks = (np.diff(begin) - lead) // block
-    region = np.repeat(np.arange(len(pieces)), n_blocks)
-    number = np.arange(len(region)) - np.repeat(np.concatenate(([0], np.cumsum(n_blocks)[:-1])), n_blocks)
-    at = begin[:-1][region] + lead[region] + number * block
-    aligned = number - (np.array(anchors) // block)[region]
-    with np.errstate(over="ignore"):
-        content = string_hashes(sums, at, block)
-        symbol = mix(content * U64(31) + mix(np.array(keys, np.int64)[region].view(U64) + aligned.astype(U64)))
-    # an end of its own after each region keeps runs within it
-    place = np.arange(len(region)) + region
-    text = np.zeros(len(region) + len(pieces), np.int64)
-    ends = np.cumsum(n_blocks + 1) - 1
-    names, inverse = np.unique(symbol, return_inverse=True)
-    text[place] = inverse + len(pieces)
-    text[ends] = np.arange(len(pieces))
-    sa = suffix_array(text)
-    shared = common_prefixes(text, sa)
-    run = np.zeros(len(text), np.int64)
-    run[sa] = np.maximum(shared, np.append(shared[1:], 0))
-    # strings whose whole blocks lie in a run that occurs elsewhere
-    n = np.array(n_strings)
-    of = np.repeat(np.arange(len(pieces)), n)
-    p = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-    first = -(-(p - lead[of]) // block)
-    whole = (p + length - lead[of] - first * block) // block
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    may = run[np.minimum(starts[of] + first, len(text) - 1)] >= whole
-    # confirmed by the whole string
-    h = string_hashes(sums, begin[:-1][of[may]] + p[may], length)
-    u, inverse = np.unique(h, return_inverse=True)
-    total = np.bincount(inverse, np.array(counts)[of[may]], len(u))
-    hit = np.zeros(len(of), bool)
-    hit[np.flatnonzero(may)] = total[inverse] > 1
-    return [m | x for m, x in zip(many, np.split(hit, np.cumsum(n)[:-1]), strict=True)]
+class Strings:
+    """The strings of some regions: the suffix array over their blocks, and for a length which strings occur more than once."""
+
+    def __init__(self, pieces: list[bytes], counts: list[int], anchors: list[int], n_strings: list[int], keys: list[int], block: int = BLOCK):
+        self.block = block
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        data = b"".join(pieces)
+        self.begin = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        self.lead = np.array(anchors, np.int64) % block
+        # symbols: a number for each different (key, place from the anchor, content)
+        symbols: list[int] = []
+        self.first = np.empty(len(pieces), np.int64)
+        names: dict = {}
+        key, used = None, len(pieces)
+        for i, (piece, lead, anchor) in enumerate(zip(pieces, self.lead.tolist(), anchors, strict=True)):
+            if keys[i] != key:
+                key, names = keys[i], {}
+            self.first[i] = len(symbols)
+            place = -(anchor // block)
+            for at in range(lead, len(piece) - block + 1, block):
+                name = (place, piece[at : at + block])
+                symbol = names.get(name)
+                if symbol is None:
+                    names[name] = symbol = used
+                    used += 1
+                symbols.append(symbol)
+                place += 1
+            symbols.append(i)  # an end of its own keeps common prefixes within the region
+        text = np.array(symbols, np.int64)
+        sa = suffix_array(text)
+        self.shared = common_prefixes(text, sa)
+        self.rank = np.empty(len(text), np.int64)
+        self.rank[sa] = np.arange(len(text))
+        self.longest = np.maximum(self.shared, np.append(self.shared[1:], 0))[self.rank]
+        padded = np.frombuffer(data + bytes(block + 8), np.uint8)
+        self.words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # eight bytes from each place on
+        self.counts = np.array(counts, float)
+        n = np.array(n_strings, np.int64)
+        self.of = np.repeat(np.arange(len(pieces)), n)
+        self.place = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+
+    def _bytes(self, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Up to a block of n bytes from each place, in columns of eight."""
+        out = []
+        for k in range(0, self.block, 8):
+            some = np.clip(n - k, 0, 8).astype(np.uint64)
+            mask = np.where(some == 8, U64(0xFFFFFFFFFFFFFFFF), (U64(1) << (some * U64(8))) - U64(1))
+            out.append(self.words[at + k] & mask)
+        return out
+
+    def repeated(self, length: int) -> np.ndarray:
+        """For each string whether its first `length` bytes are whole in its region and occur more than once."""
+        out = np.zeros(len(self.of), bool)
+        before = (self.lead[self.of] - self.place) % self.block  # bytes before the first whole block
+        whole = (length - before) // self.block
+        at = self.first[self.of] + (self.place + before - self.lead[self.of]) // self.block
+        at = np.minimum(at, len(self.rank) - 1)
+        inside = self.place + length <= self.size[self.of]
+        out[inside] = self.counts[self.of[inside]] > 1
+        may = np.flatnonzero(inside & (self.longest[at] >= whole))
+        for w in np.unique(whole[may]).tolist():
+            own = may[whole[may] == w]
+            group = np.cumsum(self.shared < w)[self.rank[at[own]]]  # suffixes with a common prefix of w blocks
+            code = group * self.block + before[own]
+            start = self.begin[self.of[own]] + self.place[own]
+            rest = length - before[own] - w * self.block
+            columns = self._bytes(start, before[own]) + self._bytes(start + length - rest, rest)
+            todo = np.arange(len(own))
+            while len(todo):  # the first string of each group, and those equal to it; then the others
+                _, first, inverse = np.unique(code[todo], return_index=True, return_inverse=True)
+                model = todo[first[inverse]]
+                same = np.ones(len(todo), bool)
+                for c in columns:
+                    same &= c[todo] == c[model]
+                total = np.bincount(inverse[same], self.counts[self.of[own[todo[same]]]])
+                out[own[todo[same]]] |= total[inverse[same]] > 1
+                todo = todo[~same]
+        return out
+
+    def masks(self, length: int) -> list[np.ndarray]:
+        """The same, region by region."""
+        return np.split(self.repeated(length), np.flatnonzero(np.diff(self.of)) + 1) if len(self.of) else []
 
 
 def spans_of(mask: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -215,14 +271,11 @@ def spans_of(mask: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
     return edge[0::2], edge[1::2] + length - 1
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, h, and starts and ends of the removed bytes of each document that has any; they may overlap."""
-    found = written(regions(documents))
-    different = written(found.groupBy("key", "region_hash").agg(F.count(F.lit(1)).alias("n"), F.first("n_strings").alias("n_strings"), F.first("anchor").alias("anchor"), F.first("region").alias("region")))
-    per_key = different.groupBy("key").agg(F.count(F.lit(1)).alias("regions"), F.sum("n").alias("total"))
-    hot = written(per_key.where(F.col("regions") > HOT).select("key"))
-    any_hot = not hot.isEmpty()
-    usual = different.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "key", "left_anti") if any_hot else different
+SPANS = "a array<long>, b array<long>, c array<long>, d array<long>"
+
+
+def region_spans(different: DataFrame) -> DataFrame:
+    """key, region_hash and the spans of repeated strings of LENGTH (a to b) and SHORT bytes (c to d) of regions that have any; a key's regions meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -237,21 +290,18 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
                     j += 1
                 (alone if j - i == 1 else several).extend(rows[i:j])
                 i = j
-            masks = [np.full(r[3], r[2] > 1) for r in alone]
+            masks = [[(np.arange(r[3]) + length <= len(r[5])) & (r[2] > 1) for r in alone] for length in (LENGTH, SHORT)]
             if several:
-                masks += repeated_strings([r[5] for r in several], [r[2] for r in several], [r[4] for r in several], [r[3] for r in several], [r[0] for r in several])
-            out = []
-            for r, m in zip(alone + several, masks, strict=True):
-                if m.any():
-                    a, b = spans_of(m)
-                    out.append((r[0], r[1], a, b))
+                strings = Strings([r[5] for r in several], [r[2] for r in several], [r[4] for r in several], [r[3] for r in several], [r[0] for r in several])
+                masks = [m + strings.masks(length) for m, length in zip(masks, (LENGTH, SHORT), strict=True)]
+            out = [(r[0], r[1], *spans_of(m, LENGTH), *spans_of(n, SHORT)) for r, m, n in zip(alone + several, *masks, strict=True) if n.any()]
             if out:
-                k, g, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(g, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))], names=["key", "region_hash", "a", "b"])
+                k, g, *spans = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(g, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in spans)], names=["key", "region_hash", "a", "b", "c", "d"])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "region_hash", "n", "n_strings", "anchor", "region")), strict=True):
-                if size > SYMBOLS * BLOCK and row[0] != held[-1][0]:
+                if size > ARRAY_BYTES and row[0] != held[-1][0]:
                     yield from flush(held)
                     held, size = [], 0
                 held.append(row)
@@ -259,34 +309,91 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    columns = usual.select("key", "region_hash", "n", "n_strings", "anchor", "region")
-    spans = columns.repartition("key").sortWithinPartitions("key", "region_hash").mapInArrow(run, "key long, region_hash long, a array<long>, b array<long>")
-    if any_hot:
-        spans = spans.unionByName(_hot_spans(different.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "key", "left_semi")))
-    members = found.select("doc_id", "h", "key", "region_hash", "start")
-    placed = members.join(spans, ["key", "region_hash"])
-    shifted = placed.select("doc_id", "h", F.transform("a", lambda x: x + F.col("start")).alias("a"), F.transform("b", lambda x: x + F.col("start")).alias("b"))
-    return shifted.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
+    columns = different.select("key", "region_hash", "n", "n_strings", "anchor", "region")
+    return columns.repartition("key").sortWithinPartitions("key", "region_hash").mapInArrow(run, f"key long, region_hash long, {SPANS}")
 
 
-def _hot_spans(different: DataFrame) -> DataFrame:
-    """Spans of the regions of keys with very many different ones: their strings' hashes are counted one by one."""
+def _halves(hot: DataFrame) -> DataFrame:
+    """The regions of hot keys as two each, by halves of the strings' places before the anchor (low to high): their own key, region_hash, shift and low, high; of, of_hash name the region."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["of", "of_hash", "key", "region_hash", "n", "n_strings", "anchor", "region", "low", "high", "shift"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
         for batch in batches:
-            for k, g, n, strings, region in zip(*(batch.column(c).to_pylist() for c in ("key", "region_hash", "n", "n_strings", "region")), strict=True):
-                h = string_hashes(prefix_sums(np.frombuffer(region, np.uint8)), np.arange(strings), LENGTH)
-                m = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * m, pa.int64()), pa.array([g] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m)), pa.array(h.view(np.int64))], names=["key", "region_hash", "n", "place", "string"])
+            out = []
+            for key, region_hash, n, n_strings, anchor, region, low, high in zip(*(batch.column(c).to_pylist() for c in ("key", "region_hash", "n", "n_strings", "anchor", "region", "low", "high")), strict=True):
+                middle = (low + high) // 2
+                for l, h in ((low, middle), (middle + 1, high)):
+                    first, last = max(0, anchor - h), min(n_strings - 1, anchor - l)
+                    if first > last:
+                        continue
+                    common = region[anchor - l : anchor - h + SHORT]  # what all strings of this half hold
+                    sub = int.from_bytes(hashlib.blake2b(common + l.to_bytes(4, "little") + h.to_bytes(4, "little"), digest_size=8).digest(), "little", signed=True)
+                    piece = region[first : last + LENGTH]
+                    out.append((key, region_hash, sub, _digest(piece, anchor - first, last - first + 1), n, last - first + 1, anchor - first, piece, l, h, first))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(names), types, strict=True)], names=names)
+
+    return hot.mapInArrow(run, "of long, of_hash long, key long, region_hash long, n long, n_strings int, anchor int, region binary, low int, high int, shift long")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Different regions with their counts, a row each."""
+    return rows.groupBy("key", "region_hash").agg(*[F.max(c).alias(c) for c in ("n_strings", "anchor", "low", "high")], F.sum("n").alias("n"), F.first("region", ignorenulls=True).alias("region"))
+
+
+def _single_spans(single: DataFrame) -> DataFrame:
+    """Spans of regions of one string each that share its first SHORT bytes with others; equal strings of LENGTH bytes are equal regions."""
+    whole = (F.col("n") > 1) & (F.octet_length("region") >= LENGTH)
+    one, none = lambda x: F.array(F.lit(x).cast("long")), F.array().cast("array<long>")
+    return single.select("key", "region_hash", F.when(whole, one(0)).otherwise(none).alias("a"), F.when(whole, one(LENGTH)).otherwise(none).alias("b"), one(0).alias("c"), one(SHORT).alias("d"))
+
+
+def all_region_spans(different: DataFrame) -> DataFrame:
+    """The spans of all different regions, those of hot keys by halves of their strings, again and again."""
+
+    def hot_keys(regions_: DataFrame) -> DataFrame:
+        return written(regions_.groupBy("key").agg(F.count(F.lit(1)).alias("regions")).where(F.col("regions") > HOT).select("key"))
+
+    hot = hot_keys(different)
+    spans = region_spans(different.join(hot, "key", "left_anti") if not hot.isEmpty() else different)
+    parts, current = None, different
+    while not hot.isEmpty():
+        chosen = current.join(hot, "key", "left_semi")
+        split = written(_halves(chosen.where("low < high")))
+        current = written(_merged(split))
+        names = split.select("of", "of_hash", "key", "region_hash", "shift")
+        single = chosen.where("low = high")
+        done = _single_spans(single)
+        if parts is None:
+            parts = names.select(F.col("of").alias("key0"), F.col("of_hash").alias("hash0"), "key", "region_hash", "shift")
+        else:
+            ended = parts.join(done, ["key", "region_hash"])
+            spans = spans.unionByName(_shifted(ended, "key0", "hash0"))
+            parts = written(parts.join(names.select(F.col("of").alias("key"), F.col("of_hash").alias("region_hash"), F.col("key").alias("key1"), F.col("region_hash").alias("hash1"), F.col("shift").alias("more")), ["key", "region_hash"]).select("key0", "hash0", F.col("key1").alias("key"), F.col("hash1").alias("region_hash"), (F.col("shift") + F.col("more")).alias("shift")))
+        hot = hot_keys(current)
+        usual = region_spans(current.join(hot, "key", "left_anti") if not hot.isEmpty() else current)
+        spans = spans.unionByName(_shifted(parts.join(usual, ["key", "region_hash"]), "key0", "hash0"))
+    return spans
+
+
+def _shifted(rows: DataFrame, key: str, region_hash: str, by: str = "shift") -> DataFrame:
+    """Spans moved by a number of bytes, under other names of key and region."""
+    return rows.select(F.col(key).alias("key"), F.col(region_hash).alias("region_hash"), *[F.transform(c, lambda x: x + F.col(by)).alias(c) for c in "abcd"])
+
 
-    strings = written(different.select("key", "region_hash", "n", "n_strings", "region").mapInArrow(hashes, "key long, region_hash long, n long, place long, string long"))
-    many = strings.groupBy("string").agg(F.sum("n").alias("total")).where("total > 1").select("string")
-    hit = strings.join(many, "string").groupBy("key", "region_hash").agg(F.array_sort(F.collect_list("place")).alias("a"))
-    return hit.withColumn("b", F.transform("a", lambda x: x + LENGTH))
+def repeated_spans(documents: DataFrame) -> DataFrame:
+    """doc_id, h, and starts and ends of the removed bytes (a, b) and of the repeats of SHORT bytes (c, d) of each document that has any; they may overlap."""
+    found = written(regions(documents))
+    named = found.withColumn("n", F.lit(1).cast("long")).withColumn("low", F.lit(0)).withColumn("high", F.lit(SHORT - GRAM))
+    different = written(_merged(named))
+    spans = all_region_spans(different)
+    members = found.select("doc_id", "h", "key", "region_hash", "start")
+    placed = members.join(spans, ["key", "region_hash"]).select("doc_id", "h", *[F.transform(c, lambda x: x + F.col("start")).alias(c) for c in "abcd"])
+    return placed.groupBy("doc_id", "h").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in "abcd"])
 
 
 def removed(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_repeated (bytes of repeats of SHORT bytes or more) of each document."""
     return _with_spans(documents, False)
 
 
@@ -295,48 +402,63 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     return _with_spans(documents, True)
 
 
+def united(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the union of spans."""
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(a, kind="stable")
+    start, end = np.array(a)[order], np.maximum.accumulate(np.array(b)[order])
+    new = np.concatenate(([True], start[1:] > end[:-1]))
+    return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
+
 def _with_spans(documents: DataFrame, texts_too: bool) -> DataFrame:
     spans = repeated_spans(documents)
     own = _keyed(documents)
-    renamed = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "a", "b")
-    joined = own.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", "a", "b")
+    renamed = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), *"abcd")
+    joined = own.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", *"abcd")
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, a, b in zip(encoded(batch.column("text")), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                kept, n, at, gone = [], 0, 0, 0
-                if a:
-                    order = np.argsort(a, kind="stable")
-                    a, b = np.array(a)[order], np.maximum.accumulate(np.array(b)[order])
-                    new = np.concatenate(([True], a[1:] > b[:-1]))
-                    first, last = a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
-                    n, gone = len(first), int((last - first).sum())
-                    for s, e in zip(first.tolist(), last.tolist(), strict=True):
-                        kept.append(text[at:s])
-                        at = e
-                kept.append(text[at:])
-                kept = b"".join(kept)
-                rows.append((len(text), gone, n, hashlib.sha256(kept).hexdigest(), kept))
-            size, gone, n, digest, kept = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary())], names=["doc_id", "kept"]) if texts_too else pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return joined.mapInArrow(run, f"doc_id {id_type}, " + ("kept binary" if texts_too else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
-
-
-def brute_force(documents: list[tuple], length: int = LENGTH) -> list[tuple]:
+            for text, a, b, c, d in zip(encoded(batch.column("text")), *(batch.column(x).to_pylist() for x in "abcd"), strict=True):
+                first, last = united(a, b)
+                kept, at = [], 0
+                for s, e in zip(first.tolist(), last.tolist(), strict=True):
+                    kept.append(text[at:s])
+                    at = e
+                kept = b"".join([*kept, text[at:]])
+                short = united(c, d)
+                rows.append((len(text), int((last - first).sum()), len(first), hashlib.sha256(kept).hexdigest(), int((short[1] - short[0]).sum()), kept))
+            size, gone, n, digest, repeated, kept = zip(*rows, strict=True) if rows else ([],) * 6
+            if texts_too:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(repeated, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
+
+    return joined.mapInArrow(run, f"doc_id {id_type}, " + ("kept binary" if texts_too else "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"))
+
+
+def brute_force(documents: list[tuple], length: int = LENGTH, short: int = SHORT) -> list[tuple]:
     """The result over a list of (doc_id, text) with every string in one dictionary; for tests."""
     from collections import Counter
 
     texts = [(t or "").encode() for _, t in documents]
-    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+
+    def covered(size: int) -> list[bytearray]:
+        count = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+        out = []
+        for t in texts:
+            gone = bytearray(len(t))
+            for i in range(len(t) - size + 1):
+                if count[t[i : i + size]] > 1:
+                    gone[i : i + size] = b"\1" * size
+            out.append(gone)
+        return out
+
     out = []
-    for (doc_id, _), t in zip(documents, texts, strict=True):
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if count[t[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
+    for (doc_id, _), t, gone, short_gone in zip(documents, texts, covered(length), covered(short), strict=True):
         n = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(t)))
-        out.append((doc_id, len(t), sum(gone), n, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+        out.append((doc_id, len(t), sum(gone), n, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest(), sum(short_gone)))
     return out

@@ -209,6 +209,7 @@ def test_repeated_substrings(docs, pairs, none, monkeypatch, many):
     if many:
         monkeypatch.setattr(substrings, "HOT", 2)
         monkeypatch.setattr(substrings, "BROADCAST_KEYS", 3)
+        monkeypatch.setattr(substrings, "SEEN", 5)
     want = substrings.brute_force(pairs)
     assert same(got(substrings.removed(docs)), want)
     kept = substrings.remove_repeats(docs).collect()
@@ -216,11 +217,59 @@ def test_repeated_substrings(docs, pairs, none, monkeypatch, many):
     assert substrings.removed(none).count() == 0
 
 
+def passages():
+    """Texts that share passages of 100 to 900 bytes at different places, some of them with one byte changed."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [text(n) for n in (100, 255, 256, 257, 300, 399, 400, 401, 500, 900)]
+    out = []
+    for i in range(40):
+        own = list(rng.choice(shared))
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = "z"
+        out.append((i, text(rng.randint(0, 300)) + "".join(own) + text(rng.randint(0, 300)) + (rng.choice(shared) if i % 4 == 0 else "")))
+    return out
+
+
+@pytest.mark.parametrize("hot", [500, 3, 1])
+def test_repeats_of_all_lengths(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    table = spark.createDataFrame(passages(), "doc_id long, text string").repartition(2)
+    assert same(got(substrings.removed(table)), substrings.brute_force(passages()))
+
+
+def test_repeats_come_from_the_suffix_array(monkeypatch):
+    texts = [t.encode() for _, t in passages()]
+    found = substrings.Anchors(texts)
+    order = np.argsort(found.key, kind="stable")
+    pieces, anchors, counts, keys = [], [], [], []
+    for k in order.tolist():
+        s = int(found.start[k])
+        pieces.append(texts[int(found.text[k])][s : s + int(found.count[k]) + substrings.LENGTH - 1])
+        anchors.append(int(found.anchor[k]) - s)
+        counts.append(int(found.count[k]))
+        keys.append(int(found.key[k]))
+    build = lambda: substrings.Strings(pieces, [1] * len(pieces), anchors, counts, keys)
+    for length in (substrings.SHORT, substrings.LENGTH):
+        whole = [t[i : i + length] for t in texts for i in range(len(t) - length + 1)]
+        strings = [p[i : i + length] for p, n in zip(pieces, counts, strict=True) for i in range(n)]
+        want = [len(s) == length and whole.count(s) > 1 for s in strings]
+        assert any(want)
+        assert build().repeated(length).tolist() == want
+    # without the array's order or common prefixes the result is another
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "suffix_array", lambda text: np.arange(len(text)))
+        assert not build().repeated(substrings.SHORT).any()
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "common_prefixes", lambda text, sa: np.zeros(len(text), np.int64))
+        assert not build().repeated(substrings.SHORT).any()
+
+
 def test_substrings_over_segments(monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 700)
     text = bytes(random.Random(2).randrange(97, 101) for _ in range(5000))
     found = substrings.Anchors([text])
-    assert sum(found.count) == len(text) - substrings.LENGTH + 1
+    assert sum(found.count) == len(text) - substrings.SHORT + 1
 
 
 def test_token_counts(docs, pairs, none):
