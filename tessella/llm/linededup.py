@@ -1,18 +1,22 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's words (A-Z and other letters in lower case) that hold a digit are a variable field, "<*>". The tree has a fixed
-depth: a line goes down by its number of words and its first LEADING words to a leaf. In a leaf each place has its most frequent word
-over the distinct lines (of equal counts the greatest word); a line that agrees with these in SIMILAR of its places belongs to
-the leaf's template, so other places are variable fields, too. Any other line is a template of its own.
+A line's words (A-Z and other letters in lower case) that hold a digit are a variable field, "<*>". The tree begins with a fixed
+depth: a line goes down by its number of words and its first LEADING words to a leaf. In a leaf each place behind these has its most frequent word
+over the distinct lines (of equal counts the greatest word). The lines that agree with these in SIMILAR of the places behind the leading
+words are one template, so their other places are variable fields, too. All other lines go down further, by their word at the place with the fewest
+different words (but more than one; of equal places the first), and the same is done there, until no line is left: so a leaf has as many templates as its
+lines need, and a line that is like no other is a template of its own.
 
 A template that occurs in two documents or more recurs: its lines stay in the document of the least doc_id and
 are dropped from all others. Lines of fewer than LEAST words stay everywhere.
 
-Work: one aggregate of all lines by leaf finds the leaves of more than one document. Only their lines go further. What
-is joined with them is broadcast below a checked size, and else joined by a shuffle whose large partitions Spark splits.
+Work: the masked lines are written once. One aggregate of them by leaf finds the leaves of more than one document, and only their lines go further. Each level of
+the tree is an aggregate over the distinct lines that are left. What is joined is broadcast below a checked size in bytes, and else joined by a
+shuffle whose large partitions Spark splits.
 
 Defined results: a null text stays null; an empty one stays empty. A text whose lines all go is empty. Rows without
-doc_id count as one document after all others. Repeated rows are one document and keep or lose the same lines.
+doc_id count as one document after all others. Repeated rows are one document and keep or lose the same lines. Very long
+texts are whole. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 LEADING, LEAST, SIMILAR_OF, SIMILAR = 3, 4, 4, 3
-#: Rows of a joined table that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a joined table that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 _LAST = 9223372036854775807
 
 
@@ -52,30 +56,50 @@ def _document() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, width: Column | int = 48) -> DataFrame:
+    """df, marked for broadcast if its rows, of `width` bytes each, are few enough."""
+    width = F.lit(width) if isinstance(width, int) else width
+    size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _templates(variants: DataFrame) -> DataFrame:
+    """leaf, key, d1, d2 and template of the distinct lines (leaf, key, words, d1, d2) of some leaves.
+
+    A level of the tree is one pass; a line leaves the loop with the template of its node. Each node that is split has two words at the place of the split, so
+    its children are smaller, and a node of one line is a template.
+    """
+    rest = F.slice(F.split("words", " "), F.lit(LEADING + 1), F.greatest(F.size(F.split("words", " ")) - LEADING, F.lit(0)))
+    open_ = variants.select("leaf", "key", "d1", "d2", rest.alias("rest"), F.col("leaf").alias("node"))
+    done = None
+    while True:
+        counts = open_.select("node", F.posexplode("rest").alias("place", "word")).groupBy("node", "place", "word").count()
+        places = counts.groupBy("node", "place").agg(F.max(F.struct("count", "word")).alias("top"), F.count(F.lit(1)).alias("words"))
+        split = F.min(F.when(F.col("words") > 1, F.struct("words", "place")))["place"]
+        nodes = places.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("top.word").alias("word")))), lambda x: x["word"]).alias("modal"), split.alias("split"))
+        same = F.size(F.filter(F.zip_with("rest", "modal", lambda a, b: a == b), lambda x: x))
+        judged = open_.join(nodes, "node").withColumn("fits", same * SIMILAR_OF >= F.size("rest") * SIMILAR)
+        judged = checkpointed(judged.select("leaf", "key", "d1", "d2", "fits", F.when(~F.col("fits"), F.col("rest")).alias("rest"), F.when(F.col("fits"), F.col("node")).otherwise(F.xxhash64("node", "split", F.get("rest", F.col("split")))).alias("node")))
+        fits = judged.where("fits").select("leaf", "key", "d1", "d2", F.col("node").alias("template"))
+        done = fits if done is None else done.unionByName(fits)
+        open_ = judged.where("not fits").drop("fits")
+        if open_.isEmpty():
+            return done
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """d, h (document and hash of its text) and drops, the places of its dropped lines."""
-    lines = _lines(documents)
+    lines = written(_lines(documents))
     leaves = lines.groupBy("leaf").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min("d").alias("owner"), F.max("d").alias("last")).where("owner <> last")
     leaves = checkpointed(leaves.select("leaf", "owner", (F.col("k1") == F.col("k2")).alias("single")))
-    found = lines.join(_sized(leaves), "leaf")
-    found = checkpointed(found.select("d", "h", "pos", "leaf", "key", "owner", "single", F.when(~F.col("single"), F.col("words")).alias("words")))
-    plain = found.where("single and d <> owner").select("d", "h", "pos")
-
-    several = found.where("not single")
+    found = lines.join(_sized(leaves.where("single")), "leaf")
+    plain = found.where("d <> owner").select("d", "h", "pos")
+    several = lines.join(_sized(leaves.where("not single").select("leaf")), "leaf")
     variants = checkpointed(several.groupBy("leaf", "key").agg(F.min("d").alias("d1"), F.max("d").alias("d2"), F.min("words").alias("words")))
-    places = variants.select("leaf", F.posexplode(F.split("words", " ")).alias("place", "word"))
-    modal = places.groupBy("leaf", "place", "word").count().groupBy("leaf", "place").agg(F.max(F.struct("count", "word")).alias("top"))
-    template = modal.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("top.word").alias("word")))), lambda x: x["word"]).alias("template"))
-    same = F.size(F.filter(F.zip_with(F.split("words", " "), F.col("template"), lambda a, b: a == b), lambda x: x))
-    assigned = variants.join(template, "leaf").select("leaf", "key", "d1", "d2", F.when(same * SIMILAR_OF >= F.size("template") * SIMILAR, F.lit(0)).otherwise(F.col("key")).alias("t"))
-    recurring = assigned.groupBy("leaf", "t").agg(F.min("d1").alias("owner"), F.max("d2").alias("last")).where("owner <> last").select("leaf", "t", "owner")
-    keys = checkpointed(assigned.join(recurring, ["leaf", "t"]).select("leaf", "key", "owner"))
-    varied = several.drop("owner").join(_sized(keys), ["leaf", "key"]).where("d <> owner").select("d", "h", "pos")
+    assigned = _templates(variants)
+    recurring = assigned.groupBy("leaf", "template").agg(F.min("d1").alias("owner"), F.max("d2").alias("last")).where("owner <> last").select("leaf", "template", "owner")
+    keys = checkpointed(assigned.join(recurring, ["leaf", "template"]).select("leaf", "key", "owner"))
+    varied = lines.select("d", "h", "pos", "leaf", "key").join(_sized(keys), ["leaf", "key"]).where("d <> owner").select("d", "h", "pos")
     return plain.unionByName(varied).groupBy("d", "h").agg(F.collect_set("pos").alias("drops"))
 
 
@@ -99,7 +123,7 @@ def _joined(documents: DataFrame) -> DataFrame:
     drops = checkpointed(dropped_lines(documents.select("doc_id", "text")))
     rest = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in ("text", "n_chars")])
     rows = documents.select(rest.alias("_rest"), F.split("text", "\n").alias("_lines"), _document().alias("_d"), F.xxhash64("text").alias("_h"))
-    return rows.join(_sized(drops), (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")), "left")
+    return rows.join(_sized(drops, F.size("drops") * 4 + 40), (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")), "left")
 
 
 def _kept_text() -> Column:
@@ -111,17 +135,20 @@ ORACLE_BODY = rf"""
 l AS (SELECT coalesce(doc_id, {_LAST}) AS d, text, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS pos, unnest(string_split(text, chr(10))) AS line FROM docs),
 w AS (SELECT d, text, pos, list_transform(list_filter(string_split_regex(lower(line), '[ \t\r\f\x0B]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS words FROM l),
 v AS (SELECT words, len(words) AS n, words[1:{LEADING}] AS lead, min(d) AS d1, max(d) AS d2 FROM w WHERE len(words) >= {LEAST} GROUP BY words),
-p AS (SELECT n, lead, generate_subscripts(words, 1) AS place, unnest(words) AS word FROM v),
-m AS (SELECT n, lead, place, word, count(*) AS c FROM p GROUP BY ALL),
-top AS (SELECT n, lead, place, max({{'c': c, 'w': word}}).w AS word FROM m GROUP BY n, lead, place),
-t AS (SELECT n, lead, list(word ORDER BY place) AS template FROM top GROUP BY n, lead),
-a AS (SELECT v.words, v.n, v.lead, v.d1, v.d2, CASE WHEN len(list_filter(list_zip(v.words, t.template), lambda x: x[1] = x[2])) * {SIMILAR_OF} >= v.n * {SIMILAR} THEN NULL ELSE v.words END AS own FROM v JOIN t ON v.n = t.n AND v.lead = t.lead),
-r AS (SELECT n, lead, own, min(d1) AS owner, max(d2) AS last FROM a GROUP BY n, lead, own),
-k AS (SELECT a.words, r.owner FROM a JOIN r ON a.n = r.n AND a.lead = r.lead AND a.own IS NOT DISTINCT FROM r.own WHERE r.owner <> r.last),
+x AS (SELECT CAST(n AS VARCHAR) || ' ' || array_to_string(lead, ' ') AS node, words, d1, d2, true AS open FROM v
+  UNION ALL
+  SELECT CASE WHEN fits THEN node ELSE node || '|' || place || ' ' || words[place] END, words, d1, d2, NOT fits FROM (
+    SELECT x.node, x.words, x.d1, x.d2, m.s.p AS place, len(list_filter(list_zip(x.words[{LEADING + 1}:], m.modal), lambda z: z[1] = z[2])) * {SIMILAR_OF} >= (len(x.words) - {LEADING}) * {SIMILAR} AS fits
+    FROM x JOIN (SELECT node, list(word ORDER BY place) AS modal, min({{'k': k, 'p': place}}) FILTER (k > 1) AS s FROM (
+      SELECT node, place, max({{'c': c, 'w': word}}).w AS word, count(*) AS k FROM (
+        SELECT node, place, word, count(*) AS c FROM (SELECT node, unnest(range({LEADING + 1}, len(words) + 1)) AS place, unnest(words[{LEADING + 1}:]) AS word FROM x WHERE open) GROUP BY node, place, word) GROUP BY node, place) GROUP BY node) m ON x.node = m.node WHERE x.open)),
+a AS (SELECT node, words, d1, d2 FROM x WHERE NOT open),
+r AS (SELECT node, min(d1) AS owner, max(d2) AS last FROM a GROUP BY node),
+k AS (SELECT a.words, r.owner FROM a JOIN r ON a.node = r.node WHERE r.owner <> r.last),
 kept AS (SELECT w.d, w.text, count(k.owner) FILTER (WHERE w.d <> k.owner) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY w.pos) FILTER (WHERE k.owner IS NULL OR w.d = k.owner), '') AS kept_text
   FROM (SELECT DISTINCT * FROM w) w JOIN (SELECT DISTINCT * FROM l) l ON l.d = w.d AND l.text = w.text AND l.pos = w.pos LEFT JOIN k ON k.words = w.words GROUP BY w.d, w.text)"""
 ORACLE_SQL = f"""
-WITH docs AS (SELECT doc_id, text FROM documents), {ORACLE_BODY}
+WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {ORACLE_BODY}
 SELECT docs.doc_id, CASE WHEN docs.text IS NULL THEN 0 ELSE len(string_split(docs.text, chr(10))) END AS n_lines, coalesce(kept.n_dropped, 0) AS n_dropped, sha256(kept.kept_text) AS kept_sha256
 FROM docs LEFT JOIN kept ON kept.d = coalesce(docs.doc_id, {_LAST}) AND kept.text = docs.text
 """

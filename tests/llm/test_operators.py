@@ -347,9 +347,30 @@ def test_line_dedup(spark, docs, none):
     assert sorted(str(r["text"]) for r in linededup.dedup_lines(odd).collect()) == ["", "", "a b c d e\n"]
 
 
+def test_line_templates(spark):
+    rng = random.Random(13)
+    name = lambda: "".join(rng.choice("bcdfghklm") for _ in range(6))
+    rows, want = [], {}
+    # families of one leaf: ten words that begin with the same three
+    families = ["we are happy to send {} your very own card", "we are happy that {} came to see us here", "we are happy if all {} people like blue cheese"]
+    for i in range(30):
+        lines = [families[i % 3].format(name()), "i would like " + name(), f"own {name()} line {name()} of {name()} some {name()} kind {name()}"]
+        rows.append((i, "\n".join(lines)))
+        want[i] = "\n".join(lines if i < 3 else lines[1:])
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want
+    connection = duckdb.connect()
+    connection.register("documents", spark.createDataFrame(rows, "doc_id long, text string").toPandas())
+    assert same(got(linededup.report(spark.createDataFrame(rows, "doc_id long, text string"))), connection.sql(linededup.ORACLE_SQL).fetchall())
+    # random lines over few words: many levels of the tree
+    rows = [(i, "\n".join(" ".join(rng.choice("abc") for _ in range(rng.choice((4, 5, 8, 9, 12)))) for _ in range(6))) for i in range(40)]
+    connection.register("documents", spark.createDataFrame(rows, "doc_id long, text string").toPandas())
+    assert same(got(linededup.report(spark.createDataFrame(rows, "doc_id long, text string"))), connection.sql(linededup.ORACLE_SQL).fetchall())
+
+
 def test_line_dedup_by_shuffles(docs, monkeypatch):
     want = got(linededup.report(docs))
-    monkeypatch.setattr(linededup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
     assert got(linededup.report(docs)) == want
 
 
