@@ -220,6 +220,30 @@ def total_bytes(df: DataFrame, *columns: str) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
+#: Tasks that add up arrays; each sends one to the driver.
+ADDERS = 32
+
+
+def added(arrays: DataFrame) -> np.ndarray | None:
+    """The sum of arrays of one length, one in each row (sums array<double>), or None without any. They are added in ADDERS tasks, and one array of each reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column("sums"):
+                x = x.values.to_numpy(zero_copy_only=False)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+
+    found = arrays.select("sums").repartition(ADDERS).mapInArrow(run, "sums array<double>").toArrow().column("sums")
+    total = None
+    for x in found.combine_chunks() if len(found) else []:
+        x = x.values.to_numpy(zero_copy_only=False)
+        total = x.copy() if total is None else total + x
+    return total
+
+
 def parts_for(size: int, each: int, least: int = 1) -> int:
     """Partitions that hold about `each` bytes."""
     return max(least, math.ceil(size / each))

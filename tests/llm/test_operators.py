@@ -178,6 +178,60 @@ def test_classifiers_on_held_out_rows(spark, query, label, least):
     assert held_out_accuracy({"labels": labels, "rows": table}, label) >= least
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(4)
+    for prior in (0.2, 0.5, 0.9):
+        p = np.bincount(np.clip(rng.normal(700, 100, 3000), 0, 999).astype(int), minlength=1000)
+        n = 20000
+        u = np.concatenate((rng.normal(700, 100, int(n * prior)), rng.normal(300, 100, n - int(n * prior))))
+        assert abs(quality.best_bin(p, np.bincount(np.clip(u, 0, 999).astype(int), minlength=1000)) - prior) < 0.05
+
+
+def test_risk_is_non_negative_and_unbiased():
+    """The gradient against finite differences of the risk, where it is positive and where it is turned round."""
+    rng = np.random.default_rng(9)
+    p, u = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    for prior in (0.3, 0.99):
+        net = quality.PUNet(p, u)
+        net.w[2][:] = 4 if prior > 0.9 else net.w[2]
+        x_p, x_u = net.ready(p), net.ready(u)
+
+        def risk(w):
+            f = lambda x: np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
+            rest = np.logaddexp(0, f(x_u)).mean() - prior * np.logaddexp(0, f(x_p)).mean()
+            return prior * np.logaddexp(0, -f(x_p)).mean() + rest if rest >= 0 else -rest
+
+        want = []
+        for i in range(len(net.w)):
+            g = np.zeros(net.w[i].size)
+            for k in range(net.w[i].size):
+                for sign in (1, -1):
+                    w = [v.copy() for v in net.w]
+                    w[i].ravel()[k] += sign * 1e-5
+                    g[k] += sign * risk(w) / 2e-5
+            want.append(g.reshape(net.w[i].shape))
+        net.step(x_p, x_u, prior, 0.0)
+        for i, decay in enumerate((1e-4 * net.w[0], 0, 1e-4 * net.w[2], 0)):
+            assert np.allclose(net.m[i] * 10, want[i] + decay, atol=1e-6)
+
+
+def test_quality_reads_words_and_all_rows(spark):
+    """Texts of one shape that differ in their words only, and no label of 0 is read."""
+    rng = random.Random(3)
+    good, bad = (["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(300)] for _ in range(2))
+    rows = [(i, " ".join(rng.choice(bad if i % 4 == 0 else good) for _ in range(40))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 3000, 3) if i % 4], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert abs(model.prior - 0.75) < 0.08
+    scores = model.scores([t.encode() for _, t in rows])
+    assert sum((s >= 0.5) == (i % 4 > 0) for (i, _), s in zip(rows, scores, strict=True)) > 2900
+    zeros = spark.createDataFrame([(i, 0) for i in range(0, 3000, 4)], "doc_id long, quality int")
+    assert quality.train(docs, zeros) is None
+    again = quality.train(docs, labels.union(zeros))
+    assert again.prior == model.prior
+
+
 def test_thresholds_cover_all_labelled_rows(spark):
     rng = random.Random(6)
     rows = [(i, ("vile rotten " if i % 2 else "fine sunny ") + " ".join(rng.choice("abcdefgh") for _ in range(6)), "xx" if i % 50 < 2 else "en", i % 2) for i in range(3000)]
