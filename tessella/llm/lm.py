@@ -13,7 +13,7 @@ token, in which no token is frequent. The network starts from a fit on SAMPLE tr
 partition makes one pass over all its training rows, and the parameters are averaged; so they depend on the partitions a little.
 
 Defined results: a null or empty text is the end alone. Rows without doc_id are for training. Repeated rows count
-as often as they occur and each get a row. Without training rows the base score is 0 a token.
+as often as they occur and each get a row. Very long texts are whole. Other columns aren't read. Without training rows the base score is 0 a token.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_batches, checkpointed, encoded, mix, slices, written
+from .common import U64, Words, added, arrow_batches, encoded, mix, slices, written
 
 FOLDS, HELD_OUT = 7, 2
 SHORT, SUFFIXES, TOP, SAMPLE = 256, 64, 1 << 18, 1500
@@ -269,25 +269,21 @@ def averaged(documents: DataFrame, corpus: Corpus, start: LogBilinear) -> LogBil
                 model.step_through(classes, contexts(classes, of), RATE * LAST, rng)
                 n += len(classes)
         if n:
-            flat = np.concatenate([p.ravel() for p in model.parameters()]).astype(float) * n
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], names=["n", "sums"])
+            flat = np.concatenate([[1.0], *(p.ravel() for p in model.parameters())]) * n
+            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["sums"])
 
-    passed = checkpointed(documents.select("text").mapInArrow(run, "n long, sums array<double>"))
-    total = passed.agg(F.sum("n").alias("n")).first()["n"]
-    if not total:
+    total = added(documents.select("text").mapInArrow(run, "sums array<double>"))
+    if total is None:
         return start
-    found = passed.select(F.posexplode("sums").alias("place", "value")).groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-    flat = np.empty(found.num_rows)
-    flat[found.column("place").to_numpy()] = found.column("value").to_numpy() / total
-    model, at = copy.deepcopy(start), 0
+    model, at = copy.deepcopy(start), 1
     for p in model.parameters():
-        p[:] = flat[at : at + p.size].reshape(p.shape)
+        p[:] = (total[at : at + p.size] / total[0]).reshape(p.shape)
         at += p.size
     return model
 
 
 def score(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_once (tokens that occur once in the training rows) and mean_score (by token) of each document."""
     spark = documents.sparkSession
     arrow_batches(spark)
     table = written(counts(documents))
@@ -307,7 +303,7 @@ def score(documents: DataFrame) -> DataFrame:
                 ids, at = corpus.classes(h, s)
                 some = at >= 0
                 base = np.bincount(of[some], logs[at[some]], n)
-                known = np.bincount(of[some], corpus.count[at[some]] > 0, n)
+                known, once = (np.bincount(of[some], x, n) for x in (corpus.count[at[some]] > 0, corpus.count[at[some]] == 1))
                 model_logs = model.log10(ids, contexts(ids, of)).astype(float)
                 words = ids >= SHORT
                 model_logs[words] -= divisors[ids[words] - SHORT]
@@ -316,18 +312,20 @@ def score(documents: DataFrame) -> DataFrame:
                 rare = pa.array(h[~some].view(np.int64))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[~some], minlength=n)))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, n), pa.array(np.arange(row, row + n)), pa.array(np.bincount(of, minlength=n)), pa.array(known.astype(np.int64)),
+                    batch.column("doc_id").slice(a, n), pa.array(np.arange(row, row + n)), pa.array(np.bincount(of, minlength=n)), pa.array(known.astype(np.int64)), pa.array(once.astype(np.int64)),
                     pa.array(base), pa.array(np.bincount(of, model_logs, n)), pa.ListArray.from_arrays(offsets, rare),
-                ], names=["doc_id", "row", "n_tokens", "known", "base", "model", "rare"])
+                ], names=["doc_id", "row", "n_tokens", "known", "once", "base", "model", "rare"])
                 row += n
 
-    scored = written(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, row long, n_tokens long, known long, base double, model double, rare array<long>"))
+    scored = written(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, row long, n_tokens long, known long, once long, base double, model double, rare array<long>"))
     rare = scored.select("row", F.explode("rare").alias("token")).join(table.select("token", "c"), "token")
-    sums = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.count(F.when(F.col("c") > 0, 1)).alias("more"))
+    sums = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.count(F.when(F.col("c") > 0, 1)).alias("more"), F.count(F.when(F.col("c") == 1, 1)).alias("more_once"))
     logs = F.coalesce("logs", F.lit(0.0))
+    whole = F.col("model") + logs
     return scored.drop("rare").join(sums, "row", "left").select(
         "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(corpus.n).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * float(np.log10(corpus.n + corpus.v + 1))).alias("base_score"), (F.col("model") + logs).alias("score"),
+        (F.col("base") + logs - F.col("n_tokens") * float(np.log10(corpus.n + corpus.v + 1))).alias("base_score"), whole.alias("score"),
+        (F.col("once") + F.coalesce("more_once", F.lit(0))).alias("n_once"), (whole / F.col("n_tokens")).alias("mean_score"),
     )
 
 

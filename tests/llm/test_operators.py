@@ -86,6 +86,9 @@ def test_language_model(docs, pairs, none, monkeypatch):
         assert [r[:5] for r in found] == [r[:5] for r in sorted(want, key=str)]
         assert np.allclose([r[5] for r in found], [r[5] for r in sorted(want, key=str)])
     assert sum(r[6] for r in found) > sum(r[5] for r in found)
+    trained = [w for i, t in pairs if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*(t or "").encode().lower().split(), None]]
+    own = {i: (t or "").encode().lower().split() for i, t in pairs}
+    assert all(r[7] == sum(trained.count(w) == 1 for w in [*own[r[0]], None]) and np.isclose(r[8], r[6] / r[2]) for r in found if r[2] < 500)
     assert lm.score(none).count() == 0
 
 
