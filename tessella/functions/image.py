@@ -204,6 +204,14 @@ def ycbcr_to_rgb(a: np.ndarray, luma: tuple[float, float, float], black_white: l
     return np.clip(rgb, 0, 255)
 
 
+def rgb_to_ycbcr(a: np.ndarray, luma: tuple[float, float, float] = (0.299, 0.587, 0.114)) -> np.ndarray:
+    """Full-range YCbCr of 8-bit RGB, rounded."""
+    rgb = a[..., :3].astype(float)
+    y = rgb @ np.array(luma)
+    cb, cr = (rgb[..., 2] - y) / (2 - 2 * luma[2]) + 128, (rgb[..., 0] - y) / (2 - 2 * luma[0]) + 128
+    return np.clip(np.rint(np.stack([y, cb, cr], -1)), 0, 255).astype(np.uint8)
+
+
 # The display's matrix from XYZ, its white luminances, levels and gamma, and the D50 white point.
 _TO_DISPLAY = np.array([[3.2410, -1.5374, -0.4986], [-0.9692, 1.8760, 0.0416], [0.0556, -0.2040, 1.0570]])
 _WHITE_LUMINANCE, _BLACK_LUMINANCE, _GAMMA = 100.0, 1.0, 2.4

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions import codecs, image
+from ..functions import codecs, image, jpeg
 from ..shipping import ship_package
 from . import parse as P
 from .tiff import arrays, meta_of
@@ -105,7 +105,11 @@ PAPERS = {name: (int(w), int(h)) for name, w, h in map(str.split, PAPER_TEXT.str
 
 @dataclass
 class PdfOptions:
-    """compression is "auto", "none", "zip" or "g4"; resolution replaces the file's; paper names a page size."""
+    """compression is "auto", "none", "zip", "jpeg" or "g4", quality that of JPEG.
+
+    resolution is that of images without one, or with override of all. paper names a page size, page (width, length) gives one in the unit; an image is centred on it.
+    fit asks the viewer to fit its window to the page.
+    """
 
     compression: str = "auto"
     passthrough: bool = True
@@ -113,6 +117,9 @@ class PdfOptions:
     unit: str = "inch"
     paper: str | None = None
     fit: bool = False
+    override: bool = True
+    page: tuple[float, float] | None = None
+    quality: int = 75
     invert: bool = False
     interpolate: bool = False
     title: str | None = None
@@ -222,6 +229,11 @@ def _image(data: bytes, f: P.TiffFile, d: P.Directory, o: PdfOptions) -> tuple[d
             raise ValueError("G4 takes one sample of one bit")
         head |= {b"Filter": b"/CCITTFaxDecode", b"DecodeParms": b"<< /K -1 /Columns %d /Rows %d /BlackIs1 true >>" % (m.width, m.height)}
         return head, codecs.encode(codecs.CCITT_FAX4, bits, codecs.Parameters(m.width, m.height, 1, 1))
+    if method == "jpeg":
+        if m.bits != 8 or m.photometric == image.PALETTE:
+            raise ValueError("JPEG takes samples of 8 bits that aren't numbers of a palette")
+        rgb = a.shape[2] == 3 and m.photometric == image.RGB
+        return head | {b"Filter": b"/DCTDecode"}, jpeg.encode(image.rgb_to_ycbcr(a) if rgb else a, o.quality, chroma=rgb)
     if method == "zip":
         return head | {b"Filter": b"/FlateDecode"}, zlib.compress(bits)
     return head, bits
@@ -229,8 +241,9 @@ def _image(data: bytes, f: P.TiffFile, d: P.Directory, o: PdfOptions) -> tuple[d
 
 def _size(d: P.Directory, o: PdfOptions) -> tuple[float, float]:
     """The image's width and height in points."""
-    unit = 72 / 2.54 if o.unit == "cm" or (not o.resolution and d.get(296, 2) == 3) else 72
-    x, y = o.resolution or (d.get(282) or 72.0, d.get(283) or d.get(282) or 72.0)
+    given = o.resolution if o.override or not (d.get(282) or d.get(283)) else None
+    unit = 72 / 2.54 if (o.unit == "cm" if given else d.get(296, 2) == 3) else 72
+    x, y = given or (d.get(282) or 72.0, d.get(283) or d.get(282) or 72.0)
     return d.get(256) * unit / (x or 72.0), d.get(257) * unit / (y or 72.0)
 
 
@@ -269,16 +282,16 @@ def write_pdf(data: bytes, o: PdfOptions | None = None) -> bytes:
         orientation = int(d.get(274, 1))
         matrix, w, h = _turn(orientation if 1 <= orientation <= 8 else 1, *_size(d, o))
         place = b""
-        if o.paper:
-            if o.paper.upper() not in PAPERS:
+        if o.paper or o.page:
+            if o.paper and o.paper.upper() not in PAPERS:
                 raise ValueError(f"unknown paper size {o.paper}")
-            pw, ph = PAPERS[o.paper.upper()]
-            scale = min(pw / w, ph / h) if o.fit else 1
-            place = b"%.4f 0 0 %.4f %.4f %.4f cm " % (scale, scale, 0 if not o.fit else (pw - w * scale) / 2, 0 if not o.fit else (ph - h * scale) / 2)
+            points = 72 / 2.54 if o.unit == "cm" else 72
+            pw, ph = PAPERS[o.paper.upper()] if o.paper else (o.page[0] * points, o.page[1] * points)
+            place = b"1 0 0 1 %.4f %.4f cm " % ((pw - w) / 2, (ph - h) / 2)
             w, h = pw, ph
         content = add(stream({}, b"q " + place + matrix + b" cm /Im0 Do Q"))
         kids.append(add(dictionary({b"Type": b"/Page", b"Parent": b"%d 0 R" % tree, b"MediaBox": b"[0 0 %.4f %.4f]" % (w, h), b"Contents": b"%d 0 R" % content, b"Resources": b"<< /XObject << /Im0 %d 0 R >> /ProcSet [/PDF /ImageB /ImageC /ImageI] >>" % picture})))
-    objects[catalog - 1] = dictionary({b"Type": b"/Catalog", b"Pages": b"%d 0 R" % tree})
+    objects[catalog - 1] = dictionary({b"Type": b"/Catalog", b"Pages": b"%d 0 R" % tree} | ({b"ViewerPreferences": b"<< /FitWindow true >>"} if o.fit else {}))
     objects[tree - 1] = dictionary({b"Type": b"/Pages", b"Kids": b"[" + b" ".join(b"%d 0 R" % k for k in kids) + b"]", b"Count": b"%d" % len(kids)})
     first = pages[0] if pages else None
     said = lambda tag: first.tags[tag].text if first and tag in first.tags else None

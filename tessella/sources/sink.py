@@ -249,8 +249,8 @@ def pages_of(data: bytes, numbers: list[int] | None = None, user: dict | None =
     return out
 
 
-def rechunked(data: bytes, o: WriteOptions, numbers: list[int] | None = None, user: dict | None = None, ignore: bool = False) -> bytes:
-    """A file whose chunks keep their places. One chunk is decoded at a time, and none whose encoded bytes can be stored as they are."""
+def rechunked(data: bytes, o: WriteOptions, numbers: list[int] | None = None, user: dict | None = None, ignore: bool = False) -> list[tuple]:
+    """Pages for `_write` whose chunks keep their places. One chunk is decoded at a time, and none whose encoded bytes can be stored as they are."""
     from .tiff import meta_of
 
     f = P.parse(data)
@@ -286,7 +286,18 @@ def rechunked(data: bytes, o: WriteOptions, numbers: list[int] | None = None, us
             page.tags.append((347, 7, m.jpeg_tables))
         own = dataclasses.replace(o, predictor=wanted, tile_width=g.tile_width if g.tiled else 0, tile_length=g.tile_length if g.tiled else 0, group3_options=m.group3_options if same else o.group3_options)
         out.append((page, own, dataclasses.replace(m, compression=o.compression), chunks, 0 if g.tiled else g.rows_per_strip))
-    return _write(out, o)
+    return out
+
+
+def _encoded_pages(data: bytes, o: WriteOptions, numbers: list[int] | None, user: dict, ignore: bool, change=None) -> list[tuple]:
+    """Pages for `_write`: chunk by chunk with keep_layout, where the codecs allow it, and else page by page."""
+    if o.keep_layout and not change:
+        try:
+            return rechunked(data, o, numbers, user, ignore)
+        except ValueError:
+            pass
+    pages = [change(p) if change else p for p in pages_of(data, numbers, user, ignore)]
+    return [(p, o, *encode_page(p, o, user)) for p in pages]
 
 
 def convert(contents: DataFrame, options: WriteOptions, pages: list[int] | None = None, change=None, ignore: bool = False) -> DataFrame:
@@ -298,20 +309,12 @@ def convert(contents: DataFrame, options: WriteOptions, pages: list[int] | None
     ship_package(contents.sparkSession)
     user = codecs.registered()
 
-    def made(content: bytes) -> bytes:
-        if options.keep_layout and not change:
-            try:
-                return rechunked(content, options, pages, user, ignore)
-            except ValueError:
-                pass  # page by page
-        return write_bytes([change(p) if change else p for p in pages_of(content, pages, user, ignore)], options, user)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    rows.append((path, made(bytes(content)), None))
+                    rows.append((path, _write(_encoded_pages(bytes(content), options, pages, user, ignore, change), options), None))
                 except (ValueError, IndexError, struct.error) as e:
                     rows.append((path, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "content", "error"])
@@ -337,11 +340,11 @@ def assemble(pages: DataFrame, options: WriteOptions, renumber: bool = False) ->
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("position")
-        found = [p for content in frame["content"] for p in pages_of(bytes(content), None, user)]
+        found = [p for content in frame["content"] for p in _encoded_pages(bytes(content), options, None, user, False)]
         if renumber:
-            for i, p in enumerate(found):
+            for i, (p, *_) in enumerate(found):
                 p.tags = [t for t in p.tags if t[0] != 297] + [(297, 3, [i, len(found)])]
-        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [write_bytes(found, options, user)]})
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [_write(found, options)]})
 
     return pages.select("path", "position", "content").groupBy("path").applyInPandas(build, "path string, content binary")
 

@@ -76,38 +76,49 @@ class Changed:
         return page
 
 
-def copy(spark: SparkSession, inputs: list[str], output: str | None = None, options: sink.WriteOptions | None = None, append: bool = False, bias: str | None = None, separator: str = ",", rotate: int = 0, crop: tuple[int, int, int, int] | None = None) -> DataFrame:
+def copy(
+    spark: SparkSession, inputs: list[str], output: str | None = None, options: sink.WriteOptions | None = None, append: bool = False, bias: str | None = None, separator: str = ",", rotate: int = 0,
+    crop: tuple[int, int, int, int] | None = None, ignore: bool = False, offset: int | None = None, renumber: bool = False,
+) -> DataFrame:
     """Copies pages of files, in the order given, into one file. Gives path and content, and writes to `output` if there is one.
 
-    `append` puts them after the pages that the output has. `bias` is a file whose first page is subtracted from each page.
+    `append` puts them after the pages that the output has. `bias` is a file, and a page of it ("file,2", else the first), that is subtracted from each page.
+    `ignore` goes on after chunks that can't be read, `offset` begins with the directory at this place in each file, and `renumber` numbers the pages anew.
     """
     options = options or sink.WriteOptions()
-    change = Changed(options, rotate=rotate, crop=crop)
+    change = Changed(options, rotate=rotate, crop=crop) if bias or rotate or crop or not options.keep_layout else None
     if bias:
-        frame = load(spark, [bias]).first()
-        array, _ = tiff.arrays(bytes(frame["content"]))
+        path, pages, onward = parse_input(bias, separator)
+        frame = load(spark, [path]).first()
+        array, _ = tiff.arrays(bytes(frame["content"]), pages[0] if pages else onward or 0)
         if array.nbytes > BIAS_BYTES:
-            raise ValueError("the bias image is too large to be sent along")
+            raise ValueError("the bias image is too large to be sent along; subtract it by operators.relayout.subtract_bias")
         change.bias = array.astype(np.int64)
     parts = None
     given = ([output] if append and output else []) + inputs
     for i, text in enumerate(given):
-        path, pages, onward = parse_input(text, separator) if not (append and output and i == 0) else (text, None, None)
+        own = append and output and i == 0
+        path, pages, onward = (text, None, None) if own else parse_input(text, separator)
         one = load(spark, [path])
         numbers = pages
-        if onward is not None:
-            n = tiff.Tiff(one).dirs().where("kind = 'main'").count()
-            numbers = (pages or []) + list(range(onward, n))
-        made = sink.convert(one, options, numbers, change if not (append and i == 0) else None)
+        if onward is not None or offset is not None and not own:
+            found = tiff.Tiff(one).dirs().where("kind = 'main'").select("ifd", "ifd_offset").orderBy("ifd").collect()  # the pages of one file
+            if onward is not None:
+                numbers = (pages or []) + list(range(onward, len(found)))
+            if offset is not None and not own:
+                first = next((k for k, r in enumerate(found) if r["ifd_offset"] == offset), None)
+                if first is None:
+                    raise ValueError(f"no directory begins at {offset}")
+                numbers = [first + k for k in (numbers if numbers is not None else range(len(found) - first)) if first + k < len(found)]
+        made = sink.convert(one, options, numbers, None if own else change, ignore)
         made = made.select(F.lit(output or "copy.tif").alias("path"), F.lit(i).cast("long").alias("position"), F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("content")).alias("content"))
         parts = made if parts is None else parts.unionByName(made)
-    whole = sink.assemble(parts, options)
+    whole = sink.assemble(parts, options, renumber) if len(given) > 1 or renumber else parts.select("path", "content")
     if output:
-        rows = whole.collect()  # the one output file, which is in memory where it is assembled, too
         folder = output.rsplit("/", 1)[0] if "/" in output else "."
-        frame = spark.createDataFrame([(r["path"], bytes(r["content"])) for r in rows], "path string, content binary")
-        sink.save(frame, folder).collect()
-        return frame
+        # a task writes the file; where the output is an input as well, its bytes are in that task already
+        sink.save(whole, folder).collect()
+        return load(spark, [output]).select("path", "content")
     return whole
 
 
@@ -142,10 +153,14 @@ def main(arguments: list[str] | None = None) -> int:
     c.add_argument("-t", dest="tiles", action="store_true")
     c.add_argument("-s", dest="strips", action="store_true")
     c.add_argument("-r", dest="rows", type=int, default=0)
-    c.add_argument("-p", dest="planar", choices=("contig", "separate"), default="contig")
+    c.add_argument("-p", dest="planar", choices=("contig", "separate"))
     c.add_argument("-B", dest="order", action="store_const", const=">", default="<")
     c.add_argument("-L", dest="order", action="store_const", const="<")
     c.add_argument("-8", dest="big", action="store_true")
+    c.add_argument("-i", dest="ignore", action="store_true", help="go on after chunks that can't be read")
+    c.add_argument("-o", dest="offset", type=int, help="begin with the directory at this place")
+    c.add_argument("-x", dest="renumber", action="store_true", help="number the pages anew")
+    c.add_argument("-M", "-C", action="store_true", help="accepted; files aren't mapped, and raw strips aren't cut on output")
     c.add_argument("--separator", default=",")
     c.add_argument("files", nargs="+")
     r = commands.add_parser("rgba")
@@ -159,6 +174,12 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("-x", type=float)
     p.add_argument("-y", type=float)
     p.add_argument("-u", dest="unit", choices=("i", "m"), default="i")
+    p.add_argument("-w", dest="width", type=float)
+    p.add_argument("-l", dest="length", type=float)
+    p.add_argument("-r", dest="resolution", choices=("d", "o"), default="d", help="-x and -y are for images without a resolution (d) or for all (o)")
+    p.add_argument("-o", dest="output", help="the name of the one document")
+    p.add_argument("-j", dest="jpeg", action="store_true")
+    p.add_argument("-q", dest="quality", type=int, default=75)
     p.add_argument("-z", dest="zip", action="store_true")
     p.add_argument("-d", dest="plain", action="store_true")
     p.add_argument("-n", dest="decode", action="store_true")
@@ -176,15 +197,26 @@ def main(arguments: list[str] | None = None) -> int:
     if o.command == "copy":
         options = sink.WriteOptions.parse(o.compression)
         options.fill_order, options.order, options.big, options.rows_per_strip, options.planar = 2 if o.fill == "lsb2msb" else 1, o.order, o.big, o.rows, 2 if o.planar == "separate" else 1
+        # without any of these the source's strips, tiles and planes stay
+        options.keep_layout = not (o.tiles or o.strips or o.rows or o.tile_width or o.tile_length or o.planar)
         if (o.tiles or o.tile_width or o.tile_length) and not o.strips:
             options.tile_width, options.tile_length = o.tile_width or sink.TILE, o.tile_length or sink.TILE
-        copy(spark, o.files[:-1], o.files[-1], options, o.append, o.bias, o.separator)
+        copy(spark, o.files[:-1], o.files[-1], options, o.append, o.bias, o.separator, ignore=o.ignore, offset=o.offset, renumber=o.renumber)
         return 0
     if o.command == "rgba":
         made = to_rgba(spark, o.files[:-1], o.files[-1], o.compression, o.rows, o.no_alpha)
     else:
         x, y = o.x or o.y, o.y or o.x
-        made = to_pdf(spark, o.files[:-1], o.files[-1], pdf.PdfOptions("zip" if o.zip else "none" if o.plain else "auto", not o.decode, (x, y) if x else None, "cm" if o.unit == "m" else "inch", o.paper, o.fit, o.invert, o.interpolate, o.title, o.author, o.subject, o.keywords, o.creator, o.created))
+        page = (o.width or o.length, o.length or o.width) if o.width or o.length else None
+        wanted = pdf.PdfOptions(
+            "jpeg" if o.jpeg else "zip" if o.zip else "none" if o.plain else "auto", not o.decode, (x, y) if x else None, "cm" if o.unit == "m" else "inch", o.paper, o.fit, o.resolution == "o", page, o.quality,
+            o.invert, o.interpolate, o.title, o.author, o.subject, o.keywords, o.creator, o.created,
+        )
+        if o.output:
+            made = to_pdf(spark, o.files, None, wanted)
+            sink.save(made.withColumn("path", F.lit(o.output)), o.output.rsplit("/", 1)[0] if "/" in o.output else ".").collect()
+        else:
+            made = to_pdf(spark, o.files[:-1], o.files[-1], wanted)
     errors = made.where("error is not null").select("path", "error").collect()
     for row in errors:
         print(f"{row['path']}: {row['error']}")

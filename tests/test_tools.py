@@ -71,3 +71,44 @@ def test_rgba_and_pdf(spark, files):
     (folder / "bad.tif").write_bytes(b"no")
     assert tools.main(["pdf", f"{folder}/bad.tif", f"{folder}/pdf"]) == 1
     assert tools.main(["info", f"{folder}/one.tif"]) == 0
+
+
+def test_copy_options(spark, files):
+    folder, pages = files
+    out = folder / "kept.tif"
+    (folder / "tiled.tif").write_bytes(sink.write_bytes(pages, sink.WriteOptions(codecs.LZW, tile_width=16, tile_length=16)))
+    assert tools.main(["copy", "-c", "zip:2", "-x", f"{folder}/tiled.tif,1,", f"{folder}/one.tif", str(out)]) == 0
+    found = parse.parse(out.read_bytes()).directories
+    assert [d.all(297) for d in found] == [[0, 3], [1, 3], [2, 3]]
+    assert [322 in d.tags for d in found] == [True, True, False]
+    offset = parse.parse((folder / "multi.tif").read_bytes()).directories[1].offset
+    assert tools.main(["copy", "-o", str(offset), f"{folder}/multi.tif", str(out)]) == 0
+    assert names(out.read_bytes()) == ["page 1", "page 2"]
+    assert tools.main(["copy", "-c", "lzw", f"{folder}/tiled.tif", str(out)]) == 0
+    assert 322 in parse.parse(out.read_bytes()).directories[0].tags
+    assert (tiff.arrays(out.read_bytes(), 2)[0] == pages[2].array).all()
+    made = tools.copy(spark, [f"{folder}/multi.tif,0"], bias=f"{folder}/multi.tif,2").first()
+    assert (tiff.arrays(bytes(made["content"]))[0] == (pages[0].array - pages[2].array) % 256).all()
+    broken = bytearray(sink.write_bytes(pages[:1], sink.WriteOptions(codecs.ADOBE_DEFLATE, rows_per_strip=6)))
+    broken[8:20] = bytes(12)
+    (folder / "broken.tif").write_bytes(broken)
+    assert tools.main(["copy", "-i", f"{folder}/broken.tif", str(out)]) == 0
+    a = tiff.arrays(out.read_bytes())[0]
+    assert (a[:6] == 0).all() and (a[6:] == pages[0].array[6:]).all()
+    with pytest.raises(Exception, match="no directory"):
+        tools.copy(spark, [f"{folder}/multi.tif"], offset=3)
+
+
+def test_pdf_options(spark, files):
+    folder, pages = files
+    assert tools.main(["pdf", "-j", "-q", "90", "-w", "4", "-l", "3", "-x", "36", "-r", "o", "-f", "-o", f"{folder}/jpeg.pdf", f"{folder}/rgba.tif"]) == 0
+    data = (folder / "jpeg.pdf").read_bytes()
+    assert b"/DCTDecode" in data and b"/MediaBox [0 0 288.0000 216.0000]" in data and b"/FitWindow true" in data
+    stream = data[data.index(b"\xff\xd8") : data.index(b"\xff\xd9") + 2]
+    from tessella.functions import image, jpeg
+
+    a = tiff.arrays((folder / "rgba.tif").read_bytes())[0].astype(int)
+    want = np.minimum(255, (a[..., :3] * a[..., 3:] + 127) // 255 + 255 - a[..., 3:])
+    back = image.ycbcr_to_rgb(jpeg.decode(stream), (0.299, 0.587, 0.114), [])
+    assert np.abs(back - want).mean() < 12
+    assert (np.abs(image.ycbcr_to_rgb(image.rgb_to_ycbcr(want), (0.299, 0.587, 0.114), []) - want) <= 2).all()
