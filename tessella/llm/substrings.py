@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, arrow_batches, encoded, mix, powers, prefix_sums, written
@@ -33,7 +33,7 @@ LENGTH, SHORT, GRAM, BLOCK = 400, 256, 64, 32
 #: Bytes of text that are looked at together; longer texts are cut with an overlap.
 SEGMENT = 1 << 19
 #: Different regions of one anchor that meet in a task.
-HOT = 500
+HOT = 3000
 #: Keys that are broadcast at most (8 bytes each).
 BROADCAST_KEYS = 4_000_000
 #: Bytes of regions in one suffix array, if they aren't of one anchor.
@@ -274,7 +274,7 @@ def spans_of(mask: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
 SPANS = "a array<long>, b array<long>, c array<long>, d array<long>"
 
 
-def region_spans(different: DataFrame) -> DataFrame:
+def region_spans(several: DataFrame) -> DataFrame:
     """key, region_hash and the spans of repeated strings of LENGTH (a to b) and SHORT bytes (c to d) of regions that have any; a key's regions meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,19 +282,9 @@ def region_spans(different: DataFrame) -> DataFrame:
         size = 0
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            alone, several = [], []
-            i = 0
-            while i < len(rows):
-                j = i
-                while j < len(rows) and rows[j][0] == rows[i][0]:
-                    j += 1
-                (alone if j - i == 1 else several).extend(rows[i:j])
-                i = j
-            masks = [[(np.arange(r[3]) + length <= len(r[5])) & (r[2] > 1) for r in alone] for length in (LENGTH, SHORT)]
-            if several:
-                strings = Strings([r[5] for r in several], [r[2] for r in several], [r[4] for r in several], [r[3] for r in several], [r[0] for r in several])
-                masks = [m + strings.masks(length) for m, length in zip(masks, (LENGTH, SHORT), strict=True)]
-            out = [(r[0], r[1], *spans_of(m, LENGTH), *spans_of(n, SHORT)) for r, m, n in zip(alone + several, *masks, strict=True) if n.any()]
+            key, region_hash, n, n_strings, anchor, region = zip(*rows, strict=True)
+            strings = Strings(region, n, anchor, n_strings, key)
+            out = [(k, g, *spans_of(x, LENGTH), *spans_of(y, SHORT)) for k, g, x, y in zip(key, region_hash, strings.masks(LENGTH), strings.masks(SHORT), strict=True) if y.any()]
             if out:
                 k, g, *spans = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(g, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in spans)], names=["key", "region_hash", "a", "b", "c", "d"])
@@ -309,10 +299,23 @@ def region_spans(different: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    columns = different.select("key", "region_hash", "n", "n_strings", "anchor", "region")
+    columns = several.select("key", "region_hash", "n", "n_strings", "anchor", "region")
     return columns.repartition("key").sortWithinPartitions("key", "region_hash").mapInArrow(run, f"key long, region_hash long, {SPANS}")
 
 
+def _equal_spans(alone: DataFrame) -> DataFrame:
+    """The spans of regions that are the only one of their key: if they occur more than once, all their whole strings do."""
+    one, none = lambda x: F.array(x.cast("long")), F.array().cast("array<long>")
+    size = F.col("size")
+
+    def last(length: int) -> Column:  # the end of the last whole string of the region, less than `length` without one
+        return F.least(F.col("n_strings") + length - 1, size)
+
+    span = lambda length, x: F.when(last(length) >= length, one(x)).otherwise(none)
+    repeated = alone.where((F.col("n") > 1) & (size >= SHORT))
+    return repeated.select("key", "region_hash", span(LENGTH, F.lit(0)).alias("a"), span(LENGTH, last(LENGTH)).alias("b"), span(SHORT, F.lit(0)).alias("c"), span(SHORT, last(SHORT)).alias("d"))
+
+
 def _halves(hot: DataFrame) -> DataFrame:
     """The regions of hot keys as two each, by halves of the strings' places before the anchor (low to high): their own key, region_hash, shift and low, high; of, of_hash name the region."""
 
@@ -348,31 +351,36 @@ def _single_spans(single: DataFrame) -> DataFrame:
     return single.select("key", "region_hash", F.when(whole, one(0)).otherwise(none).alias("a"), F.when(whole, one(LENGTH)).otherwise(none).alias("b"), one(0).alias("c"), one(SHORT).alias("d"))
 
 
-def all_region_spans(different: DataFrame) -> DataFrame:
-    """The spans of all different regions, those of hot keys by halves of their strings, again and again."""
+def _by_regions(regions_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Spans of the regions of keys with one and with several different ones, and the keys of more than HOT (None without any)."""
+    counts = written(regions_.groupBy("key").agg(F.count(F.lit(1)).alias("regions")))
+    kind = lambda condition: counts.where(condition).select("key")
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    hot = kind(F.col("regions") > HOT)
+    # only the bytes of regions that meet others are shuffled
+    alone = regions_.select("key", "region_hash", "n", "n_strings", F.octet_length("region").alias("size")).join(kind("regions = 1"), "key")
+    several = regions_.join(sized(kind((F.col("regions") > 1) & (F.col("regions") <= HOT))), "key")
+    return _equal_spans(alone), region_spans(several), None if hot.isEmpty() else hot
 
-    def hot_keys(regions_: DataFrame) -> DataFrame:
-        return written(regions_.groupBy("key").agg(F.count(F.lit(1)).alias("regions")).where(F.col("regions") > HOT).select("key"))
 
-    hot = hot_keys(different)
-    spans = region_spans(different.join(hot, "key", "left_anti") if not hot.isEmpty() else different)
+def all_region_spans(different: DataFrame) -> DataFrame:
+    """The spans of all different regions, those of hot keys by halves of their strings, again and again."""
+    equal, several, hot = _by_regions(different)
+    spans = equal.unionByName(several)
     parts, current = None, different
-    while not hot.isEmpty():
+    while hot is not None:
         chosen = current.join(hot, "key", "left_semi")
         split = written(_halves(chosen.where("low < high")))
-        current = written(_merged(split))
         names = split.select("of", "of_hash", "key", "region_hash", "shift")
-        single = chosen.where("low = high")
-        done = _single_spans(single)
         if parts is None:
             parts = names.select(F.col("of").alias("key0"), F.col("of_hash").alias("hash0"), "key", "region_hash", "shift")
         else:
-            ended = parts.join(done, ["key", "region_hash"])
+            ended = parts.join(_single_spans(chosen.where("low = high")), ["key", "region_hash"])
             spans = spans.unionByName(_shifted(ended, "key0", "hash0"))
             parts = written(parts.join(names.select(F.col("of").alias("key"), F.col("of_hash").alias("region_hash"), F.col("key").alias("key1"), F.col("region_hash").alias("hash1"), F.col("shift").alias("more")), ["key", "region_hash"]).select("key0", "hash0", F.col("key1").alias("key"), F.col("hash1").alias("region_hash"), (F.col("shift") + F.col("more")).alias("shift")))
-        hot = hot_keys(current)
-        usual = region_spans(current.join(hot, "key", "left_anti") if not hot.isEmpty() else current)
-        spans = spans.unionByName(_shifted(parts.join(usual, ["key", "region_hash"]), "key0", "hash0"))
+        current = written(_merged(split))
+        equal, several, hot = _by_regions(current)
+        spans = spans.unionByName(_shifted(parts.join(equal.unionByName(several), ["key", "region_hash"]), "key0", "hash0"))
     return spans
 
 
