@@ -8,7 +8,8 @@ longest first. What doesn't fit is cut off and begins a next sequence as its see
 split at powers of two, which take no padding.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are packed as often as they occur.
-No text is dropped, and no two sequences share an id.
+No text is dropped, and no two sequences share an id. A very long text is cut into windows; its ids are in memory as a whole, alone in its shard
+if there are more of them than a shard takes. Ties go to the lower doc_id. An empty table gives no pieces. Other columns aren't read.
 """
 
 from __future__ import annotations

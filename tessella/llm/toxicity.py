@@ -9,7 +9,8 @@ that the fit didn't use, with those of all languages as a prior.
 
 Defined results: a text without words, null or empty has the score of the bias alone. Without labels of both
 classes every score is the share of toxic labels, or 0 without any. A language without labelled rows has the
-threshold of all together; so has a null language.
+threshold of all together; so has a null language, and so have all rows where there is no column lang. Repeated rows each get a row, and count as often as
+they occur; a score at the threshold is rejected. Very long texts are whole. An empty table gives none. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -169,6 +170,11 @@ class Constant:
         return np.full(len(texts), self.value)
 
 
+def _with_lang(documents: DataFrame) -> DataFrame:
+    """The documents, with a null language if they have no such column."""
+    return documents if "lang" in documents.columns else documents.withColumn("lang", F.lit(None).cast("string"))
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[object, dict]:
     """The model, and decision thresholds by language ("" is for all others)."""
     labelled = training_labels(labels, label)
@@ -196,7 +202,7 @@ def calibration(documents: DataFrame, labelled: DataFrame, fitted: list, model:
         return lambda texts, _rows: {"bin": pa.array(np.searchsorted(CUTS, shared.value.scores(texts), side="right").astype(np.int32), pa.int32())}
 
     used = F.broadcast(spark.createDataFrame([(i,) for i in set(fitted)], labelled.select("doc_id").schema))
-    rest = documents.where(remainder() != 0).select("doc_id", "text", "lang").join(used, "doc_id", "left_anti")
+    rest = _with_lang(documents).where(remainder() != 0).select("doc_id", "text", "lang").join(used, "doc_id", "left_anti")
     bins = map_texts(rest, make, "bin int", ["doc_id", "lang"])
     out: dict[str, np.ndarray] = {}
     for r in bins.join(labelled, "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "bin", "y").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -245,12 +251,13 @@ def score_documents(documents: DataFrame, labels: DataFrame, keep: tuple[str, ..
 
 def toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted, and rejected by language."""
-    found = score_documents(documents, labels, per_class=per_class)
+    found = score_documents(_with_lang(documents), labels, per_class=per_class)
     return found.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rejected")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_document"), "text", "lang")
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_document"), "text", lang.alias("lang"))
     found = score_documents(packed, labels, ("_document", "lang"), per_class, source=documents)
     return found.where(~F.col("rejected")).select("_document.*")

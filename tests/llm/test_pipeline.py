@@ -1,6 +1,11 @@
+import zlib
+
+import duckdb
 import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tessella.llm import decontaminate, linededup, neardup, tokens, toxicity
 from tessella.llm.components import connected_components
 from tessella.llm.suffix_array import common_prefixes, suffix_array
 
@@ -19,6 +24,46 @@ def test_stages_keep_the_columns(spark, sf):
     assert len(kept) > 0.5 * before
 
 
+def test_each_stage_against_brute_force(spark, sf):
+    """Each stage over its predecessor's rows: scores row by row, DuckDB, all pairs, word by word, and the library's tokens."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    benchmark = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+
+    model, cuts = toxicity.train(docs, labels)
+    kept = [r for r in docs.select("doc_id", "text", "lang").collect() if model.scores([(r["text"] or "").encode()])[0] < cuts.get(r["lang"], cuts[""])]
+    clean = stages["toxicity"](spark, docs, sf).cache()
+    assert rows(clean) == sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    assert clean.count() < docs.count()
+
+    connection = duckdb.connect()
+    connection.register("docs", clean.select("doc_id", "text").toPandas())
+    want = connection.sql("WITH RECURSIVE " + linededup.ORACLE_BODY.strip() + " SELECT docs.doc_id, kept_text FROM docs LEFT JOIN kept ON kept.d = docs.doc_id AND kept.text = docs.text").fetchall()
+    lines = stages["line_dedup"](spark, clean, sf).cache()
+    assert rows(lines) == sorted(want, key=str)
+
+    pairs = rows(lines)
+    wordy = [p for p in pairs if (p[1] or "").encode().split()]
+    unique = stages["near_dedup"](spark, lines, sf).cache()
+    assert rows(unique) == sorted([*neardup.brute_force_kept(wordy, 5, 80, 100), *(p for p in pairs if p not in wordy)], key=str)
+
+    pairs = rows(unique)
+    hit = {r[0] for r in decontaminate.brute_force(pairs, benchmark) if r[2]}
+    free = stages["decontamination"](spark, unique, sf).cache()
+    assert rows(free) == [p for p in pairs if p[0] not in hit]
+
+    library = Tokenizer.from_file(tokens.default_path())
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows(free)}
+    found = {}
+    for r in stages["packing"](spark, free, sf).collect():
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
+        found.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    assert {i: sum(n for _, n in x) for i, x in found.items()} == {i: len(x) for i, x in ids.items()}
+
+
 def test_stages_on_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
