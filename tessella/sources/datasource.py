@@ -1,7 +1,8 @@
 """The data source "tiff" for spark.read.format and spark.readStream.format.
 
 Options: table is files, dirs (default), tags, chunks or rows; late_seconds is how late a stream's file may come; columns that a query doesn't ask for are still parsed. Its files are listed and read
-through pyarrow, a partition for each `files_per_task` files.
+through pyarrow, a partition for each `files_per_task` files. Of a file only what a table needs is read, in ranges: the directories, or one chunk after another. So
+a file may be larger than Spark's binary values and than memory.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..shipping import ship_package
 from . import tiff
+from .ranged import RangedFile
 
 TABLES = {"files": tiff.FILES, "dirs": tiff.DIRS, "tags": tiff.TAGS, "chunks": tiff.CHUNKS, "rows": tiff.ROWS}
 #: Seconds that a file may come late: one whose time of change is older than the newest file's by more isn't looked for any more.
@@ -71,10 +73,9 @@ class _Files(InputPartition):
 def _read(schema: StructType, path: str, table: str, names: list[str]) -> Iterator[tuple]:
     system, _ = _system(path)
     for name in names:
-        with system.open_input_stream(name) as stream:
-            data = stream.read()
-        for row in rows_of(name, data, table):
-            yield tuple(_plain(row.get(f.name), f.dataType) for f in schema.fields)
+        with system.open_input_file(name) as file:
+            for row in rows_of(name, RangedFile(file, file.size()), table):
+                yield tuple(_plain(row.get(f.name), f.dataType) for f in schema.fields)
 
 
 def _plain(value, kind):

@@ -63,6 +63,11 @@ class TiffFile:
         return self.version == 43
 
 
+def _at(form: str, data, place: int) -> tuple:
+    """Numbers at a place of bytes, or of a file that gives slices."""
+    return struct.unpack(form, data[place : place + struct.calcsize(form)])
+
+
 def parse_header(data: bytes) -> TiffFile:
     out = TiffFile()
     mark = data[:2]
@@ -73,14 +78,14 @@ def parse_header(data: bytes) -> TiffFile:
     if len(data) < 8:
         out.errors.append(("header", "the header is cut off"))
         return out
-    out.version = struct.unpack_from(out.order + "H", data, 2)[0]
+    out.version = _at(out.order + "H", data, 2)[0]
     if out.version == 43:
-        if len(data) < 16 or struct.unpack_from(out.order + "HH", data, 4) != (8, 0):
+        if len(data) < 16 or _at(out.order + "HH", data, 4) != (8, 0):
             out.errors.append(("header", "a bad BigTIFF header"))
             return out
-        out.first = struct.unpack_from(out.order + "Q", data, 8)[0]
+        out.first = _at(out.order + "Q", data, 8)[0]
     elif out.version == 42:
-        out.first = struct.unpack_from(out.order + "I", data, 4)[0]
+        out.first = _at(out.order + "I", data, 4)[0]
     else:
         out.errors.append(("header", f"unknown version {out.version}"))
     return out
@@ -102,14 +107,15 @@ def _single(x: float) -> float:
     return struct.unpack("f", struct.pack("f", x))[0]
 
 
-def parse_directory(data: bytes, f: TiffFile, offset: int, number: int, kind: str, extra: dict[int, str] | None = None) -> Directory:
+def parse_directory(data: bytes, f: TiffFile, offset: int, number: int, kind: str, extra: dict[int, str] | None = None, names: dict[int, str] | None = None) -> Directory:
+    """A directory; `names` are those of a caller's own schema, which go before all others."""
     out = Directory(number, kind, offset)
     count_form, entry_form, inline = ("Q", "HHQ", 8) if f.big else ("H", "HHI", 4)
     head = struct.calcsize("=" + count_form)
     if offset + head > len(data) or offset < 8:
         out.errors.append(("offset", f"directory offset {offset} is out of the file"))
         return out
-    n = struct.unpack_from(f.order + count_form, data, offset)[0]
+    n = _at(f.order + count_form, data, offset)[0]
     size = 20 if f.big else 12
     at = offset + head
     if at + n * size > len(data):
@@ -117,7 +123,7 @@ def parse_directory(data: bytes, f: TiffFile, offset: int, number: int, kind: st
         n = max(0, (len(data) - at) // size)
     last = -1
     for pos in range(n):
-        tag, type_, count = struct.unpack_from(f.order + entry_form, data, at)
+        tag, type_, count = _at(f.order + entry_form, data, at)
         place = at + 4 + (8 if f.big else 4)
         at += size
         if tag < last:
@@ -128,7 +134,7 @@ def parse_directory(data: bytes, f: TiffFile, offset: int, number: int, kind: st
             continue
         length = count * TYPE_SIZE[type_]
         if length > inline:
-            place = struct.unpack_from(f.order + ("Q" if f.big else "I"), data, place)[0]
+            place = _at(f.order + ("Q" if f.big else "I"), data, place)[0]
         if place + length > len(data):
             out.errors.append(("value", f"the value of tag {tag} is out of the file"))
             continue
@@ -137,14 +143,17 @@ def parse_directory(data: bytes, f: TiffFile, offset: int, number: int, kind: st
             continue
         raw = data[place : place + length]
         nums, text, rationals = _values(f.order, type_, raw)
-        out.tags[tag] = Tag(tag, type_, count, raw, nums, text, rationals, pos, tag_name(tag, kind if kind == "exif" else "image", extra))
+        out.tags[tag] = Tag(tag, type_, count, raw, nums, text, rationals, pos, (names or {}).get(tag) or tag_name(tag, kind if kind == "exif" else "image", extra))
     if at + (8 if f.big else 4) <= len(data):
-        out.next = struct.unpack_from(f.order + ("Q" if f.big else "I"), data, at)[0]
+        out.next = _at(f.order + ("Q" if f.big else "I"), data, at)[0]
     return out
 
 
-def parse(data: bytes, extra: dict[int, str] | None = None, header_only: bool = False) -> TiffFile:
-    """All directories along the chain, then those that they link to; a loop ends the chain with an error."""
+def parse(data: bytes, extra: dict[int, str] | None = None, header_only: bool = False, own: dict[int, tuple[str, dict[int, str]]] | None = None) -> TiffFile:
+    """All directories along the chain, then those that they link to; a loop ends the chain with an error.
+
+    `own` has a caller's directories: by the tag that points to them, their kind and the names of their tags. data may be a file that gives slices.
+    """
     f = parse_header(data)
     if f.errors or header_only:
         return f
@@ -162,12 +171,12 @@ def parse(data: bytes, extra: dict[int, str] | None = None, header_only: bool =
     pending = list(f.directories)
     while pending:
         d = pending.pop(0)
-        for tag, kind in LINKED.items():
+        for tag, kind in (LINKED | {t: k for t, (k, _) in (own or {}).items()}).items():
             for child in d.all(tag):
                 child = int(child)
                 if child and child not in seen:
                     seen.add(child)
-                    linked = parse_directory(data, f, child, number, kind, extra)
+                    linked = parse_directory(data, f, child, number, kind, extra, (own or {}).get(tag, (kind, None))[1])
                     f.directories.append(linked)
                     number += 1
                     if kind != "sub":  # a directory within a sub-directory isn't followed

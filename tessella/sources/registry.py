@@ -270,3 +270,18 @@ def registry(spark: SparkSession) -> DataFrame:
 
 #: Defaults of tags that a directory doesn't have.
 DEFAULTS = {254: 0, 258: 1, 259: 1, 263: 1, 266: 1, 274: 1, 277: 1, 278: 0xFFFFFFFF, 280: 0, 284: 1, 296: 2, 317: 1, 332: 1, 334: 4, 339: 1, 531: 1, 32997: 1, 32998: 1}
+
+# Fixed values of the format: names of numbers that tags with a choice may have.
+VALUE_NAMES = {
+    254: {0: "image", 1: "reduced image", 2: "page", 4: "mask"},
+    259: {1: "none", 2: "CCITT RLE", 3: "CCITT G3", 4: "CCITT G4", 5: "LZW", 6: "old JPEG", 7: "JPEG", 8: "Deflate", 32771: "CCITT RLEW", 32773: "PackBits", 32946: "old Deflate"},
+    262: {0: "white is zero", 1: "black is zero", 2: "RGB", 3: "palette", 4: "mask", 5: "separated", 6: "YCbCr", 8: "CIE L*a*b*"},
+    266: {1: "high bit first", 2: "low bit first"},
+    274: {1: "top left", 2: "top right", 3: "bottom right", 4: "bottom left", 5: "left top", 6: "right top", 7: "right bottom", 8: "left bottom"},
+    284: {1: "contiguous", 2: "separate planes"},
+    296: {1: "none", 2: "inch", 3: "centimetre"},
+    317: {1: "none", 2: "horizontal differences", 3: "floating point"},
+    332: {1: "CMYK", 2: "other inks"},
+    339: {1: "unsigned", 2: "signed", 3: "floating point", 4: "undefined", 5: "complex whole numbers", 6: "complex floating point"},
+    531: {1: "centred", 2: "cosited"},
+}

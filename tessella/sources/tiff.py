@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..functions import codecs, image
 from ..shipping import ship_package
 from . import parse as P
-from .registry import DEFAULTS, STRUCTURAL, extra_names
+from .registry import DEFAULTS, STRUCTURAL, VALUE_NAMES, extra_names
 
 FILES = "path string, length long, byte_order string, version int, is_big boolean, first_ifd long, errors array<struct<code: string, msg: string>>"
 DIRS = (
@@ -52,7 +52,10 @@ def meta_of(d: P.Directory, g: P.Geometry, order: str, data: bytes = b"") -> ima
 
 @dataclass
 class Options:
-    """fail_fast raises on the first error; chop cuts single raw strips; user holds codecs that go before the built-in ones."""
+    """fail_fast raises on the first error; chop cuts single raw strips; user holds codecs that go before the built-in ones.
+
+    directories has a caller's own schemas: by the tag that points to such a directory, its kind and the names of its tags.
+    """
 
     header_only: bool = False
     fail_fast: bool = False
@@ -60,6 +63,7 @@ class Options:
     compat: bool = False
     user: dict = field(default_factory=dict)
     extra: dict[int, str] = field(default_factory=dict)
+    directories: dict[int, tuple[str, dict[int, str]]] = field(default_factory=dict)
 
 
 def _file_row(path: str, data: bytes, f: P.TiffFile) -> dict:
@@ -159,7 +163,7 @@ class Tiff:
             for batch in batches:
                 for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                     content = content or b""
-                    f = P.parse(content, options.extra, options.header_only)
+                    f = P.parse(content, options.extra, options.header_only, options.directories)
                     if options.fail_fast and (f.errors or any(d.errors for d in f.directories)):
                         raise ValueError(f"{path}: {(f.errors + [e for d in f.directories for e in d.errors])[0]}")
                     if pages is not None:
@@ -278,7 +282,9 @@ class Tiff:
         """A readable text of each directory."""
         from ..operators import tags as T
 
-        value = F.coalesce(F.col("str"), F.array_join(F.transform("nums", lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ", "), F.concat(F.lit("("), F.col("count").cast("string"), F.lit(" bytes)")))
+        named = F.create_map(*[F.lit(x) for t, values in VALUE_NAMES.items() for v, name in values.items() for x in (t << 16 | v, name)])
+        number = F.when((F.size("nums") == 1) & F.col("tag").isin(list(VALUE_NAMES)), F.col("tag") * 65536 + F.col("nums")[0].cast("int"))
+        value = F.coalesce(F.col("str"), named[number], F.array_join(F.transform("nums", lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ", "), F.concat(F.lit("("), F.col("count").cast("string"), F.lit(" bytes)")))
         return T.print_directory(self.tags().select("path", "ifd", "tag", "name", value.alias("value")), ["path", "ifd"], F.col("name"))
 
     def values(self, wanted: list[int]) -> DataFrame:
@@ -313,7 +319,7 @@ class Tiff:
 
 
 def read_tiff(spark: SparkSession, path: str | list[str], recursive: bool = False, glob: str = "*.tif*", **options) -> Tiff:
-    """The files at a path that Spark can read; a file is at most 2 GiB, the size of Spark's binary values."""
+    """The files at a path that Spark can read; a file is at most 2 GiB, the size of Spark's binary values. Larger files, and headers alone, are read in ranges by `format("tiff")`."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
     return Tiff(reader.load(path), Options(**options))
 

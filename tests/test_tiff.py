@@ -309,3 +309,54 @@ def test_rationals():
     assert sink.to_rational(-1.0) == (0, 1)
     assert sink.to_rational(-0.5, signed=True) == (-4, 8)
     assert sink.tag_bytes("<", 2, "ab\0\0") == (3, b"ab\0")
+
+
+def test_ranged_reads(tmp_path):
+    from pyarrow import fs
+
+    from tessella.sources import ranged
+
+    pages = [sink.Page(samples(8, 1, 600, 700), tags=[(270, 2, f"page {i}")]) for i in range(3)]
+    data = sink.write_bytes(pages, sink.WriteOptions(rows_per_strip=100))
+    (tmp_path / "a.tif").write_bytes(data)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.tif")) as file:
+        found = ranged.RangedFile(file, file.size())
+        assert [d.tags for d in parse.parse(found).directories] == [d.tags for d in parse.parse(data).directories]
+        assert found.read < len(data) // 2
+        for a, b in ((0, 4), (65530, 65540), (100, 300000), (len(data) - 3, len(data) + 9), (5, 5)):
+            assert found[a:b] == data[a:b]
+    rows = list(datasource.rows_of("a.tif", data, "rows"))
+    assert len(rows) == 1800
+    assert rows[700]["samples"] == [[float(v)] for v in pages[1].array[100, :, 0]]
+
+
+def test_late_files(tmp_path):
+    import os
+
+    reader = datasource._StreamReader(datasource.StructType(), {"path": str(tmp_path), "late_seconds": "1000"})
+    put = lambda name, time: ((tmp_path / name).write_bytes(b"II"), os.utime(tmp_path / name, (time, time)))
+    names = lambda parts: sorted(n.rsplit("/", 1)[1] for p in parts for n in p.names)
+    put("m.tif", 5000)
+    put("old.tif", 10)
+    offsets = [reader.initialOffset(), reader.latestOffset()]
+    assert names(reader.partitions(*offsets)) == ["m.tif", "old.tif"]
+    put("a.tif", 5000)  # a smaller name at the same time
+    put("b.tif", 4500)  # an older time
+    offsets.append(reader.latestOffset())
+    assert names(reader.partitions(*offsets[1:])) == ["a.tif", "b.tif"]
+    put("c.tif", 9000)
+    offsets.append(reader.latestOffset())
+    assert names(reader.partitions(*offsets[2:])) == ["c.tif"]
+    assert names(reader.partitions(offsets[-1], reader.latestOffset())) == []
+    assert names(reader.partitions(*offsets[1:3])) == ["a.tif", "b.tif"]  # a batch again
+
+
+def test_own_directories(spark):
+    linked = {65200: [(1, 3, [7]), (2, 2, "mine")]}
+    data = sink.write_bytes([sink.Page(samples(8, 1), linked=linked)], sink.WriteOptions(order=">"))
+    t = tiff.from_bytes(spark, [("x.tif", data)], directories={65200: ("lens", {1: "Focus", 2: "Maker"})})
+    found = {r["name"]: r for r in t.tags().where("kind = 'lens'").collect()}
+    assert (found["Focus"]["nums"], found["Maker"]["str"]) == ([7.0], "mine")
+    assert tiff.from_bytes(spark, [("x.tif", data)]).tags().where("kind = 'lens'").count() == 0
+    text = t.report().where("ifd = 0").first()["report"]
+    assert "  Compression: none\r\n" in text and "  PhotometricInterpretation: black is zero\r\n" in text
