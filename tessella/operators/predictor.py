@@ -17,6 +17,29 @@ def difference_array(values: Column, bits: int = 8, stride: int = 1) -> Column:
     return pairs
 
 
+#: Samples that are summed up in one array before the next one is begun, times the stride.
+_STEP = 64
+
+
+def running_sum_array(values: Column, bits: int = 8, stride: int = 1) -> Column:
+    """The inverse of `difference_array`: sums from the start modulo 2^bits, without a shuffle.
+
+    A row is taken in pieces, each of which goes on from the last sums of the one before it, so the work grows with the row's length.
+    """
+    size, zeros = _STEP * stride, F.array_repeat(F.lit(0).cast("long"), stride)
+    whole = F.transform(values, lambda x: x.cast("long"))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / size).cast("int") - 1, F.lit(0))), lambda k: F.slice(whole, k * size + 1, F.lit(size)))
+    summed = lambda carry, piece: F.aggregate(piece, carry, lambda a, x: F.concat(a, F.array(F.pmod(x + F.coalesce(F.get(a, F.size(a) - stride), F.lit(0).cast("long")), F.lit(1 << bits)))))
+    carried = lambda s: F.struct(F.slice(s, F.size(s) - stride + 1, F.lit(stride)).alias("carry"), F.slice(s, F.lit(stride + 1), F.greatest(F.size(s) - stride, F.lit(0))).alias("out"))
+    start = F.struct(zeros.alias("carry"), F.array().cast("array<array<bigint>>").alias("out"))
+
+    def merge(done: Column, piece: Column) -> Column:
+        one = F.transform(F.array(summed(done["carry"], piece)), carried)[0]
+        return F.transform(F.array(one), lambda o: F.struct(o["carry"].alias("carry"), F.concat(done["out"], F.array(o["out"])).alias("out")))[0]
+
+    return F.flatten(F.aggregate(pieces, start, merge, lambda done: done["out"]))
+
+
 def difference(samples: DataFrame, keys: list[str], column: str, value: str, bits: int = 8, stride: int = 1, out: str = "d") -> DataFrame:
     """The same over a sample table, by one window over the image row."""
     w = Window.partitionBy(*keys).orderBy(column)

@@ -56,18 +56,20 @@ def to_pixels(planes: DataFrame, keys: list[str], n_planes: int) -> DataFrame:
 
 
 def to_tiles(samples: DataFrame, value: str, width, height, tile_width: int, tile_height: int, keys: list[str] | None = None) -> DataFrame:
-    """Gathers the samples of each tile in order: tile and values. A tile's size bounds its array."""
+    """Gathers the samples of each tile in order: tile, values and places (the values' places in the tile, which an edge tile doesn't fill). A tile's size bounds its arrays."""
     keys = keys or []
     placed = samples.withColumn("tile", tile_of("col", "row", width, height, tile_width, tile_height))
     place = F.pmod(F.col("row"), F.lit(tile_height)) * tile_width + F.pmod(F.col("col"), F.lit(tile_width))
     gathered = placed.groupBy(*keys, "tile").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col(value).alias("value")))).alias("cells"))
-    return gathered.select(*keys, "tile", F.transform("cells", lambda c: c["value"]).alias("values"))
+    return gathered.select(*keys, "tile", F.transform("cells", lambda c: c["value"]).alias("values"), F.transform("cells", lambda c: c["place"]).alias("places"))
 
 
 def from_tiles(tiles: DataFrame, width: Column, tile_width: int, tile_height: int, keys: list[str] | None = None) -> DataFrame:
-    """The samples of whole tiles with their rows and columns."""
+    """The samples of tiles with their rows and columns; without places the tiles are full."""
     across = div(width + tile_width - 1, tile_width)
-    cells = tiles.select(*(keys or []), "tile", across.alias("across"), F.posexplode("values").alias("place", "value"))
+    cells = tiles.select(*(keys or []), "tile", across.alias("across"), *([F.col("places")] if "places" in tiles.columns else []), F.posexplode("values").alias("place", "value"))
+    if "places" in tiles.columns:
+        cells = cells.withColumn("place", F.get("places", F.col("place")))
     row = div("tile", F.col("across")) * tile_height + div("place", tile_width)
     col = F.pmod(F.col("tile"), F.col("across")) * tile_width + F.pmod(F.col("place"), F.lit(tile_width))
     return cells.select(*(keys or []), row.alias("row"), col.alias("col"), "value").where(F.col("col") < width)

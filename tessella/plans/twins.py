@@ -60,9 +60,9 @@ def groups(spark: SparkSession, sf: str, n: int, names: str) -> DataFrame:
     return cut.select("row", F.col("p").cast("long").alias("p"), *[F.col("s")[i].alias(c) for i, c in enumerate(names)])
 
 
-def height(spark: SparkSession, sf: str) -> int:
-    """Rows of the raster, one number from the table's statistics-sized aggregate."""
-    return table(spark, sf, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
+def height(spark: SparkSession, sf: str) -> Column:
+    """Rows of the raster, as a scalar subquery: nothing runs while a query is built."""
+    return table(spark, sf, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("height")).scalar()
 
 
 # Predictors and runs
@@ -80,12 +80,24 @@ def hordiff_stride3(spark, sf):
 
 @_query("SELECT row, col, CAST(sum(q) OVER (PARTITION BY row ORDER BY col ROWS UNBOUNDED PRECEDING) % 256 AS BIGINT) AS s FROM px")
 def horacc(spark, sf):
+    return raster(spark, sf).select("row", F.posexplode(predictor.running_sum_array(F.col("q"))).alias("col", "s")).withColumn("col", F.col("col").cast("long"))
+
+
+@_query("SELECT row, col, CAST(sum(q) OVER (PARTITION BY row, col % 3 ORDER BY col ROWS UNBOUNDED PRECEDING) % 256 AS BIGINT) AS s FROM px")
+def horacc_stride3(spark, sf):
+    return raster(spark, sf).select("row", F.posexplode(predictor.running_sum_array(F.col("q"), stride=3)).alias("col", "s")).withColumn("col", F.col("col").cast("long"))
+
+
+@_query("SELECT row, col, CAST(sum(q) OVER (PARTITION BY row ORDER BY col ROWS UNBOUNDED PRECEDING) % 256 AS BIGINT) AS s FROM px")
+def horacc_table(spark, sf):
+    """The same over a table of samples, by a window."""
     return predictor.running_sum(px(spark, sf), ["row"], "col", "q", out="s").select("row", "col", "s")
 
 
 @_query("SELECT row, col, q FROM px")
 def hordiff_roundtrip(spark, sf):
-    return predictor.running_sum(hordiff(spark, sf), ["row"], "col", "d", out="q").select("row", "col", "q")
+    both = raster(spark, sf).select("row", predictor.running_sum_array(predictor.difference_array(F.col("q"))).alias("q"))
+    return both.select("row", F.posexplode("q").alias("col", "q")).withColumn("col", F.col("col").cast("long"))
 
 
 @_query("SELECT row, col, q - coalesce(lag(q) OVER (PARTITION BY col ORDER BY row), 0) AS d FROM px")
@@ -194,10 +206,10 @@ def strips_to_tiles(spark, sf):
     return relayout.to_tiles(px(spark, sf), "q", WIDTH, 1, 16, 16).select("tile", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("cells"))
 
 
-@_query("SELECT row, col, q AS value FROM px, size WHERE row < h // 16 * 16")
+@_query("SELECT row, col, q AS value FROM px")
 def tiles_to_strips(spark, sf):
-    whole = height(spark, sf) // 16 * 16
-    tiled = relayout.to_tiles(px(spark, sf).where(F.col("row") < whole), "q", WIDTH, 1, 16, 16)
+    """All rows, those of tiles that the image doesn't fill as well."""
+    tiled = relayout.to_tiles(px(spark, sf), "q", WIDTH, 1, 16, 16)
     return relayout.from_tiles(tiled, F.lit(WIDTH), 16, 16)
 
 
@@ -220,17 +232,17 @@ def _moved(df):
 
 @_query("SELECT col AS row, h - 1 - row AS col, q FROM px, size")
 def rotate90(spark, sf):
-    return _moved(relayout.rotate(px(spark, sf), 90, F.lit(WIDTH), F.lit(height(spark, sf))))
+    return _moved(relayout.rotate(px(spark, sf), 90, F.lit(WIDTH), height(spark, sf)))
 
 
 @_query("SELECT h - 1 - row AS row, 63 - col AS col, q FROM px, size")
 def rotate180(spark, sf):
-    return _moved(relayout.rotate(px(spark, sf), 180, F.lit(WIDTH), F.lit(height(spark, sf))))
+    return _moved(relayout.rotate(px(spark, sf), 180, F.lit(WIDTH), height(spark, sf)))
 
 
 @_query("SELECT 63 - col AS row, row AS col, q FROM px, size")
 def rotate270(spark, sf):
-    return _moved(relayout.rotate(px(spark, sf), 270, F.lit(WIDTH), F.lit(height(spark, sf))))
+    return _moved(relayout.rotate(px(spark, sf), 270, F.lit(WIDTH), height(spark, sf)))
 
 
 @_query("SELECT row, 63 - col AS col, q FROM px")
@@ -240,7 +252,7 @@ def flip_h(spark, sf):
 
 @_query("SELECT h - 1 - row AS row, col, q FROM px, size")
 def flip_v(spark, sf):
-    return _moved(relayout.flip(px(spark, sf), False, F.lit(height(spark, sf))))
+    return _moved(relayout.flip(px(spark, sf), False, height(spark, sf)))
 
 
 @_query(", o AS (SELECT row % 8 + 1 AS o, row, col, q FROM px) SELECT row, CASE WHEN o IN (2, 3, 6, 7) THEN 63 - col ELSE col END AS col, q FROM o")
