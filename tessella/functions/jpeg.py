@@ -112,6 +112,8 @@ class Decoder:
         self.restart = self.width = self.height = self.eob_run = 0
         self.adobe: int | None = None
         self.progressive = False
+        #: Application and comment segments: (marker, body).
+        self.saved: list[tuple[int, bytes]] = []
 
     def read(self, data: bytes) -> None:
         """Tables, frame and scans of a stream."""
@@ -139,8 +141,10 @@ class Decoder:
                 raise CodecError(f"JPEG process {mark:#x} isn't supported")
             elif mark == 0xDD:
                 self.restart = struct.unpack(">H", body[:2])[0]
-            elif mark == 0xEE and body[:5] == b"Adobe":
-                self.adobe = body[11]
+            elif 0xE0 <= mark <= 0xEF or mark == 0xFE:
+                self.saved.append((mark, body))
+                if mark == 0xEE and body[:5] == b"Adobe":
+                    self.adobe = body[11]
             elif mark == 0xDA:
                 at = self._scan(body, data, at)
 
@@ -335,6 +339,28 @@ def decode(data: bytes, tables: bytes = b"") -> np.ndarray:
     return d.samples()
 
 
+def transcode(data: bytes, tables: bytes = b"") -> bytes:
+    """The same coefficients as a baseline stream with optimal codes, without loss: from a progressive stream, one with tables apart or poor codes. Saved segments go along."""
+    d = Decoder()
+    if tables:
+        d.read(tables)
+    d.read(data)
+    if not d.components:
+        raise CodecError("a JPEG stream without a frame")
+    grids = [(np.array(c.blocks).reshape(c.down, c.across, 64), c.h, c.v) for c in d.components]
+    if len(grids) == 1:  # a scan of one component has its own blocks only, one in a unit
+        down, across = -(-d.height // 8), -(-d.width // 8)
+        grids = [(grids[0][0][:down, :across], 1, 1)]
+    return _stream(grids, {c.table: d.q[c.table] for c in d.components}, [c.table for c in d.components], d.height, d.width, d.saved)
+
+
+def markers(data: bytes) -> list[tuple[int, bytes]]:
+    """The application and comment segments of a stream: (marker, body)."""
+    d = Decoder()
+    d.read(data)
+    return d.saved
+
+
 def code_lengths(counts: dict[int, int], longest: int = 16) -> dict[int, int]:
     """Lengths of a Huffman code for counted symbols, none of over `longest` bits and none of ones only."""
     heap = [(n, s, (s,)) for s, n in sorted(counts.items()) if n] + [(0, 256, (256,))]  # 256 keeps the last code free
@@ -420,11 +446,19 @@ def encode(a: np.ndarray, quality: int = 75, subsampling: tuple[int, int] = (1,
         blocks = plane.reshape(my * cv, 8, mx * ch, 8).transpose(0, 2, 1, 3) - 128
         q = tables[1 if i and chroma else 0].reshape(8, 8)
         grids.append((np.rint(forward(blocks) / q).astype(int).reshape(my * cv, mx * ch, 64)[..., ZIGZAG], ch, cv))
-    stream, counts, last = [], [[Counter(), Counter()] for _ in tables], [0] * n
+    return _stream(grids, {i: q for i, q in enumerate(tables)}, [1 if i and chroma else 0 for i in range(n)], h, w)
+
+
+def _stream(grids: list[tuple[np.ndarray, int, int]], tables: dict[int, np.ndarray], table_of: list[int], h: int, w: int, saved: list[tuple[int, bytes]] | None = None) -> bytes:
+    """A baseline stream, with optimal codes, of the components' quantised blocks (down, across, 64 in zigzag order) and their blocks across and down in a unit."""
+    n = len(grids)
+    coded = [min(k, 1) for k in range(n)] if len(tables) > 1 else [0] * n  # one pair of codes for the first component, one for the others
+    my, mx = grids[0][0].shape[0] // grids[0][2], grids[0][0].shape[1] // grids[0][1]
+    stream, counts, last = [], [[Counter(), Counter()] for _ in range(max(coded) + 1)], [0] * n
     for y in range(my):
         for x in range(mx):
             for i, (grid, ch, cv) in enumerate(grids):
-                k = 1 if i and chroma else 0
+                k = coded[i]
                 for v in range(cv):
                     for u in range(ch):
                         block = grid[y * cv + v, x * ch + u].tolist()
@@ -438,13 +472,16 @@ def encode(a: np.ndarray, quality: int = 75, subsampling: tuple[int, int] = (1,
     def segment(mark: int, body: bytes) -> None:
         out.extend(struct.pack(">BBH", 255, mark, len(body) + 2) + body)
 
-    for i, q in enumerate(tables):
-        segment(0xDB, bytes((i,)) + bytes(q[ZIGZAG].tolist()))
-    segment(0xC0, struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes((i + 1, (hs << 4 | vs) if i == 0 else 0x11, 1 if i and chroma else 0)) for i in range(n)))
+    for mark, own in saved or []:
+        segment(mark, own)
+    for i, q in tables.items():
+        wide = q.max() > 255
+        segment(0xDB, bytes((wide << 4 | i,)) + (q[ZIGZAG].astype(">u2").tobytes() if wide else bytes(q[ZIGZAG].astype(int).tolist())))
+    segment(0xC0, struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes((i + 1, ch << 4 | cv, table_of[i])) for i, (_, ch, cv) in enumerate(grids)))
     for i, pair in enumerate(made):
         for kind, (body, _) in enumerate(pair):
             segment(0xC4, bytes((kind << 4 | i,)) + body)
-    segment(0xDA, bytes((n,)) + b"".join(bytes((i + 1, 0x11 if i and chroma else 0)) for i in range(n)) + b"\0\x3f\0")
+    segment(0xDA, bytes((n,)) + b"".join(bytes((i + 1, 0x11 * coded[i])) for i in range(n)) + b"\0\x3f\0")
     bits, held, body = 0, 0, bytearray()
     for k, kind, s, b, size in stream:
         code, length = made[k][kind][1][s]

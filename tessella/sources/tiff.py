@@ -54,7 +54,8 @@ def meta_of(d: P.Directory, g: P.Geometry, order: str, data: bytes = b"") -> ima
 class Options:
     """fail_fast raises on the first error; chop cuts single raw strips; user holds codecs that go before the built-in ones.
 
-    directories has a caller's own schemas: by the tag that points to such a directory, its kind and the names of its tags.
+    directories has a caller's own schemas: by the tag that points to such a directory, its kind and the names of its tags. hook(tag, context) is called with each
+    parsed tag (parse.Tag) and gives it, another one, or None to leave it out, before anything is made of it; context is whatever the caller likes.
     """
 
     header_only: bool = False
@@ -64,6 +65,8 @@ class Options:
     user: dict = field(default_factory=dict)
     extra: dict[int, str] = field(default_factory=dict)
     directories: dict[int, tuple[str, dict[int, str]]] = field(default_factory=dict)
+    hook: object = None
+    context: object = None
 
 
 def _file_row(path: str, data: bytes, f: P.TiffFile) -> dict:
@@ -166,6 +169,9 @@ class Tiff:
                     f = P.parse(content, options.extra, options.header_only, options.directories)
                     if options.fail_fast and (f.errors or any(d.errors for d in f.directories)):
                         raise ValueError(f"{path}: {(f.errors + [e for d in f.directories for e in d.errors])[0]}")
+                    if options.hook:
+                        for d in f.directories:
+                            d.tags = {t: new for t, tag in d.tags.items() if (new := options.hook(tag, options.context)) is not None}
                     if pages is not None:
                         f.directories = [d for d in f.directories if d.ifd in pages]
                     rows = []

@@ -197,3 +197,16 @@ def test_old_jpeg_with_tables_apart_and_whole_streams():
         if not whole:
             struct.pack_into("<I", raw, entry(279), len(scan))
         assert (tiff.arrays(bytes(raw))[0] == want).all()
+
+
+@pytest.mark.parametrize(("n", "sub"), [(1, (1, 1)), (3, (1, 1)), (3, (2, 2)), (3, (2, 1)), (4, (1, 1))])
+def test_transcode(n, sub):
+    rng = np.random.default_rng(n)
+    a = np.cumsum(rng.integers(-9, 10, (37, 45, n)), axis=1).clip(-128, 127) + 128
+    data = jpeg.encode(a, 60, sub)
+    data = data[:2] + b"\xff\xfe\0\x07hello" + b"\xff\xe1\0\x04ab" + data[2:]
+    assert jpeg.markers(data) == [(0xFE, b"hello"), (0xE1, b"ab")]
+    again = jpeg.transcode(data)
+    assert (jpeg.decode(again) == jpeg.decode(data)).all()
+    assert jpeg.markers(again) == jpeg.markers(data)
+    assert len(again) <= len(data)

@@ -360,3 +360,15 @@ def test_own_directories(spark):
     assert tiff.from_bytes(spark, [("x.tif", data)]).tags().where("kind = 'lens'").count() == 0
     text = t.report().where("ifd = 0").first()["report"]
     assert "  Compression: none\r\n" in text and "  PhotometricInterpretation: black is zero\r\n" in text
+
+
+def test_tag_hooks(spark):
+    import dataclasses
+
+    def hook(tag, context):
+        return None if tag.tag == 305 else dataclasses.replace(tag, text=context + tag.text) if tag.tag == 270 else tag
+
+    data = sink.write_bytes([sink.Page(samples(8, 1), tags=[(270, 2, "x"), (305, 2, "y")])])
+    found = {r["tag"]: r["str"] for r in tiff.from_bytes(spark, [("x.tif", data)], hook=hook, context="my ").tags().collect()}
+    assert found[270] == "my x"
+    assert 305 not in found
