@@ -356,7 +356,7 @@ def _by_regions(regions_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame |
     counts = written(regions_.groupBy("key").agg(F.count(F.lit(1)).alias("regions")))
     kind = lambda condition: counts.where(condition).select("key")
     sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
-    hot = kind(F.col("regions") > HOT)
+    hot = sized(kind(F.col("regions") > HOT))
     # only the bytes of regions that meet others are shuffled
     alone = regions_.select("key", "region_hash", "n", "n_strings", F.octet_length("region").alias("size")).join(kind("regions = 1"), "key")
     several = regions_.join(sized(kind((F.col("regions") > 1) & (F.col("regions") <= HOT))), "key")
