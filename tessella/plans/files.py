@@ -625,13 +625,13 @@ def tiff_pdf_info(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a session of one process without it takes a temporary one."""
+    """The address of a new folder below the one that all executors share; a session of one process without it takes a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="files-")
-    return f"{shared.removeprefix('file://')}/{uuid.uuid4()}"
+    return f"{shared if '://' in shared else f'file://{shared}'}/{uuid.uuid4()}"
 
 
 def _saved(spark: SparkSession, files: DataFrame) -> str:
@@ -644,7 +644,7 @@ def _saved(spark: SparkSession, files: DataFrame) -> str:
 def tiff_read(spark, sf):
     """Files that are written to a folder and opened by its name."""
     folder = _saved(spark, pixel_files(spark, sf, W(LZW)))
-    return pixels(tiff.read_tiff(spark, f"file://{folder}"))
+    return pixels(tiff.read_tiff(spark, folder))
 
 
 @_query(_FILES + " SELECT 'f' || f || '.tif' AS path, h AS height, (h + 9) // 10 AS n_chunks, h * 64 AS bytes FROM fs")
@@ -673,8 +673,8 @@ def tiff_stream(spark, sf):
     folder, state = _folder(spark), _folder(spark)
     for lot in (files.where("path like '%0.tif'"), files.where("path not like '%0.tif'")):
         sink.save(lot, folder).count()
-        ingest.write_available(ingest.read_stream(spark, f"file://{folder}").dirs(), f"file://{state}/out", f"file://{state}/checkpoint").awaitTermination()
-    found = spark.read.parquet(f"file://{state}/out")
+        ingest.write_available(ingest.read_stream(spark, folder).dirs(), f"{state}/out", f"{state}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{state}/out")
     return found.select(F.substring_index("path", "/", -1).alias("path"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
 
 

@@ -167,6 +167,7 @@ def main(arguments: list[str] | None = None) -> int:
     r.add_argument("-c", dest="compression", default="packbits")
     r.add_argument("-r", dest="rows", type=int, default=0)
     r.add_argument("-n", dest="no_alpha", action="store_true")
+    r.add_argument("-b", action="store_true", help="accepted; chunks are decoded one by one in any case")
     r.add_argument("files", nargs="+")
     p = commands.add_parser("pdf")
     for flag, name in (("-p", "paper"), ("-e", "created"), ("-c", "creator"), ("-a", "author"), ("-t", "title"), ("-s", "subject"), ("-k", "keywords")):
