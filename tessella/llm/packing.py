@@ -1,7 +1,7 @@
 """Lexical retrieval packing: documents share a sequence with their nearest neighbours under BM25.
 
-Documents are dealt to shards of at most SHARD_TOKENS tokens (or one longer document) by their content, wherever they are stored: by a
-weighted MinHash that prefers rare terms. Frequencies of terms and the mean length are those of all documents. Each document is cut into whole windows, which are sequences of their own, and a rest. The documents of a shard that have a rest are put into
+Documents are dealt to shards of at most SHARD_TOKENS tokens (or one longer document) and SHARD_ROWS documents by their content, wherever they are
+stored: by a weighted MinHash that prefers rare terms. A shard is a task; its work grows as its sequences times its documents, so both are bounded. Frequencies of terms and the mean length are those of all documents. Each document is cut into whole windows, which are sequences of their own, and a rest. The documents of a shard that have a rest are put into
 an inverted index, with all their terms. The longest unused rest is the seed of a sequence; the index returns its unused neighbours in
 order of their BM25 score, and they fill the window greedily. All terms count; copies are one text of the index. Documents without a word in common with the seed follow,
 longest first. What doesn't fit is cut off and begins a next sequence as its seed. So all sequences but the last of a shard are full; the last is
@@ -29,6 +29,8 @@ from .tokens import default_path, vocabulary_for
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 6_000_000
+#: Documents of a shard: a shorter one counts as this part of its tokens.
+SHARD_ROWS = 60_000
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's texts have a row of weights over all of them in place of postings.
@@ -196,24 +198,36 @@ def ranks(corpus: Statistics, seed: int) -> np.ndarray:
     return -np.log1p(-u) / np.maximum(corpus.idf.astype(float), 1e-6) ** 2
 
 
+def stored(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each, or, if one needs more, in four bytes each and a last byte that makes the length odd."""
+    return ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else ids.astype("<u4").tobytes() + b"\0"
+
+
+def restored(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4", len(raw) // 4) if len(raw) % 2 else np.frombuffer(raw, "<u2")
+
+
 def tokenised(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (four bytes each), n and content (a hash of the ids) of each document; df, the documents with each term, in a row of its own for each task."""
+    """doc_id, ids (as `stored`), n and content (a hash of the ids) of each document; df, the documents with each term, in a row of its own for each task."""
     key = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_for(path)
         df, type_of = np.zeros(1, np.int64), None
+        last, place = np.zeros(1, np.int32), np.zeros(0, np.int32)
         names = ["doc_id", "ids", "n", "content", "df"]
         for batch in batches:
             type_of = batch.column("doc_id").type
             raw, n, content = [], [], []
             for text in encoded(batch.column("text")):
                 x = np.append(vocabulary.ids(text.decode()), np.uint32(END))
-                t = np.unique(x)
-                if t[-1] >= len(df):
-                    df = np.append(df, np.zeros(int(t[-1]) + 1 - len(df), np.int64))
-                df[t] += 1
-                raw.append(x.astype("<u4").tobytes())
+                if (top := int(x.max())) >= len(df):
+                    df, last = np.append(df, np.zeros(top + 1 - len(df), np.int64)), np.zeros(top + 1, np.int32)
+                if len(x) > len(place):
+                    place = np.arange(2 * len(x), dtype=np.int32)
+                last[x] = place[: len(x)]
+                df[x[last[x] == place[: len(x)]]] += 1  # each term at its last place in the text
+                raw.append(stored(x))
                 n.append(len(x))
                 content.append(int.from_bytes(hashlib.blake2b(raw[-1], digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), pa.array(content, pa.int64()), pa.nulls(len(n), pa.list_(pa.int64()))], names=names)
@@ -233,12 +247,18 @@ def statistics(table: DataFrame) -> Statistics:
     return Statistics(total["n"], total["tokens"], df)
 
 
+def counted(shard_tokens: int) -> int:
+    """The tokens that a document counts at least where shards are filled."""
+    return shard_tokens // SHARD_ROWS
+
+
 def dealt(table: DataFrame, corpus: Statistics, shard_tokens: int) -> tuple[DataFrame, int]:
     """The documents with their shard, and the number of shards.
 
     Documents go by their first term in an order of `ranks`, and neighbours in this order fill a shard. A term with more tokens than a shard
-    takes several, by the content of the documents; a content of more tokens than a shard is dealt by doc_id, too.
+    takes several, by the content of the documents; a content of more tokens than a shard is dealt by doc_id, too. A document counts `counted` tokens.
     """
+    size = F.sum(F.greatest("n", F.lit(counted(shard_tokens)))).alias("n")
     rank = table.sparkSession.sparkContext.broadcast(ranks(corpus, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +266,9 @@ def dealt(table: DataFrame, corpus: Statistics, shard_tokens: int) -> tuple[Data
             raw = batch.column("ids").to_pylist()
             if not raw:
                 continue
-            x = np.frombuffer(b"".join(raw), "<u4")
-            begin = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw])[:-1]))
+            parts = [restored(r) for r in raw]
+            x = np.concatenate(parts)
+            begin = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
             r = rank.value[x]
             least = np.minimum.reduceat(r, begin)
             at = np.flatnonzero(r == np.repeat(least, np.diff(np.append(begin, len(x)))))
@@ -256,7 +277,7 @@ def dealt(table: DataFrame, corpus: Statistics, shard_tokens: int) -> tuple[Data
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.drop("df").schema)
     documents = table.where("ids IS NOT NULL").drop("df").mapInArrow(run, f"{kept}, term long")
-    sizes = {r["term"]: r["n"] for r in documents.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["term"]: r["n"] for r in documents.groupBy("term").agg(size).collect()}
     shard, shards, room = {}, 0, 0
     for term in sorted(sizes, key=lambda t: rank.value[t]):
         if sizes[term] > shard_tokens:
@@ -271,7 +292,7 @@ def dealt(table: DataFrame, corpus: Statistics, shard_tokens: int) -> tuple[Data
     spark = table.sparkSession
     places = spark.createDataFrame([(t, s, p) for t, (s, p) in shard.items()], "term long, first long, pieces long")
     # at most one content for each shard_tokens of the corpus
-    heavy = [r["content"] for r in table.where("ids IS NOT NULL").groupBy("content").agg(F.sum("n").alias("n")).where(F.col("n") > shard_tokens).collect()] if any(p > 1 for _, p in shard.values()) else []
+    heavy = [r["content"] for r in table.where("ids IS NOT NULL").groupBy("content").agg(size).where(F.col("n") > shard_tokens).collect()] if any(p > 1 for _, p in shard.values()) else []
     alone = spark.createDataFrame([(c,) for c in heavy], "content long").withColumn("heavy", F.lit(True))
     out = documents.join(F.broadcast(places), "term").join(F.broadcast(alone), "content", "left")
     salt = F.when(F.col("heavy"), F.xxhash64("doc_id")).otherwise(F.col("content"))
@@ -289,6 +310,7 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, window: i
     shared = statistics(table)
     shards, n = dealt(table, shared, shard_tokens)
     shared = documents.sparkSession.sparkContext.broadcast(shared)
+    least = counted(shard_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, total, current, sequence_id = [], [], 0, None, 0
@@ -302,7 +324,7 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, window: i
                 for d, start, length in sequence:
                     part = ids[d][start : start + length]
                     doc.append(names[d])
-                    rows.append((start, length, zlib.crc32(part.tobytes()), len(ids[d]), sequence_id, offset))
+                    rows.append((start, length, zlib.crc32(part.astype("<u4").tobytes()), len(ids[d]), sequence_id, offset))
                     if with_ids:
                         pieces.append(part.astype(np.int32))
                     offset += length
@@ -314,16 +336,17 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, window: i
         for batch in batches:
             type_of = batch.column("doc_id").type
             for name, raw, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "shard")), strict=True):
-                x = np.frombuffer(raw, "<u4")
-                if ids and (shard != current or total + len(x) > shard_tokens):
+                x = restored(raw)
+                size = max(len(x), least)
+                if ids and (shard != current or total + size > shard_tokens):
                     yield from flush()
                 if shard != current:
                     current, sequence_id = shard, shard << 32
                 names.append(name)
                 ids.append(x)
-                total += len(x)
+                total += size
         if ids:
             yield from flush()
 
-    together = shards.repartition(max(1, n), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    together = shards.repartitionById(max(1, n), F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "ids")
     return together.mapInArrow(run, f"doc_id {key}, {SCHEMA}" + ", ids array<int>" * with_ids)

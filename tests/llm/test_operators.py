@@ -506,6 +506,25 @@ def test_packing_brings_together_what_lies_apart(spark):
     assert together >= 30
 
 
+def test_stored_ids():
+    for ids in ([], [1], [0, 65535, 1], [65536], [7, 49_999, 70_000, 1]):
+        assert packing.restored(packing.stored(np.array(ids, np.uint32))).tolist() == ids
+
+
+def test_packing_bounds_the_documents_of_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 400, raising=False)
+    rows = [(i, "") for i in range(4000)] + [(4000 + i, f"{i} some words") for i in range(800)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    by_shard, by_task = {}, {}
+    for r in packed.withColumn("task", F.spark_partition_id()).collect():
+        by_shard.setdefault(r["sequence_id"] >> 32, set()).add(r["doc_id"])
+        by_task.setdefault(r["task"], set()).add(r["sequence_id"] >> 32)
+    assert sum(map(len, by_shard.values())) == len(rows)
+    assert max(map(len, by_shard.values())) <= 600
+    # no two shards meet in a task
+    assert max(map(len, by_task.values())) == 1
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
