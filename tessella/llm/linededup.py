@@ -11,7 +11,8 @@ A template that occurs in two documents or more recurs: its lines stay in the do
 are dropped from all others. Lines of fewer than LEAST words stay everywhere.
 
 Work: the masked lines are written once. One aggregate of them by leaf finds the leaves of more than one document, and only their lines go further. Each level of
-the tree is an aggregate over the distinct lines that are left. What is joined is broadcast below a checked size in bytes, and else joined by a
+the tree is an aggregate over the distinct lines that are left. The lines of a leaf of up to LEAF_LINES distinct ones lie together, so that no
+counts of words are shuffled; larger leaves go by (node, place, word), so that no task gets one. What is joined is broadcast below a checked size in bytes, and else joined by a
 shuffle whose large partitions Spark splits.
 
 Defined results: a null text stays null; an empty one stays empty. A text whose lines all go is empty. Rows without
@@ -29,6 +30,8 @@ from .common import checkpointed, written
 LEADING, LEAST, SIMILAR_OF, SIMILAR = 3, 4, 4, 3
 #: Bytes of a joined table that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
+#: Distinct lines of a leaf that one task takes at most.
+LEAF_LINES = 20_000
 _LAST = 9223372036854775807
 
 
@@ -63,6 +66,17 @@ def _sized(df: DataFrame, width: Column | int = 48) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def _judged(open_: DataFrame) -> DataFrame:
+    """A level of the tree: whether each line is like its node's most frequent words, and else the node it goes down to."""
+    counts = open_.select("node", F.posexplode("rest").alias("place", "word")).groupBy("node", "place", "word").count()
+    places = counts.groupBy("node", "place").agg(F.max(F.struct("count", "word")).alias("top"), F.count(F.lit(1)).alias("words"))
+    split = F.min(F.when(F.col("words") > 1, F.struct("words", "place")))["place"]
+    nodes = places.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("top.word").alias("word")))), lambda x: x["word"]).alias("modal"), split.alias("split"))
+    same = F.size(F.filter(F.zip_with("rest", "modal", lambda a, b: a == b), lambda x: x))
+    judged = open_.join(nodes, "node").withColumn("fits", same * SIMILAR_OF >= F.size("rest") * SIMILAR)
+    return judged.select("leaf", "key", "d1", "d2", "fits", F.when(~F.col("fits"), F.col("rest")).alias("rest"), F.when(F.col("fits"), F.col("node")).otherwise(F.xxhash64("node", "split", F.get("rest", F.col("split")))).alias("node"))
+
+
 def _templates(variants: DataFrame) -> DataFrame:
     """leaf, key, d1, d2 and template of the distinct lines (leaf, key, words, d1, d2) of some leaves.
 
@@ -70,16 +84,19 @@ def _templates(variants: DataFrame) -> DataFrame:
     its children are smaller, and a node of one line is a template.
     """
     rest = F.slice(F.split("words", " "), F.lit(LEADING + 1), F.greatest(F.size(F.split("words", " ")) - LEADING, F.lit(0)))
-    open_ = variants.select("leaf", "key", "d1", "d2", rest.alias("rest"), F.col("leaf").alias("node"))
+    lines = variants.select("leaf", "key", "d1", "d2", rest.alias("rest"), F.col("leaf").alias("node"))
+    large = checkpointed(variants.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"))
+    if large.isEmpty():
+        return _descended(lines, together=True)
+    small = _descended(lines.join(_sized(large), "leaf", "left_anti"), together=True)
+    return small.unionByName(_descended(lines.join(_sized(large), "leaf", "left_semi"), together=False))
+
+
+def _descended(open_: DataFrame, together: bool) -> DataFrame:
+    """Templates of lines; `together`: the lines of a node meet in one partition, so that a level shuffles nothing else."""
     done = None
     while True:
-        counts = open_.select("node", F.posexplode("rest").alias("place", "word")).groupBy("node", "place", "word").count()
-        places = counts.groupBy("node", "place").agg(F.max(F.struct("count", "word")).alias("top"), F.count(F.lit(1)).alias("words"))
-        split = F.min(F.when(F.col("words") > 1, F.struct("words", "place")))["place"]
-        nodes = places.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("top.word").alias("word")))), lambda x: x["word"]).alias("modal"), split.alias("split"))
-        same = F.size(F.filter(F.zip_with("rest", "modal", lambda a, b: a == b), lambda x: x))
-        judged = open_.join(nodes, "node").withColumn("fits", same * SIMILAR_OF >= F.size("rest") * SIMILAR)
-        judged = checkpointed(judged.select("leaf", "key", "d1", "d2", "fits", F.when(~F.col("fits"), F.col("rest")).alias("rest"), F.when(F.col("fits"), F.col("node")).otherwise(F.xxhash64("node", "split", F.get("rest", F.col("split")))).alias("node")))
+        judged = checkpointed(_judged(open_.repartition("node") if together else open_))
         fits = judged.where("fits").select("leaf", "key", "d1", "d2", F.col("node").alias("template"))
         done = fits if done is None else done.unionByName(fits)
         open_ = judged.where("not fits").drop("fits")

@@ -431,6 +431,23 @@ def test_line_dedup_by_shuffles(docs, monkeypatch):
     assert got(linededup.report(docs)) == want
 
 
+def test_line_templates_of_large_leaves(spark, docs, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, "\n".join("a b c " + " ".join(rng.choice("xyz") for _ in range(rng.choice((2, 5, 9)))) for _ in range(5))) for i in range(30)]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = got(linededup.report(frame))
+    for most in (0, 20):
+        monkeypatch.setattr(linededup, "LEAF_LINES", most)
+        assert got(linededup.report(frame)) == want
+
+
+def test_line_templates_shuffle_lines_only(spark):
+    lines = [(i % 5, i, 1, 2, [f"w{i % 3}", f"v{i}", "u"], i % 5) for i in range(60)]
+    open_ = spark.createDataFrame(lines, "leaf long, key long, d1 long, d2 long, rest array<string>, node long")
+    plan = linededup._judged(open_.repartition("node"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_COL") == 2
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
