@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 import uuid
@@ -244,6 +246,12 @@ def added(arrays: DataFrame) -> np.ndarray | None:
     return total
 
 
+def give_back() -> None:
+    """Gives freed memory of this process back to the system, where the C library has a call for it; else a driver keeps what a fit took for good."""
+    with contextlib.suppress(OSError, AttributeError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts_for(size: int, each: int, least: int = 1) -> int:
     """Partitions that hold about `each` bytes."""
     return max(least, math.ceil(size / each))

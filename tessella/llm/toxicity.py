@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Words, hash_spans, map_texts, mix, slices
+from .common import ALNUM, U64, Words, give_back, hash_spans, map_texts, mix, slices
 from .labelled import remainder, sample, training_labels
 
 PER_CLASS = 2500
@@ -190,6 +190,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_cla
         fold[:] = False
     model = TextCNN().fit([t for t, f in zip(texts, fold, strict=True) if not f], y[~fold], share)
     fitted = [r[-1] for r, f in zip(rows, fold, strict=True) if not f]
+    del rows, texts
+    give_back()
     return model, thresholds_by_language(calibration(documents, labelled, fitted, model), share)
 
 

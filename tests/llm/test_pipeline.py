@@ -5,7 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import decontaminate, linededup, neardup, tokens, toxicity
+from tessella.llm import components, decontaminate, linededup, neardup, tokens, toxicity
 from tessella.llm.components import connected_components
 from tessella.llm.suffix_array import common_prefixes, suffix_array
 
@@ -77,6 +77,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_small_and_large_graphs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    path = rng.permutation(300).tolist()
+    edges = [*zip(path[:-1], path[1:]), *((int(a), int(b)) for a, b in rng.integers(1000, 1400, (150, 2)))]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in edges:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    frame, rounds = spark.createDataFrame(edges, "a long, b long"), []
+    monkeypatch.setattr(components, "checkpointed", lambda df, f=components.checkpointed: rounds.append(1) or f(df))
+    for most in (components.TASK_EDGES, 60, 0):
+        monkeypatch.setattr(components, "TASK_EDGES", most)
+        assert dict(tuple(r) for r in connected_components(frame).collect()) == least
+        if most > 1000:  # the driver keeps something of each job
+            assert len(rounds) <= 2
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for n in [0, 1, 2, 3, *rng.integers(4, 120, 300)]:
