@@ -31,3 +31,13 @@ def test_huffman(spark):
     lengths = dict(tuple(r) for r in quantize.huffman_lengths(symbols, "s").collect())
     assert lengths == jpeg.code_lengths({1: 8, 2: 4, 3: 2, 4: 1})
     assert lengths[1] <= lengths[2] <= lengths[3] <= lengths[4]
+
+
+def test_huffman_bounded_lengths_follow_counts():
+    """Where codes are cut to 16 bits, no symbol has a longer code than a rarer one."""
+    counts = {q: n for q in range(256) if (n := round(1e6 * np.exp(-(((q - 128) / 10) ** 2) / 2)))}
+    lengths = jpeg.code_lengths(counts)
+    by_length = {k: [counts[s] for s in lengths if lengths[s] == k] for k in set(lengths.values())}
+    assert max(by_length) == 16
+    assert all(min(by_length[a]) >= max(by_length[b]) for a in by_length for b in by_length if a < b)
+    assert sum(2.0**-k for k in lengths.values()) + 2.0**-16 == 1
