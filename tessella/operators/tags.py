@@ -75,8 +75,16 @@ def parse_date(text: Column) -> Column:
     return F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy:MM:dd HH:mm:ss"))
 
 
+def directory_line(name: Column, value: Column) -> Column:
+    return F.concat(F.lit("  "), name, F.lit(": "), F.coalesce(value, F.lit("(null)")))
+
+
+def directory_text(lines: Column) -> Column:
+    """The lines of an array of (tag, line) by tag, ended by CR LF."""
+    return F.concat(F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "\r\n"), F.lit("\r\n"))
+
+
 def print_directory(tags: DataFrame, keys: list[str], names: Column, out: str = "report") -> DataFrame:
     """One text for each directory, "name: value" by tag, lines ended by CR LF."""
-    line = F.concat(F.lit("  "), names, F.lit(": "), F.coalesce(F.col("value").cast("string"), F.lit("(null)")))
-    gathered = tags.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tag", line.alias("line")))).alias("lines"))
-    return gathered.select(*keys, F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\r\n"), F.lit("\r\n")).alias(out))
+    gathered = tags.groupBy(*keys).agg(F.collect_list(F.struct("tag", directory_line(names, F.col("value").cast("string")).alias("line"))).alias("lines"))
+    return gathered.select(*keys, directory_text(F.col("lines")).alias(out))

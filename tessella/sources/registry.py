@@ -259,7 +259,8 @@ def extra_names() -> dict[int, str]:
 
 
 def tag_name(tag: int, kind: str = "image", extra: dict[int, str] | None = None) -> str:
-    return NAMES.get((kind, tag)) or NAMES.get(("image", tag)) or (extra or {}).get(tag) or f"Tag {tag}"
+    name = NAMES.get((kind, tag)) or (kind != "image" and NAMES.get(("image", tag)))
+    return name or (extra and extra.get(tag)) or f"Tag {tag}"
 
 
 def registry(spark: SparkSession) -> DataFrame:

@@ -6,6 +6,7 @@ leave the parser: each table has its own pass, and chunk filters are applied bef
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import codecs, image
-from ..shipping import ship_package
+from ..shipping import bound_batches
 from . import parse as P
 from .registry import DEFAULTS, STRUCTURAL, VALUE_NAMES, extra_names
 
@@ -31,6 +32,10 @@ TAGS = "path string, ifd int, kind string, pos int, tag int, name string, type i
 CHUNKS = "path string, ifd int, chunk int, plane int, x0 int, y0 int, z0 int, w int, h int, offset long, bytecount long"
 ROWS = "path string, ifd int, y0 int, row int, x0 int, samples array<array<double>>, error string"
 PIXELS = "path string, ifd int, row int, x0 int, rgba array<int>, error string"
+#: Bytes of files whose rows may share a batch.
+SHARED = 1 << 18
+#: Columns of TAGS that say which tag it is; the others have its values.
+PLACE = ("ifd", "kind", "pos", "tag")
 BYTES = "path string, ifd int, chunk int, plane int, x0 int, y0 int, w int, h int, data binary, error string"
 
 
@@ -89,14 +94,30 @@ def _dir_row(path: str, d: P.Directory, f: P.TiffFile, size: int) -> dict:
     return row | {"errors": [{"code": c, "msg": m} for c, m in dict.fromkeys(d.errors)]}
 
 
-def _tag_rows(path: str, d: P.Directory) -> Iterator[dict]:
+_TAG_TYPES = {text.split(" ")[0]: text for text in re.split(r", (?![^<]*>)", TAGS)}
+_TAG_VALUES = {
+    "name": lambda t: t.name, "type": lambda t: t.type, "count": lambda t: t.count, "is_custom": lambda t: t.tag not in STRUCTURAL, "raw": lambda t: t.raw, "nums": lambda t: [float(x) for x in t.nums] or None,
+    "str": lambda t: t.text, "rationals": lambda t: [{"num": a, "den": b} for a, b in t.rationals] or None,
+}
+
+
+def _tag_rows(path: str, d: P.Directory, wanted: set[int] | None = None, columns: tuple[str, ...] | None = None) -> Iterator[dict]:
     for t in d.tags.values():
+        if wanted is not None and t.tag not in wanted:
+            continue
+        if columns is not None:
+            yield {"path": path, "ifd": d.ifd, "kind": d.kind, "pos": t.pos, "tag": t.tag} | {c: _TAG_VALUES[c](t) for c in columns}
+            continue
         yield {
             "path": path, "ifd": d.ifd, "kind": d.kind, "pos": t.pos, "tag": t.tag, "name": t.name, "type": t.type, "count": t.count, "is_custom": t.tag not in STRUCTURAL, "raw": t.raw, "nums": [float(x) for x in t.nums] or None,
             "str": t.text, "rationals": [{"num": a, "den": b} for a, b in t.rationals] or None,
         }
 
 
+def _batch(rows: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(k.name) for r in rows], k.type) for k in arrow], schema=arrow)
+
+
 def batch_of(arrow: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch of arrays and of single values, which are repeated; columns are in the schema's order."""
     n = max(len(v) for v in columns.values() if isinstance(v, (pa.Array, np.ndarray)))
@@ -149,7 +170,7 @@ class Tiff:
         self.options.user = codecs.registered() | self.options.user
         self.options.extra = extra_names() | self.options.extra
         self.scan = Scan(self.options)
-        ship_package(contents.sparkSession)
+        bound_batches(contents.sparkSession)
 
     def prune(self, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, pages: list[int] | None = None) -> Tiff:
         """Only chunks that touch these rows and columns (first, last) of these directories are read and decoded."""
@@ -158,15 +179,19 @@ class Tiff:
         other.scan = Scan(self.options, ranges, self.scan.pages if pages is None else pages)
         return other
 
-    def _map(self, text: str, make) -> DataFrame:
+    def _map(self, text: str, make, wanted: list[int] | None = None) -> DataFrame:
+        """The rows that make(path, data, file) gives; small files share batches. With `wanted`, only these tags' values are read."""
         arrow = to_arrow_schema(schema(text))
         options, pages = self.options, self.scan.pages
+        # a hook may give a tag another number, and errors count with fail_fast
+        only = None if wanted is None or options.hook or options.fail_fast else set(wanted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                    content = content or b""
-                    f = P.parse(content, options.extra, options.header_only, options.directories)
+                rows, seen = [], 0
+                for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                    path, content = path.as_py(), content.as_py() or b""
+                    f = P.parse(content, options.extra, options.header_only, options.directories, only)
                     if options.fail_fast and (f.errors or any(d.errors for d in f.directories)):
                         raise ValueError(f"{path}: {(f.errors + [e for d in f.directories for e in d.errors])[0]}")
                     if options.hook:
@@ -174,17 +199,20 @@ class Tiff:
                             d.tags = {t: new for t, tag in d.tags.items() if (new := options.hook(tag, options.context)) is not None}
                     if pages is not None:
                         f.directories = [d for d in f.directories if d.ifd in pages]
-                    rows = []
+                    seen += len(content)
                     for row in make(path, content, f):
                         if isinstance(row, pa.RecordBatch):
                             yield row
                             continue
                         rows.append(row)
                         if len(rows) >= 256:
-                            yield pa.RecordBatch.from_pylist(rows, arrow)
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                            yield _batch(rows, arrow)
+                            rows, seen = [], 0
+                    if rows and seen >= SHARED:
+                        yield _batch(rows, arrow)
+                        rows, seen = [], 0
+                if rows:
+                    yield _batch(rows, arrow)
 
         return self.contents.mapInArrow(run, text)
 
@@ -194,8 +222,25 @@ class Tiff:
     def dirs(self) -> DataFrame:
         return self._map(DIRS, lambda path, data, f: (_dir_row(path, d, f, len(data)) for d in f.directories))
 
-    def tags(self) -> DataFrame:
-        return self._map(TAGS, lambda path, data, f: (t for d in f.directories for t in _tag_rows(path, d)))
+    def tags(self, wanted: list[int] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+        """A row for each tag. With `wanted`, only these tags are read; with `columns`, only these of their values leave the parser, beside path, ifd, kind, pos and tag."""
+        text = TAGS if columns is None else ", ".join(["path string", *(_TAG_TYPES[c] for c in (*PLACE, *columns))])
+        keep = None if wanted is None else set(wanted)
+        return self._map(text, lambda path, data, f: (t for d in f.directories for t in _tag_rows(path, d, keep, columns)), wanted)
+
+    def gathered(self, wanted: list[int] | None, columns: tuple[str, ...], by_directory: bool = False) -> DataFrame:
+        """path (by_directory: and ifd and kind) and the array `tags` of the wanted tags of a file or directory, in the directories' order; ones without any give no row.
+
+        What groups by file need of tags, without a shuffle: a file is parsed in one task.
+        """
+        keep, inner = None if wanted is None else set(wanted), ", ".join(_TAG_TYPES[c].replace(" ", ": ", 1) for c in (*PLACE, *columns))
+
+        def make(path, data, f):
+            for group in [[d] for d in f.directories] if by_directory else [f.directories]:
+                if own := [t for d in group for t in _tag_rows(path, d, keep, columns)]:
+                    yield {"path": path, "ifd": own[0]["ifd"], "kind": own[0]["kind"], "tags": own}
+
+        return self._map(f"path string, {'ifd int, kind string, ' * by_directory}tags array<struct<{inner}>>", make, wanted)
 
     def chunks(self, raw: bool = False) -> DataFrame:
         """The chunks' places, and their compressed bytes if asked."""
@@ -279,19 +324,34 @@ class Tiff:
 
     def corrupt(self) -> DataFrame:
         """path, ifd and error of chunks that can't be decoded, and of files and directories with errors."""
-        bad = self.decoded().where("error is not null").select("path", "ifd", "error")
-        dirs = self.dirs().select("path", "ifd", F.explode("errors.msg").alias("error"))
-        files = self.files().select("path", F.lit(None).cast("int").alias("ifd"), F.explode("errors.msg").alias("error"))
-        return bad.unionByName(dirs).unionByName(files)
+        scan = self.scan
+
+        def make(path, data, f):
+            for d, g, found in scan.images(data, f):
+                m = meta_of(d, g, f.order, data)
+                for c in filter(scan.wanted, found):
+                    try:
+                        image.decode_bytes(data[c.offset : c.offset + c.size], m, c.w, c.h, scan.options.user)
+                    except (ValueError, IndexError) as e:
+                        yield {"path": path, "ifd": d.ifd, "error": str(e)}
+            for d in f.directories:
+                yield from ({"path": path, "ifd": d.ifd, "error": msg} for _, msg in dict.fromkeys(d.errors))
+            yield from ({"path": path, "ifd": None, "error": msg} for _, msg in f.errors)
+
+        return self._map("path string, ifd int, error string", make)
 
     def report(self) -> DataFrame:
         """A readable text of each directory."""
         from ..operators import tags as T
 
         named = F.create_map(*[F.lit(x) for t, values in VALUE_NAMES.items() for v, name in values.items() for x in (t << 16 | v, name)])
-        number = F.when((F.size("nums") == 1) & F.col("tag").isin(list(VALUE_NAMES)), F.col("tag") * 65536 + F.col("nums")[0].cast("int"))
-        value = F.coalesce(F.col("str"), named[number], F.array_join(F.transform("nums", lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ", "), F.concat(F.lit("("), F.col("count").cast("string"), F.lit(" bytes)")))
-        return T.print_directory(self.tags().select("path", "ifd", "tag", "name", value.alias("value")), ["path", "ifd"], F.col("name"))
+
+        def value(t):
+            number = F.when((F.size(t["nums"]) == 1) & t["tag"].isin(list(VALUE_NAMES)), t["tag"] * 65536 + t["nums"][0].cast("int"))
+            return F.coalesce(t["str"], named[number], F.array_join(F.transform(t["nums"], lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ", "), F.concat(F.lit("("), t["count"].cast("string"), F.lit(" bytes)")))
+
+        found = self.gathered(None, ("name", "count", "nums", "str"), by_directory=True)
+        return found.select("path", "ifd", T.directory_text(F.transform("tags", lambda t: F.struct(t["tag"].alias("tag"), T.directory_line(t["name"], value(t)).alias("line")))).alias("report"))
 
     def values(self, wanted: list[int]) -> DataFrame:
         """path, ifd, tag, values and is_set of the wanted tags of each image; a tag that isn't set has the format's default, which may depend on others."""
@@ -339,9 +399,9 @@ def meta_dict(m: image.Meta) -> dict:
     return asdict(m)
 
 
-def arrays(data: bytes, page: int = 0, user: dict | None = None, ignore: bool = False) -> tuple[np.ndarray, image.Meta]:
-    """One whole image of a file in memory, without Spark. With `ignore`, a chunk that can't be read is zeros."""
-    f = P.parse(data)
+def arrays(data: bytes, page: int = 0, user: dict | None = None, ignore: bool = False, parsed: P.TiffFile | None = None) -> tuple[np.ndarray, image.Meta]:
+    """One whole image of a file in memory, without Spark. With `ignore`, a chunk that can't be read is zeros. A file that is parsed already isn't parsed again."""
+    f = parsed or P.parse(data)
     d = f.directories[page]
     g = P.geometry(d)
     if g is None:

@@ -4,9 +4,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions import codecs, image, predictors
-from tessella.sources import datasource, parse, registry, sink, tiff
+from tessella.sources import datasource, parse, pdf, registry, sink, tiff
 from tessella.streaming import ingest
 
 RNG = np.random.default_rng(0)
@@ -372,3 +373,63 @@ def test_tag_hooks(spark):
     found = {r["tag"]: r["str"] for r in tiff.from_bytes(spark, [("x.tif", data)], hook=hook, context="my ").tags().collect()}
     assert found[270] == "my x"
     assert 305 not in found
+
+
+def _parts(spark, n):
+    """A table of one partition, as a small file is read."""
+    return spark.range(n).coalesce(1).select(F.col("id").cast("string").alias("path"))
+
+
+def _named():
+    """Gives the function that makes a record's pages; one of this module wouldn't be found by the workers."""
+
+    def make(r):
+        tags = [(270, 2, f"file {r['path']}"), (297, 3, [int(r["path"]), 9]), (65001, 3, [7])]
+        return [sink.Page(np.zeros((2, 3, 1)), tags=tags, linked={34665: [(33434, 5, [(1, 4)])]})]
+
+    return make
+
+
+def test_records_are_dealt_over_tasks(spark):
+    """Files of one partition's rows, and of few bytes behind a shuffle by path, are made by many tasks."""
+    for rows in (_parts(spark, 64), _parts(spark, 64).groupBy("path").agg(F.max("path").alias("other"))):
+        made = sink.from_records(rows, _named()).select("path", F.spark_partition_id().alias("task")).collect()
+        assert sorted(int(r["path"]) for r in made) == list(range(64))
+        assert len({r["task"] for r in made}) > spark.sparkContext.defaultParallelism
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_joined_files_are_dealt_over_tasks(spark):
+    pages = sink.from_records(_parts(spark, 64), _named()).select("path", F.lit(0).alias("position"), "content")
+    assert len({r[0] for r in sink.assemble(pages, sink.WriteOptions()).select(F.spark_partition_id()).collect()}) > 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tags_of_a_file_need_no_shuffle(spark):
+    files = sink.from_records(_parts(spark, 5), _named())
+    at_rest = tiff.from_bytes(spark, [(r["path"], bytes(r["content"])) for r in files.collect()])
+    for found in (at_rest.gathered([270, 33434], ("nums", "str")), at_rest.report(), at_rest.corrupt(), sink.unlink(at_rest.contents, 0)):
+        assert "Exchange" not in _plan(found) and _plan(found).count("MapIn") == 1
+    for r in at_rest.gathered([270, 33434], ("nums", "str")).collect():
+        assert [(t["ifd"], t["kind"], t["tag"], t["nums"], t["str"]) for t in r["tags"]] == [(0, "main", 270, None, f"file {r['path']}"), (1, "exif", 33434, [0.25], None)]
+
+
+def test_only_wanted_tags_are_read(spark):
+    data = sink.write_bytes(_named()({"path": "3"}))
+    f, some = parse.parse(data), parse.parse(data, only={270})
+    assert [list(d.tags) for d in some.directories] == [[270, 34665], []]
+    assert some.directories[0].tags[270] == f.directories[0].tags[270] and some.directories[0].next == f.directories[0].next
+    t = tiff.from_bytes(spark, [("3", data)])
+    assert t.tags([297, 33434], ("nums",)).collect() == t.tags().where("tag in (297, 33434)").select("path", "ifd", "kind", "pos", "tag", "nums").collect()
+
+
+def test_a_file_is_parsed_once_for_all_its_pages(monkeypatch):
+    """Copies and documents of a file of many pages don't parse it again for each page."""
+    data, calls, whole = sink.write_bytes([sink.Page(np.full((2, 2, 1), i)) for i in range(9)]), [], parse.parse
+    monkeypatch.setattr(parse, "parse", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    assert [int(p.array[0, 0, 0]) for p in sink.pages_of(data)] == list(range(9)) and len(calls) == 1
+    assert pdf.write_pdf(data).count(b"/MediaBox") == 9 and len(calls) == 2
+    assert [int(p.array[0, 0, 0]) for p in sink.pages_of(data, sink._AllBut(4))] == [0, 1, 2, 3, 5, 6, 7, 8]
