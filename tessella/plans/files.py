@@ -377,7 +377,7 @@ FROM part, (VALUES (65001), (65003), (65004), (65005), (65006), (65008), (65009)
 
 def _numbers(options):
     def query(spark, sf):
-        found = Tiff(tag_files(spark, sf, options)).tags().where("is_custom and tag between 65001 and 65012 and nums is not null")
+        found = Tiff(tag_files(spark, sf, options)).tags(list(range(65001, 65013)), ("nums",)).where("nums is not null")
         return _key(found, F.col("tag").cast("long").alias("tag"), F.col("nums")[0].alias("value"))
 
     return query
