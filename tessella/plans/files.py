@@ -388,10 +388,15 @@ _query(_NUMBERS, "tiff_tag_types_big_endian")(_numbers(W(order=">")))
 _query(_NUMBERS, "tiff_tag_types_bigtiff")(_numbers(W(big=True)))
 
 
+def _picked(tag: int, value, kind: str = "main") -> Column:
+    """A value of a tag in the array of a file's tags, or null."""
+    return F.array_max(F.transform(F.filter("tags", lambda x: (x["tag"] == tag) & (x["kind"] == kind)), value))
+
+
 @_query(" SELECT p_partkey, p_name AS description, p_brand AS software, p_type AS own FROM part")
 def tiff_ascii(spark, sf):
-    found = Tiff(tag_files(spark, sf)).tags().where("kind = 'main'").groupBy("path").agg(*[F.max(F.when(F.col("tag") == t, F.col("str"))).alias(n) for t, n in ((270, "description"), (305, "software"), (65002, "own"))])
-    return _key(found, "description", "software", "own")
+    found = Tiff(tag_files(spark, sf)).gathered([270, 305, 65002], ("str",))
+    return _key(found, *[_picked(t, lambda x: x["str"]).alias(n) for t, n in ((270, "description"), (305, "software"), (65002, "own"))])
 
 
 @_query(" SELECT p_partkey, CAST(p_size AS BIGINT) AS x_num, CAST(4 AS BIGINT) AS x_den, CAST(CAST(p_size AS FLOAT) / 4 AS DOUBLE) AS x, CAST(1 AS DOUBLE) AS y FROM part")
