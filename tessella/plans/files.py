@@ -411,10 +411,9 @@ def tiff_rationals(spark, sf):
 @_query(" SELECT p_partkey, CAST(p_size % 5 AS BIGINT) AS page, CAST(5 AS BIGINT) AS total, CAST(p_size AS BIGINT) AS h0, CAST(p_size + 1 AS BIGINT) AS h1 FROM part")
 def tiff_pairs(spark, sf):
     """Tags of two values."""
-    tags = Tiff(tag_files(spark, sf)).tags().where("kind = 'main'")
-    pick = lambda t, i: F.max(F.when(F.col("tag") == t, F.get("nums", F.lit(i)))).cast("long")
-    found = tags.groupBy("path").agg(pick(297, 0).alias("page"), pick(297, 1).alias("total"), pick(321, 0).alias("h0"), pick(321, 1).alias("h1"))
-    return _key(found, "page", "total", "h0", "h1")
+    found = Tiff(tag_files(spark, sf)).gathered([297, 321], ("nums",))
+    pick = lambda t, i: _picked(t, lambda x: F.get(x["nums"], F.lit(i))).cast("long")
+    return _key(found, pick(297, 0).alias("page"), pick(297, 1).alias("total"), pick(321, 0).alias("h0"), pick(321, 1).alias("h1"))
 
 
 @_query(" SELECT p_partkey, CAST(CAST(1 AS FLOAT) / CAST(p_size AS FLOAT) AS DOUBLE) AS exposure, '2001:02:' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') || ' 03:04:05' AS taken, CAST(p_size * 10 AS BIGINT) AS iso FROM part")
