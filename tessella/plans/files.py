@@ -418,10 +418,9 @@ def tiff_pairs(spark, sf):
 
 @_query(" SELECT p_partkey, CAST(CAST(1 AS FLOAT) / CAST(p_size AS FLOAT) AS DOUBLE) AS exposure, '2001:02:' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') || ' 03:04:05' AS taken, CAST(p_size * 10 AS BIGINT) AS iso FROM part")
 def tiff_exif(spark, sf):
-    tags = Tiff(tag_files(spark, sf, W(order=">"))).tags().where("kind = 'exif'")
-    pick = lambda name, column: F.max(F.when(F.col("tag") == name, column))
-    found = tags.groupBy("path").agg(pick(33434, F.col("nums")[0]).alias("exposure"), pick(36867, F.col("str")).alias("taken"), pick(34855, F.col("nums")[0]).cast("long").alias("iso"))
-    return _key(found, "exposure", "taken", "iso")
+    found = Tiff(tag_files(spark, sf, W(order=">"))).gathered([33434, 36867, 34855], ("nums", "str"))
+    first = lambda x: x["nums"][0]
+    return _key(found, _picked(33434, first, "exif").alias("exposure"), _picked(36867, lambda x: x["str"], "exif").alias("taken"), _picked(34855, first, "exif").cast("long").alias("iso"))
 
 
 @_query(" SELECT p_partkey, string_agg(CAST(t.tag AS VARCHAR), ',' ORDER BY t.tag) AS custom FROM part, (SELECT 65000 + unnest(range(1, 13)) AS tag) t GROUP BY 1")
