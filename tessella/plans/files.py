@@ -426,8 +426,9 @@ def tiff_exif(spark, sf):
 @_query(" SELECT p_partkey, string_agg(CAST(t.tag AS VARCHAR), ',' ORDER BY t.tag) AS custom FROM part, (SELECT 65000 + unnest(range(1, 13)) AS tag) t GROUP BY 1")
 def tiff_custom_tags(spark, sf):
     """Custom tags in the order of the directory."""
-    found = Tiff(tag_files(spark, sf)).tags().where("kind = 'main' and is_custom and tag > 65000").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t"))
-    return _key(found, F.array_join(F.transform("t", lambda x: x["tag"].cast("string")), ",").alias("custom"))
+    found = Tiff(tag_files(spark, sf)).gathered(None, ("is_custom",))
+    own = F.array_sort(F.transform(F.filter("tags", lambda x: (x["kind"] == "main") & x["is_custom"] & (x["tag"] > 65000)), lambda x: F.struct(x["pos"].alias("pos"), x["tag"].alias("tag"))))
+    return _key(found.where(F.size(own) > 0), F.array_join(F.transform(own, lambda x: x["tag"].cast("string")), ",").alias("custom"))
 
 
 @_query(" SELECT p_partkey, CAST(d.tag AS BIGINT) AS tag, CAST(d.value AS DOUBLE) AS value, d.own AS is_set FROM part, (VALUES (258, 8, true), (274, 1, true), (296, 2, false), (254, 0, false), (266, 1, false), (336, 0, false), (281, 255, false), (529, 0.299, false), (318, 0.3457, false)) d(tag, value, own)")
