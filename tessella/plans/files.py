@@ -450,12 +450,11 @@ def tiff_report(spark, sf):
 def tiff_copied_tags(spark, sf):
     """A copy takes whitelisted tags and the Exif directory along, not a user's own tags."""
     made = sink.convert(tag_files(spark, sf), W.parse("zip:2"))
-    tags = Tiff(made).tags()
-    found = tags.groupBy("path").agg(
-        F.max(F.when((F.col("tag") == 270), F.col("str"))).alias("description"), F.max(F.when(F.col("tag") == 297, F.col("nums")[0])).cast("long").alias("page"),
-        F.sum((F.col("tag") > 65000).cast("long")).alias("n_own"), F.sum((F.col("kind") == "exif").cast("long")).alias("n_exif"),
+    found = Tiff(made).gathered(None, ("nums", "str"))
+    number = lambda which: F.size(F.filter("tags", which)).cast("long")
+    return _key(
+        found, _picked(270, lambda x: x["str"]).alias("description"), _picked(297, lambda x: x["nums"][0]).cast("long").alias("page"), number(lambda x: x["tag"] > 65000).alias("n_own"), number(lambda x: x["kind"] == "exif").alias("n_exif")
     )
-    return _key(found, "description", "page", "n_own", "n_exif")
 
 
 # Pages
