@@ -402,10 +402,9 @@ def tiff_ascii(spark, sf):
 @_query(" SELECT p_partkey, CAST(p_size AS BIGINT) AS x_num, CAST(4 AS BIGINT) AS x_den, CAST(CAST(p_size AS FLOAT) / 4 AS DOUBLE) AS x, CAST(1 AS DOUBLE) AS y FROM part")
 def tiff_rationals(spark, sf):
     """Rationals; one with a denominator of 0 is 1."""
-    tags = Tiff(tag_files(spark, sf)).tags().where("kind = 'main' and tag in (282, 283)")
-    x, y = F.col("tag") == 282, F.col("tag") == 283
-    found = tags.groupBy("path").agg(F.max(F.when(x, F.col("rationals")[0]["num"])).alias("x_num"), F.max(F.when(x, F.col("rationals")[0]["den"])).alias("x_den"), F.max(F.when(x, F.col("nums")[0])).alias("x"), F.max(F.when(y, F.col("nums")[0])).alias("y"))
-    return _key(found, "x_num", "x_den", "x", "y")
+    found = Tiff(tag_files(spark, sf)).gathered([282, 283], ("nums", "rationals"))
+    first = lambda x: x["nums"][0]
+    return _key(found, _picked(282, lambda x: x["rationals"][0]["num"]).alias("x_num"), _picked(282, lambda x: x["rationals"][0]["den"]).alias("x_den"), _picked(282, first).alias("x"), _picked(283, first).alias("y"))
 
 
 @_query(" SELECT p_partkey, CAST(p_size % 5 AS BIGINT) AS page, CAST(5 AS BIGINT) AS total, CAST(p_size AS BIGINT) AS h0, CAST(p_size + 1 AS BIGINT) AS h1 FROM part")
