@@ -471,7 +471,7 @@ def page_files(spark: SparkSession, sf: str, options: sink.WriteOptions | None =
 
 def _roles(contents: DataFrame) -> DataFrame:
     """conv_id, page and role of the pages of files."""
-    found = Tiff(contents).tags().where("tag = 270 and kind = 'main'")
+    found = Tiff(contents).tags([270], ("str",)).where("kind = 'main'")
     return found.select(F.col("path").cast("long").alias("conv_id"), F.col("ifd").cast("long").alias("page"), F.col("str").alias("role"))
 
 
