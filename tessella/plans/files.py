@@ -504,9 +504,8 @@ def tiff_unlink(spark, sf):
 def tiff_concat(spark, sf):
     """Pages of ten files in one, in order and numbered anew."""
     files = page_files(spark, sf).select(F.floor(F.col("path").cast("long") / 10).cast("string").alias("path"), F.col("path").cast("long").alias("position"), "content")
-    tags = Tiff(sink.assemble(files, W(PACK), renumber=True)).tags().where("kind = 'main' and tag in (270, 297)")
-    found = tags.groupBy("path", "ifd").agg(F.max("str").alias("role"), F.max(F.when(F.col("tag") == 297, F.col("nums")[0])).cast("long").alias("number"))
-    return found.select(F.col("path").cast("long").alias("conv_id"), F.col("ifd").cast("long").alias("page"), "role", "number")
+    found = Tiff(sink.assemble(files, W(PACK), renumber=True)).gathered([270, 297], ("nums", "str"), by_directory=True).where("kind = 'main'")
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.col("ifd").cast("long").alias("page"), _picked(270, lambda x: x["str"]).alias("role"), _picked(297, lambda x: x["nums"][0]).cast("long").alias("number"))
 
 
 @_query(_TURNS + " SELECT conv_id, page, role FROM t WHERE page = 1")
