@@ -4,8 +4,8 @@ Tokens: the words of a text (split at ASCII white space, A-Z lower-cased), then
 frequent tokens are classes of their own, and any other word is in one of SUFFIXES classes by a hash of its last two bytes.
 The network predicts the class from the last CONTEXT classes: the context's vectors, each through a
 matrix of its place, add up to a prediction, and its products with the class vectors, plus biases, are the
-logits. It is fitted in numpy against noise from the classes' corpus frequencies; scoring normalises over all classes in batched matrix
-products. Within a class a word has (c + 1) / (n + v + 1), with c its count, n and v the class's tokens and
+logits. It is fitted in numpy against noise from the classes' corpus frequencies; scoring normalises over all classes, once for each
+context. Within a class a word has (c + 1) / (n + v + 1), with c its count, n and v the class's tokens and
 distinct tokens in the training rows; the 1 in the divisor is for words that aren't there.
 
 Counts are exact and cover all rows. The TOP most frequent tokens are broadcast (16 bytes each). All others go through a join by
@@ -133,11 +133,31 @@ class Corpus:
         """Classes of tokens, and their places among the most frequent ones, -1 for others."""
         if not len(self.hash):
             return SHORT + suffix.astype(np.int64), np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        at = self.places(h)
         at = np.where(self.hash[at] == h, at, -1)
         own = np.where(at >= 0, self.own[at], -1)
         return np.where(own >= 0, own, SHORT + suffix.astype(np.int64)), at
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is or would be in the sorted ones, at most at the last: a step to the first with its upper bits, and on from there."""
+        if self._first is None:
+            bits = min(len(self.hash).bit_length() + 2, 24)
+            self._shift = U64(64 - bits)
+            upper = np.bincount((self.hash >> self._shift).astype(np.int64), minlength=1 << bits)
+            self._first = np.minimum(np.cumsum(upper) - upper, len(self.hash) - 1).astype(np.int32)
+        at = self._first[(h >> self._shift).view(np.int64)]
+        late = np.flatnonzero(self.hash[at] < h)
+        while len(late):
+            late = late[at[late] < len(self.hash) - 1]
+            at[late] += 1
+            late = late[self.hash[at[late]] < h[late]]
+        return at
+
+    _first = _shift = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_first", "_shift")}
+
 
 def contexts(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The CONTEXT classes before each token, nearest first; CLASSES stands for what is before a text."""
@@ -149,31 +169,38 @@ def contexts(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def summed(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each of n classes."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(of.astype(np.int16), kind="stable")
-    sorted_of = of[order]
-    first = np.flatnonzero(np.append(True, sorted_of[1:] != sorted_of[:-1]))
-    out[sorted_of[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    """Sums of the rows, of an even width, of each of n classes. Numbers are added in pairs, as complex ones, which takes half the steps."""
+    out = np.zeros((n, rows.shape[1] // 2), np.complex64)
+    places = np.take(np.arange(out.size).reshape(out.shape), of, axis=0)
+    np.add.at(out.reshape(-1), places.reshape(-1), np.ascontiguousarray(rows, np.float32).reshape(-1).view(np.complex64))
+    return out.view(np.float32)
 
 
 class LogBilinear:
+    """The network; its parameters are one array, `flat`: r (context vectors), q (class vectors, each with its bias behind it) and a matrix for each place."""
+
     def __init__(self, frequency: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.1, (CLASSES + 1, DIM)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32)
-        self.m = [(np.eye(DIM) * 0.5 + rng.normal(0, 0.02, (DIM, DIM))).astype(np.float32) for _ in range(CONTEXT)]
-        self.b = np.log(frequency).astype(np.float32)
+        r, q = rng.normal(0, 0.1, (CLASSES + 1, DIM)), rng.normal(0, 0.1, (CLASSES, DIM))
+        m = [np.eye(DIM) * 0.5 + rng.normal(0, 0.02, (DIM, DIM)) for _ in range(CONTEXT)]
         self.noise = frequency
-        self.squares = [np.full_like(p, 1e-3) for p in self.parameters()]
+        self.flat = np.concatenate([x.ravel() for x in (r, np.column_stack((q, np.log(frequency))), *m)]).astype(np.float32)
+        self.squares = np.full_like(self.flat, 1e-3)
+
+    @staticmethod
+    def parts(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, q and the matrices as views of an array of all parameters."""
+        a, b = (CLASSES + 1) * DIM, (CLASSES + 1) * DIM + CLASSES * (DIM + 1)
+        return flat[:a].reshape(CLASSES + 1, DIM), flat[a:b].reshape(CLASSES, DIM + 1), flat[b:].reshape(CONTEXT, DIM, DIM)
 
     def predictions(self, context: np.ndarray) -> np.ndarray:
-        """The context's sum, from tables of each place's products."""
-        tables = [self.r @ m for m in self.m]
-        out = tables[0][context[:, 0]]
+        """The context's sum, from tables of each place's products, and 1 behind it, for the bias."""
+        r, _, m = self.parts(self.flat)
+        out = np.ones((len(context), DIM + 1), np.float32)
+        total = np.take(r @ m[0], context[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            out += tables[k][context[:, k]]
+            total += np.take(r @ m[k], context[:, k], axis=0)
+        out[:, :DIM] = total
         return out
 
     def fit(self, ids: np.ndarray, context: np.ndarray, seed: int = 4) -> LogBilinear:
@@ -185,58 +212,72 @@ class LogBilinear:
 
     def step_through(self, ids: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive estimation with noise that a batch shares, by Adagrad."""
-        parameters = self.parameters()
+        r, q, m = self.parts(self.flat)
+        gradient = np.empty_like(self.flat)
+        g_r, g_q, g_m = self.parts(gradient)
         log_noise = np.log(self.noise * NOISE).astype(np.float32)
         cumulated = np.cumsum(self.noise)
         order = rng.permutation(len(ids))
         for s in range(0, len(ids), BATCH):
             pick = order[s : s + BATCH]
-            y, x = ids[pick], context[pick]
+            y, x = ids[pick], np.take(context, pick, axis=0)
             noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE), side="right"), CLASSES - 1)
             p = self.predictions(x)
-            q = self.q[y]
-            good = np.einsum("ij,ij->i", p, q) + self.b[y] - log_noise[y]
-            bad = p @ self.q[noise].T
-            bad += self.b[noise] - log_noise[noise]
-            size = np.float32(len(y))
-            d_good = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / size
-            np.clip(bad, -30, 30, out=bad)
-            np.negative(bad, out=bad)
-            np.exp(bad, out=bad)
+            q_y, q_noise = np.take(q, y, axis=0), q[noise]
+            good = np.einsum("ij,ij->i", p, q_y) - log_noise[y]
+            q_noise[:, DIM] -= log_noise[noise]
+            # the logistic function, from products with the opposite sign; beyond the range of exp it is 0
+            bad = p @ -q_noise.T
+            with np.errstate(over="ignore"):
+                np.exp(bad, out=bad)
+                d_good = (1 / (1 + np.exp(-good)) - 1)[:, None]
             bad += 1
-            bad *= size
             d_bad = np.reciprocal(bad, out=bad)
-            d_p = d_good[:, None] * q + d_bad @ self.q[noise]
-            g_q, g_b = summed(y, d_good[:, None] * p, CLASSES), np.bincount(y, d_good, CLASSES).astype(np.float32)
-            np.add.at(g_q, noise, d_bad.T @ p)
-            np.add.at(g_b, noise, d_bad.sum(0))
-            g_r = np.zeros_like(self.r)
-            g_m = []
+            d_p = d_bad @ q_noise[:, :DIM]
+            d_p += d_good * q_y[:, :DIM]
+            d_noise = d_bad.T @ p
+            g_q[:, :DIM] = summed(np.append(y, noise), np.concatenate((d_good * p[:, :DIM], d_noise[:, :DIM])), CLASSES)
+            g_q[:, DIM] = np.bincount(y, d_good[:, 0], CLASSES) + np.bincount(noise, d_noise[:, DIM], CLASSES)
+            g_r.fill(0)
             for k in range(CONTEXT):
                 by_class = summed(x[:, k], d_p, CLASSES + 1)
-                g_r += by_class @ self.m[k].T
-                g_m.append(self.r.T @ by_class)
-            for w, g, sq in zip(parameters, (g_r, g_q, g_b, *g_m), self.squares, strict=True):
-                sq += g * g
-                w -= (rate * g / np.sqrt(sq)).astype(np.float32)
-
-    def parameters(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.b, *self.m]
-
-    def log10(self, ids: np.ndarray, context: np.ndarray, batch: int = 4096) -> np.ndarray:
-        """Normalised log10 probabilities of classes after their contexts."""
-        out = np.empty(len(ids), np.float32)
-        p = self.predictions(context)
-        q = np.ascontiguousarray(self.q.T)
-        for s in range(0, len(ids), batch):
-            logits = p[s : s + batch] @ q
-            logits += self.b
-            own = logits[np.arange(len(logits)), ids[s : s + batch]]
-            top = logits.max(1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            out[s : s + batch] = own - top[:, 0] - np.log(logits.sum(1))
-        return out / np.float32(np.log(10))
+                g_r += by_class @ m[k].T
+                np.matmul(r.T, by_class, out=g_m[k])
+            gradient /= np.float32(len(y))
+            self.squares += gradient * gradient
+            gradient *= np.float32(rate)
+            gradient /= np.sqrt(self.squares)
+            self.flat -= gradient
+
+    def log10(self, ids: np.ndarray, context: np.ndarray, batch: int = 512) -> np.ndarray:
+        """Normalised log10 probabilities of classes after their contexts.
+
+        A logit is a sum over the places, so its exponential is a product of three tables' numbers. The norm is worked out once for each context.
+        """
+        r, q, m = self.parts(self.flat)
+        tables = [r @ m[k] @ q[:, :DIM].T for k in range(CONTEXT)]
+        tables[0] += q[:, DIM]
+        own = sum(t[context[:, k], ids] for k, t in enumerate(tables))
+        top = [t.max(1) for t in tables]
+        powers = [np.exp(t - most[:, None]) for t, most in zip(tables, top, strict=True)]
+        place = (CLASSES + 1) ** np.arange(CONTEXT)[::-1]
+        codes, of = np.unique(context @ place, return_inverse=True)
+        contexts = codes[:, None] // place % (CLASSES + 1)
+        norm = np.empty(len(codes), np.float32)
+        for s in range(0, len(codes), batch):
+            x = contexts[s : s + batch]
+            product = np.take(powers[0], x[:, 0], axis=0)
+            for k in range(1, CONTEXT - 1):
+                product *= np.take(powers[k], x[:, k], axis=0)
+            total = np.einsum("ij,ij->i", product, np.take(powers[-1], x[:, -1], axis=0))
+            most = sum(t[x[:, k]] for k, t in enumerate(top))
+            small = np.flatnonzero(total < 1e-20)  # the places' largest logits are far apart
+            if len(small):
+                logits = sum(t[x[small, k]] for k, t in enumerate(tables))
+                most[small] = logits.max(1)
+                total[small] = np.exp(logits - most[small, None]).sum(1)
+            norm[s : s + batch] = most + np.log(total)
+        return (own - norm[of]) / np.float32(np.log(10))
 
 
 def train(documents: DataFrame, corpus: Corpus, most: int = SAMPLE) -> LogBilinear:
@@ -269,16 +310,14 @@ def averaged(documents: DataFrame, corpus: Corpus, start: LogBilinear) -> LogBil
                 model.step_through(classes, contexts(classes, of), RATE * LAST, rng)
                 n += len(classes)
         if n:
-            flat = np.concatenate([[1.0], *(p.ravel() for p in model.parameters())]) * n
+            flat = np.append(1.0, model.flat) * n
             yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["sums"])
 
     total = added(documents.select("text").mapInArrow(run, "sums array<double>"))
     if total is None:
         return start
-    model, at = copy.deepcopy(start), 1
-    for p in model.parameters():
-        p[:] = (total[at : at + p.size] / total[0]).reshape(p.shape)
-        at += p.size
+    model = copy.deepcopy(start)
+    model.flat[:] = total[1:] / total[0]
     return model
 
 

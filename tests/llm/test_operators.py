@@ -112,6 +112,33 @@ def test_network_is_normalised():
     assert np.allclose(total, 1, atol=1e-3)
 
 
+@pytest.mark.parametrize("scale", [1, 400])
+def test_network_norm_once_for_each_context(scale, monkeypatch):
+    rng = np.random.default_rng(1)
+    model = lm.LogBilinear(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    model.flat *= np.float32(scale)  # 400: logits so far apart that products of exponentials vanish
+    context = rng.integers(0, lm.CLASSES + 1, (7, lm.CONTEXT))[rng.integers(0, 7, 3000)]
+    ids = rng.integers(0, lm.CLASSES, 3000)
+    r, q, m = (x.astype(float) for x in model.parts(model.flat))
+    logits = sum(r[context[:, k]] @ m[k] for k in range(lm.CONTEXT)) @ q[:, :-1].T + q[:, -1]
+    logits -= logits.max(1, keepdims=True)
+    want = (logits - np.log(np.exp(logits).sum(1, keepdims=True)))[np.arange(3000), ids] / np.log(10)
+    plain, norms = np.log, []
+    monkeypatch.setattr(lm.np, "log", lambda x: norms.append(np.size(x) if np.ndim(x) else 0) or plain(x))
+    found = model.log10(ids, context)
+    assert sum(norms) == 7
+    assert np.allclose(found, want, rtol=1e-4, atol=1e-4)
+
+
+def test_places_of_frequent_tokens():
+    rng = np.random.default_rng(2)
+    corpus = lm.Corpus.__new__(lm.Corpus)
+    for hashes in (rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.arange(300, dtype=np.uint64), np.array([7], np.uint64)):
+        corpus._first, corpus.hash = None, np.unique(hashes)
+        h = np.concatenate((corpus.hash, hashes + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)))
+        assert (corpus.places(h) == np.minimum(np.searchsorted(corpus.hash, h), len(corpus.hash) - 1)).all()
+
+
 def test_fingerprints(docs, none):
     found = {}
     ordered = sorted(((r[0], r[1] or "") for r in rows()))
