@@ -35,6 +35,8 @@ SHARD_ROWS = 60_000
 K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's texts have a row of weights over all of them in place of postings.
 COMMON = 0.1
+#: The index is made anew without the used documents when less than this share of its documents is unused.
+UNUSED = 0.75
 #: Neighbours that are put in order at once; more follow until the window is full.
 NEAREST = 64
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,11 +50,19 @@ class Statistics:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
+def counted_terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a text in order, and how often each occurs. A stable sort of two-byte ids is one by digits, which is the fastest."""
+    ordered = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ids) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ids)))
+
+
 class Index:
     """An inverted index over the documents of one shard, with weights of BM25.
 
     Every term counts. Those in more than `common` of the texts have a row of weights over all texts, the others postings.
     Copies are one text with several members, all of the same score.
+    `compact` leaves used documents out; what is left has the same scores as before.
     """
 
     def __init__(self, ids: list[np.ndarray], k1: float = K1, b: float = B, common: float = COMMON, corpus: Statistics | None = None):
@@ -63,7 +73,7 @@ class Index:
         some = np.unique(self.text, return_index=True)[1]
         self.terms, counts = [], []
         for i in some:
-            t, c = np.unique(ids[i], return_counts=True)
+            t, c = counted_terms(ids[i])
             self.terms.append(t)
             counts.append(c)
         length = np.array([len(ids[i]) for i in some], np.float32)
@@ -85,9 +95,23 @@ class Index:
         order = np.argsort(term[rare], kind="stable")
         self.posting, self.weight = text[rare][order], weight[rare][order]
         self.at = np.concatenate(([0], np.cumsum(np.where(self.row < 0, posted, 0))))
+        self.documents, self.column = np.arange(n), self.text
+
+    def compact(self, unused: np.ndarray) -> None:
+        """Leaves out used documents, and texts without unused ones. They can still be seeds."""
+        left = unused[self.documents]
+        self.documents, column = self.documents[left], self.column[left]
+        kept = np.unique(column)
+        to = np.full(self.dense.shape[1], -1, np.int32)
+        to[kept] = np.arange(len(kept))
+        self.column = to[column]
+        self.dense = np.ascontiguousarray(self.dense[:, kept])
+        inside = to[self.posting] >= 0
+        before = np.concatenate(([0], np.cumsum(inside)))
+        self.posting, self.weight, self.at = to[self.posting[inside]], self.weight[inside], before[self.at]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Scores of all texts under the terms of the seed's."""
+        """Scores of the texts that are left under the terms of the seed's."""
         t = self.terms[self.text[seed]]
         row = self.row[t]
         out = np.zeros(self.dense.shape[1], np.float32)
@@ -102,12 +126,12 @@ class Index:
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
         """Unused documents that share a term with the seed, best first; ties go to the lower number. `most` and those equal to the last of them, or all."""
-        score = self.scores(seed)[self.text]
-        score[~unused] = 0
+        score = self.scores(seed)[self.column]
+        score[~unused[self.documents]] = 0
         found = np.flatnonzero(score)
         if most is not None and len(found) > most:
             found = found[score[found] >= -np.partition(-score[found], most - 1)[most - 1]]
-        return found[np.argsort(-score[found], kind="stable")]
+        return self.documents[found[np.argsort(-score[found], kind="stable")]]
 
 
 def pack(ids: list[np.ndarray], window: int = WINDOW, corpus: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
@@ -150,6 +174,8 @@ def pack(ids: list[np.ndarray], window: int = WINDOW, corpus: Statistics | None
                 break
             seed = queue[at]
         full = put(seed)
+        if np.count_nonzero(unused) < UNUSED * len(index.documents):
+            index.compact(unused)
         while not full:
             near = index.neighbours(seed, unused, NEAREST)
             if not len(near):

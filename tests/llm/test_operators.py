@@ -550,6 +550,33 @@ def test_packing_brings_together_what_lies_apart(spark):
     assert together >= 30
 
 
+def test_index_without_used_documents(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(i % 7 * 20, i % 7 * 20 + 400, rng.integers(1, 900)).astype(np.uint16) for i in range(300)]
+    ids += ids[::5]
+    index, whole = packing.Index(ids), packing.Index(ids)
+    unused = rng.random(len(ids)) < 0.4
+    index.compact(unused)
+    assert len(index.documents) == unused.sum() and index.dense.shape[1] < whole.dense.shape[1]
+    assert all(index.neighbours(s, unused, 20).tolist() == whole.neighbours(s, unused, 20).tolist() for s in range(0, len(ids), 11))
+    found = packing.pack(ids)
+    monkeypatch.setattr(packing, "UNUSED", 0)
+    assert found == packing.pack(ids)
+
+
+def test_ids_of_texts_cut_at_white_space():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(tokens.default_path()), random.Random(5)
+    vocabulary = tokens.vocabulary_for(tokens.default_path())
+    assert vocabulary.cut("a  b\n\n\tc d  ") == ["a ", " b\n\n", "\tc d  "]
+    assert vocabulary.cut("a  <|endoftext|>") is None and vocabulary.cut("a \u2003b") is None
+    letters = [" ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "a", "\u00e9", "1", "'s", "!", "\u4e2d", "\U0001f600"]
+    for i in range(4000):
+        text = "".join(rng.choices(letters + ["\x85", "\xa0", "\u3000", "<|endoftext|>"] * (i % 2), k=rng.randint(0, 12)))
+        assert vocabulary.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_stored_ids():
     for ids in ([], [1], [0, 65535, 1], [65536], [7, 49_999, 70_000, 1]):
         assert packing.restored(packing.stored(np.array(ids, np.uint32))).tolist() == ids
