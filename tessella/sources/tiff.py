@@ -407,9 +407,14 @@ def arrays(data: bytes, page: int = 0, user: dict | None = None, ignore: bool =
     if g is None:
         raise ValueError(str(d.errors))
     m = meta_of(d, g, f.order, data)
+    return decoded_image(data, g, m, P.chunks(d, g, len(data)), user, ignore), m
+
+
+def decoded_image(data: bytes, g: P.Geometry, m: image.Meta, found: list[P.Chunk], user: dict | None = None, ignore: bool = False) -> np.ndarray:
+    """The image of one directory whose chunks are known."""
     out = None
     places: dict[int, list[P.Chunk]] = {}
-    for c in P.chunks(d, g, len(data)):
+    for c in found:
         places.setdefault(c.number - c.plane * g.per_plane, []).append(c)
     for own in places.values():
         c = own[0]
@@ -422,4 +427,4 @@ def arrays(data: bytes, page: int = 0, user: dict | None = None, ignore: bool =
         if out is None:
             out = np.zeros((g.height, g.width, a.shape[2]), a.dtype)
         out[c.y : c.y + a.shape[0], c.x : c.x + a.shape[1]] = a
-    return out, m
+    return out

@@ -76,6 +76,16 @@ def test_images():
         pdf.write_pdf(sink.write_bytes([sink.Page(grey, 1, 16)]))
 
 
+def test_each_page_is_looked_at_once(monkeypatch):
+    data = sink.write_bytes([sink.Page(RNG.integers(0, 256, (2, 3, 1)), tags=[(297, 3, [i, 30])]) for i in range(30)])
+    plain, seen = pdf.P.geometry, []
+    monkeypatch.setattr(pdf.P, "geometry", lambda d: seen.append(d.ifd) or plain(d))
+    monkeypatch.setattr(pdf.P.Directory, "__eq__", lambda *_: pytest.fail("directories are compared"))
+    document = pdf.write_pdf(data)
+    assert seen == list(range(30))
+    assert b"/Count 30" in objects(document)[2]
+
+
 def test_table(spark):
     a = RNG.integers(0, 256, (10, 20, 1))
     frame = spark.createDataFrame([("a.tif", sink.write_bytes([sink.Page(a)])), ("b.tif", b"x")], "path string, content binary")
